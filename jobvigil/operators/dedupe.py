@@ -71,20 +71,20 @@ def _walk_lists(rows: DataFrame, id_column: str, ts: str, ttl: str) -> DataFrame
 def _advance_by_rounds(rows: DataFrame, first: DataFrame, id_column: str, ts: str, reach: Column) -> DataFrame:
     """Each round finds, per id, the first time at least one ttl after the last accepted one.
 
-    Rounds end when no id advances; there are at most (time span / ttl) of them.
+    Rounds end when no id advances; there are at most (time span / ttl) of them,
+    each one pass over the hot ids' distinct times with a map-side min().
     """
     ensure_checkpoint_dir(rows.sparkSession)
+    times = rows.join(first.select(id_column), id_column, "left_semi").distinct().checkpoint()
     front = first.withColumnRenamed("_first", ts).checkpoint()
     accepted = front
-    open_rows = rows
-    while True:
-        # the frontier has one row per hot id: at most rows / hot_rows of them
+    while not front.isEmpty():
+        # one row per hot id, so at most (rows / hot_rows) of them
         limits = front.select(id_column, (F.col(ts) + reach).alias("_from"))
-        open_rows = open_rows.join(limits, id_column).filter(F.col(ts) >= F.col("_from")).drop("_from").checkpoint()
-        front = open_rows.groupBy(id_column).agg(F.min(ts).alias(ts)).checkpoint()
-        if front.isEmpty():
-            return accepted
+        later = times.join(limits, id_column).filter(F.col(ts) >= F.col("_from"))
+        front = later.groupBy(id_column).agg(F.min(ts).alias(ts)).checkpoint()
         accepted = accepted.unionByName(front)
+    return accepted
 
 
 def only_new(df: DataFrame, seen: DataFrame, id_column: str = "event_id") -> DataFrame:

@@ -46,9 +46,8 @@ def training_matrix(df: DataFrame, source: str = "history") -> DataFrame:
 
 def last_days(history: DataFrame, days: int = 7) -> DataFrame:
     """Completed runs within ``days`` before the newest one: the window of a periodic re-fit."""
-    newest = history.agg(F.max("ts").alias("newest"))
-    recent = history.join(F.broadcast(newest), F.col("ts") >= F.col("newest") - F.expr(f"INTERVAL {days} DAYS"))
-    return recent.drop("newest")
+    newest = history.agg(F.max("ts")).scalar()
+    return history.filter(F.col("ts") >= newest - F.expr(f"INTERVAL {days} DAYS"))
 
 
 def enough_rows(matrix: DataFrame, min_rows: int = DEFAULTS.forest_min_rows) -> bool:
@@ -64,11 +63,19 @@ def fit_or_none(matrix: DataFrame, settings: Settings = DEFAULTS, seed: int = 7)
 
 
 def fit_forest(
-    matrix: DataFrame, trees: int = 100, sample: int = 256, seed: int = 7, axis_parallel: bool = False
+    matrix: DataFrame,
+    trees: int = 100,
+    sample: int = 256,
+    seed: int = 7,
+    axis_parallel: bool = False,
+    total: int | None = None,
 ) -> DataFrame:
-    """Grow ``trees`` trees, each on its own ``sample`` rows, and return the model table."""
+    """Grow ``trees`` trees, each on its own ``sample`` rows, and return the model table.
+
+    ``total`` is the number of rows if the caller knows it; else they are counted.
+    """
     ship_package(matrix.sparkSession)
-    drawn = draw_samples(matrix, trees, sample, seed)
+    drawn = draw_samples(matrix, trees, sample, seed, total)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -79,7 +86,9 @@ def fit_forest(
     return drawn.groupBy("tree").applyInPandas(grow, FOREST_MODEL)
 
 
-def draw_samples(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataFrame:
+def draw_samples(
+    matrix: DataFrame, trees: int, sample: int, seed: int, total: int | None = None
+) -> DataFrame:
     """``tree``, ``row_key`` and ``features``: an independent draw without replacement per tree.
 
     A row's place in a draw is a hash of its key, so a draw can be repeated. Large
@@ -88,7 +97,7 @@ def draw_samples(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataF
     map side before the shuffle by tree.
     """
     wanted = OVERDRAW * trees * sample
-    total = matrix.count()
+    total = matrix.count() if total is None else total
     thinned = matrix
     if total > wanted:
         resolution = 1 << 40
@@ -104,36 +113,31 @@ def grow_tree(points: np.ndarray, tree: int, rng: np.random.Generator, axis_para
     """One tree as rows of the model table. Bounded work: ``points`` is one draw."""
     size, width = points.shape
     limit = int(np.ceil(np.log2(max(size, 2))))
-    rows: list[dict] = []
+    nodes: list[dict | None] = [None]
     waiting = [(0, np.arange(size), 0)]
-    rows.append({})
     while waiting:
         node, members, depth = waiting.pop()
         held = points[members]
-        low, high = held.min(axis=0), held.max(axis=0)
-        if depth >= limit or len(members) <= 1 or np.all(low == high):
-            rows[node] = _leaf(tree, node, depth + float(expected_path(len(members))), size)
+        if depth >= limit or len(members) <= 1 or np.all(held == held[0]):
+            nodes[node] = _leaf(tree, node, depth + float(expected_path(len(members))), size)
             continue
-        normal = np.zeros(width)
+        low, high = held.min(axis=0), held.max(axis=0)
         if axis_parallel:
+            normal = np.zeros(width)
             normal[rng.choice(np.flatnonzero(high > low))] = 1.0
         else:
             normal = rng.standard_normal(width)
         offset = float(rng.uniform(low, high) @ normal)
         below = held @ normal <= offset
-        left, right = len(rows), len(rows) + 1
-        rows.extend(({}, {}))
+        left, right = len(nodes), len(nodes) + 1
+        nodes.extend((None, None))
         waiting.append((left, members[below], depth + 1))
         waiting.append((right, members[~below], depth + 1))
-        rows[node] = {
+        nodes[node] = {
             "tree": tree, "node": node, "left": left, "right": right,
             "normal": normal.tolist(), "offset": offset, "path_length": None, "sample_size": size,
         }
-        for child, part in ((left, members[below]), (right, members[~below])):
-            if len(part) == 0:
-                rows[child] = _leaf(tree, child, float(depth + 1), size)
-                waiting = [entry for entry in waiting if entry[0] != child]
-    frame = pd.DataFrame(rows, columns=FOREST_MODEL.names)
+    frame = pd.DataFrame(nodes, columns=FOREST_MODEL.names)
     return frame.astype({"left": "Int32", "right": "Int32"})
 
 

@@ -91,19 +91,25 @@ def with_prompt(incidents: DataFrame) -> DataFrame:
     })
 
 
-def static_summary(incidents: DataFrame) -> DataFrame:
-    """Summaries from fixed sentences: ``incident_id`` and the answer's columns, always available."""
-    return incidents.select(
-        "incident_id",
-        F.concat(
+def _static_columns() -> dict[str, Column]:
+    return {
+        "summary": F.concat(
             F.lit("Anomaly detected in "), F.col("job_type"), F.lit(" — duration "),
             F.col("duration_seconds").cast("string"), F.lit("s vs mean "),
             F.col("rolling_mean_duration").cast("string"), F.lit("s"),
-        ).alias("summary"),
-        F.concat(F.lit("Likely cause: job duration spike detected by "), F.col("detector_name")).alias("likely_cause"),
-        F.array(*[F.lit(a) for a in STATIC_ACTIONS]).alias("suggested_actions"),
-        F.lit(NOOP).alias("provider"),
-        F.lit(True).alias("ok"),
+        ),
+        "likely_cause": F.concat(
+            F.lit("Likely cause: job duration spike detected by "), F.col("detector_name")
+        ),
+        "suggested_actions": F.array(*[F.lit(a) for a in STATIC_ACTIONS]),
+    }
+
+
+def static_summary(incidents: DataFrame) -> DataFrame:
+    """Summaries from fixed sentences: ``incident_id`` and the answer's columns, always available."""
+    return incidents.withColumns(_static_columns()).select(
+        "incident_id", "summary", "likely_cause", "suggested_actions",
+        F.lit(NOOP).alias("provider"), F.lit(True).alias("ok"),
     )
 
 
@@ -113,15 +119,18 @@ def decode_answers(answers: DataFrame) -> DataFrame:
     An absent summary or cause is an empty text, an absent severity counts as
     MEDIUM, an unknown one or text that is not a JSON object makes ``ok`` false.
     """
-    bare = F.regexp_replace(F.regexp_replace("answer", r"(?s)```json\s*", ""), r"(?s)```\s*", "")
-    doc = F.from_json(F.trim(bare, F.lit(" \t\r\n")), ANSWER_SCHEMA, {"allowSingleQuotes": "false"})
-    given = F.col("ok") if "ok" in answers.columns else F.lit(True)
-    read = answers.withColumn("ok", F.coalesce(given, F.lit(True))).select(
+    fenceless = F.regexp_replace(F.regexp_replace("answer", r"(?s)```json\s*", ""), r"(?s)```\s*", "")
+    bare = F.trim(fenceless, F.lit(" \t\r\n"))
+    given = F.coalesce(F.col("ok"), F.lit(True)) if "ok" in answers.columns else F.lit(True)
+    read = answers.withColumn("_given", given).select(
         "*",
-        F.explode(F.array(F.struct(doc.alias("doc"), F.try_parse_json(F.trim(bare, F.lit(" \t\r\n"))).isNotNull().alias("valid")))).alias("_read"),
+        F.explode(F.array(F.struct(
+            F.from_json(bare, ANSWER_SCHEMA, {"allowSingleQuotes": "false"}).alias("doc"),
+            (F.try_parse_json(bare).isNotNull() | (bare == "")).alias("valid"),
+        ))).alias("_read"),
     )
     level = F.coalesce(F.col("_read.doc.severity"), F.lit("MEDIUM"))
-    usable = F.col("ok") & F.coalesce(F.col("_read.valid"), F.lit(False)) & level.isin(*SEVERITIES)
+    usable = F.col("_given") & F.coalesce(F.col("_read.valid"), F.lit(False)) & level.isin(*SEVERITIES)
     kept = [c for c in answers.columns if c not in ("ok", "summary", "likely_cause", "suggested_actions")]
     return read.select(
         *kept,
@@ -152,8 +161,7 @@ def enrich(incidents: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def summarize_static(incidents: DataFrame) -> DataFrame:
     """``enrich`` with the built-in summary, which needs no join."""
-    made = static_summary(incidents.withColumn("incident_id", F.struct(*[F.col(c) for c in incidents.columns])))
-    return made.select("incident_id.*", "summary", "likely_cause", "suggested_actions").withColumns({
+    return incidents.withColumns(_static_columns()).withColumns({
         "llm_unavailable": F.lit(False),
         "llm_provider": F.lit(NOOP),
     }).select(*INCIDENTS.names)

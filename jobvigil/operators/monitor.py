@@ -16,7 +16,7 @@ from jobvigil.config import SEVERITIES
 from jobvigil.operators.metrics import literal_rows
 
 # Retained items per quantile sketch: windows of up to this many runs are exact.
-SKETCH_SIZE = 4096
+SKETCH_SIZE = 1024
 
 
 def _seconds(width: str) -> float:
