@@ -379,12 +379,12 @@ def incidents_of_records(spark, sf_dir):
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every completed run reported as if anomalous, with stable decimals for texts."""
     scored = scored_runs(finished(spark, sf_dir), detector=FOREST)
-    steady = scored.withColumns({
+    rounded = scored.withColumns({
         "score": steady("score", 8),
         "error_rate": steady("error_rate", 8),
         "rolling_mean_duration": steady("rolling_mean_duration", 6),
     })
-    return incidents.to_incidents(steady)
+    return incidents.to_incidents(rounded)
 
 
 @query
