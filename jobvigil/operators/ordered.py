@@ -35,7 +35,7 @@ from jobvigil.session import ensure_checkpoint_dir, ship_package
 BLOCK = "scan_block"
 EPSILON = 1e-9
 # A deviation this small against the value is rounding noise of the mean.
-NOISE = 1e-12
+NOISE = 1e-14
 
 
 @dataclass(frozen=True)
