@@ -60,12 +60,12 @@ def read_event_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metrics_state(spark: SparkSession, path: str) -> DataFrame:
-    """Stored state per job type; absent numbers read as 0, an absent time as the epoch."""
-    state = spark.read.schema(METRICS_STATE).parquet(path)
-    filled = {
-        f.name: F.coalesce(F.col(f.name), _zero(f.dataType)) for f in METRICS_STATE if f.name != "job_type"
-    }
-    return state.withColumns(filled)
+    """Last stored state per job type; absent numbers read as 0, an absent time as the epoch."""
+    state = read_table(spark, path, METRICS_STATE, "job_type")
+    filled = [
+        F.coalesce(F.col(f.name), _zero(f.dataType)).alias(f.name) for f in METRICS_STATE if f.name != "job_type"
+    ]
+    return state.select("job_type", *filled)
 
 
 def metrics_for(state: DataFrame, job_type: str) -> DataFrame:
