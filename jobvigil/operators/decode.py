@@ -73,13 +73,14 @@ def decode_events(df: DataFrame, settings: Settings = DEFAULTS, value: str = "va
             for field, (column, dtype, kind) in NUMBER_FIELDS.items()
         ],
     )
-    # the text is looked at again only for records without a known job type
-    shape = F.schema_of_variant(F.try_parse_json(F.col(value)))
+    # the text is looked at again only for records without a known job type, and
+    # by a lookup, which evaluates it once
+    shape = F.left(F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(value))), F.lit("BROKEN")), F.lit(6))
+    named = F.create_map(F.lit("BROKEN"), F.lit("not_json"), F.lit("OBJECT"), F.lit("unknown_job_type"))
     reason = (
         F.when(
             ~F.coalesce(F.col("_doc.jobType").isin(*settings.job_types), F.lit(False)),
-            F.when(shape.isNull(), "not_json").when(~shape.startswith("OBJECT"), "not_an_object")
-            .otherwise("unknown_job_type"),
+            F.coalesce(F.try_element_at(named, shape), F.lit("not_an_object")),
         )
         .when(F.col("_doc.payload").isNull(), "missing_payload")
         .when(~F.coalesce(event_type.isin(*EVENT_TYPES), F.lit(False)), "unknown_event_type")

@@ -23,8 +23,8 @@ from jobvigil.session import ship_package
 # The features in the order the model reads them.
 FEATURES = ("duration_seconds", "error_rate", "row_count", "hour_of_day", "day_of_week")
 EULER = 0.5772156649015329
-# Rows drawn before the per-tree draw, per row needed.
-OVERDRAW = 4
+# Rows offered to a tree before its draw is cut, per row needed.
+OVERDRAW = 2
 
 
 def training_matrix(df: DataFrame, source: str = "history") -> DataFrame:
@@ -57,9 +57,10 @@ def enough_rows(matrix: DataFrame, min_rows: int = DEFAULTS.forest_min_rows) ->
 
 def fit_or_none(matrix: DataFrame, settings: Settings = DEFAULTS, seed: int = 7) -> DataFrame | None:
     """The model, or None when there are too few rows to fit one."""
-    if not enough_rows(matrix, settings.forest_min_rows):
+    total = matrix.count()
+    if total < settings.forest_min_rows:
         return None
-    return fit_forest(matrix, settings.forest_trees, settings.forest_sample, seed)
+    return fit_forest(matrix, settings.forest_trees, settings.forest_sample, seed, total=total)
 
 
 def fit_forest(
@@ -92,21 +93,24 @@ def draw_samples(
     """``tree``, ``row_key`` and ``features``: an independent draw without replacement per tree.
 
     A row's place in a draw is a hash of its key, so a draw can be repeated. Large
-    inputs are first thinned by another hash to a few times the rows needed, so
-    that the per-tree ranking sees a fixed number of rows; ranks are cut on the
-    map side before the shuffle by tree.
+    inputs are first thinned, by another hash, to about as many rows as all trees
+    need together; then a tree is offered about twice its rows, and keeps those
+    with the lowest hash. Ranks are cut on the map side before the shuffle by tree.
     """
-    wanted = OVERDRAW * trees * sample
     total = matrix.count() if total is None else total
-    thinned = matrix
-    if total > wanted:
-        resolution = 1 << 40
-        place = F.pmod(F.xxhash64(F.lit(f"thin {seed}"), "row_key"), F.lit(resolution))
-        thinned = matrix.filter(place < int(resolution * (wanted / total)))
-    dealt = thinned.select("row_key", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    pool = _hashed_share(matrix, trees * sample, total, F.xxhash64(F.lit(f"thin {seed}"), "row_key"))
+    dealt = pool.select("row_key", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     turn = F.xxhash64(F.lit(f"draw {seed}"), "tree", "row_key")
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("tree").orderBy(turn, "row_key")))
-    return ranked.filter(F.col("_rank") <= sample).drop("_rank")
+    offered = _hashed_share(dealt.withColumn("_turn", turn), OVERDRAW * sample, min(total, trees * sample), F.col("_turn"))
+    ranked = offered.withColumn("_rank", F.row_number().over(Window.partitionBy("tree").orderBy("_turn", "row_key")))
+    return ranked.filter(F.col("_rank") <= sample).drop("_rank", "_turn")
+
+
+def _hashed_share(df: DataFrame, wanted: int, total: int, place: Column) -> DataFrame:
+    """About ``wanted`` of ``total`` rows: those whose hash falls into the lowest share of its range."""
+    if total <= wanted:
+        return df
+    return df.filter(place < int(2**63 * (2 * wanted / total - 1)))
 
 
 def grow_tree(points: np.ndarray, tree: int, rng: np.random.Generator, axis_parallel: bool) -> pd.DataFrame:

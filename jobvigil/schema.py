@@ -82,6 +82,13 @@ DEAD_LETTERS = T.StructType([
     T.StructField("failed_at", T.TimestampType()),
 ])
 
+OUTBOX = T.StructType([
+    T.StructField("fingerprint", T.StringType()),
+    T.StructField("incident_id", T.StringType()),
+    T.StructField("detected_at", T.TimestampType()),
+    T.StructField("payload", T.StringType()),
+])
+
 FOREST_MODEL = T.StructType([
     T.StructField("tree", T.IntegerType()),
     T.StructField("node", T.IntegerType()),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobvigil.functions.headers import dead_letter_error, retry_count
 from jobvigil.functions.identity import dead_letter_id
-from jobvigil.schema import DEAD_LETTERS, INCIDENTS, METRICS_STATE
+from jobvigil.schema import DEAD_LETTERS, INCIDENTS, METRICS_STATE, OUTBOX
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -44,7 +44,7 @@ def write_metrics_state(state: DataFrame, path: str, batch_id: int = 0) -> None:
 
 def write_outbox(payloads: DataFrame, path: str, batch_id: int = 0) -> None:
     """Messages to send: fingerprint, incident and payload."""
-    write_batch(payloads.select("fingerprint", "incident_id", "detected_at", "payload"), path, batch_id)
+    write_batch(payloads.select(*OUTBOX.names), path, batch_id)
 
 
 def dead_letter_rows(records: DataFrame, reason: str | None = None) -> DataFrame:

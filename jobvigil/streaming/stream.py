@@ -24,7 +24,7 @@ from jobvigil.operators.metrics import DELTAS, ORDER, feature_vectors, metric_de
 from jobvigil.operators.notify import undelivered, with_payload
 from jobvigil.operators.ordered import ScanSpec, arrange, scan
 from jobvigil.plans.flow import Tables
-from jobvigil.schema import EVENTS, SCAN_STATE
+from jobvigil.schema import EVENTS, INCIDENTS, OUTBOX, SCAN_STATE
 from jobvigil.sinks.tables import dead_letter_rows, write_batch, write_dead_letters, write_incidents, write_outbox
 
 Summarizer = Callable[[DataFrame], DataFrame]
@@ -118,7 +118,14 @@ def process_batch(
     spark = batch.sparkSession
     write_batch(batch.select(*EVENTS.names), tables.path("events"), batch_id)
     events = spark.read.schema(EVENTS).parquet(f"{tables.path('events')}/batch_id={batch_id}")
-    scored, after = score_batch(events, read_state(spark, tables, batch_id), settings, detector, model)
+    before = read_state(spark, tables, batch_id)
+    if events.isEmpty():
+        # a batch that only moves the watermark: hand the state on
+        write_batch(before, tables.path("scan_state"), batch_id)
+        write_incidents(spark.createDataFrame([], INCIDENTS), tables.path("incidents"), batch_id)
+        write_outbox(spark.createDataFrame([], OUTBOX), tables.path("outbox"), batch_id)
+        return
+    scored, after = score_batch(events, before, settings, detector, model)
     write_batch(after, tables.path("scan_state"), batch_id)
     found = to_incidents(anomalies(scored), settings)
     write_incidents(summarize(found), tables.path("incidents"), batch_id)
