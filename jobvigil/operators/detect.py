@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from jobvigil.config import DEFAULTS, EWMA, FOREST, Settings
 from jobvigil.functions.scores import fallback_text
 from jobvigil.operators.ewma import ewma_score
 from jobvigil.operators.forest import forest_score, forest_verdict
-from jobvigil.operators.metrics import DELTAS, arrange_runs, feature_vectors, name_running
+from jobvigil.operators.metrics import DELTAS, ORDER, arrange_runs, feature_vectors, name_running
 from jobvigil.operators.ordered import ScanSpec, scan
 
 VERDICT = ("score", "anomalous", "reason", "detector_name")
@@ -19,15 +19,21 @@ ORDERED = ("observation", "mu", "sigma", "z")
 Detector = Callable[[DataFrame], DataFrame]
 
 
-def observed_features(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def observed_features(
+    events: DataFrame,
+    settings: Settings = DEFAULTS,
+    order_by: Sequence[str] = ORDER,
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """Feature vectors of completed runs with the EWMA columns, from one ordered scan.
 
     The scan covers failed runs too, since they count in the running sums; they
-    are not observed by the EWMA and leave after it.
+    are not observed by the EWMA and leave after it. ``keep`` names further event
+    columns to carry along.
     """
     spec = ScanSpec("job_type", DELTAS, "observed_seconds", settings.ewma_alpha)
-    running = name_running(scan(arrange_runs(events), spec))
-    return feature_vectors(running).drop(*DELTAS, "observed_seconds")
+    arranged = arrange_runs(events, order_by, keep)
+    return feature_vectors(name_running(scan(arranged, spec, drop=(*DELTAS, "observed_seconds"))))
 
 
 def score(

@@ -18,7 +18,8 @@ def ewma(
     """Add ``observation``, ``mu``, ``sigma`` and ``z``.
 
     Mean and deviation take in the current row first, and z is measured against
-    the new ones, so |z| never exceeds 1/alpha.
+    the new ones, so |z| never exceeds 1/alpha. All columns of ``df`` are shuffled
+    and checkpointed, so select the wanted ones first.
     """
     return scan(arrange(df, key, order_by), ScanSpec(key, value=value, alpha=alpha))
 

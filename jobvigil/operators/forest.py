@@ -162,38 +162,38 @@ def expected_path(n):
 
 
 class PackedForest:
-    """The model as flat arrays: all trees of a batch are walked level by level."""
+    """The model as arrays per tree. A leaf is its own child, so all rows walk the same number of levels."""
 
     def __init__(self, model: pd.DataFrame):
-        model = model.sort_values(["tree", "node"])
-        starts = np.flatnonzero(np.r_[True, np.diff(model["tree"].to_numpy()) != 0])
-        base = np.repeat(starts, np.diff(np.r_[starts, len(model)]))
-        inner = model["left"].notna().to_numpy()
-        self.roots = starts
-        self.inner = inner
-        self.left = np.where(inner, model["left"].fillna(0).to_numpy().astype("int64") + base, 0)
-        self.right = np.where(inner, model["right"].fillna(0).to_numpy().astype("int64") + base, 0)
-        normals = [v for v in model["normal"] if v is not None]
-        width = len(normals[0]) if normals else len(FEATURES)
-        self.normal = np.zeros((len(model), width))
-        if normals:
-            self.normal[inner] = np.vstack(normals)
-        self.offset = model["offset"].fillna(0.0).to_numpy().astype("float64")
-        self.path = model["path_length"].fillna(0.0).to_numpy().astype("float64")
+        self.trees = [self._pack(rows.sort_values("node")) for _, rows in model.groupby("tree")]
         self.norm = float(expected_path(model["sample_size"].max())) or 1.0
 
+    @staticmethod
+    def _pack(rows: pd.DataFrame) -> tuple:
+        inner = rows["left"].notna().to_numpy()
+        own = np.arange(len(rows))
+        left = np.where(inner, rows["left"].fillna(0).to_numpy("int64"), own)
+        right = np.where(inner, rows["right"].fillna(0).to_numpy("int64"), own)
+        normal = np.zeros((len(rows), len(FEATURES)))
+        if inner.any():
+            normal[inner] = np.vstack(rows["normal"].to_numpy()[inner])
+        depth = np.zeros(len(rows), dtype="int64")
+        for node in np.flatnonzero(inner):  # parents come before their children
+            depth[left[node]] = depth[right[node]] = depth[node] + 1
+        offset = rows["offset"].fillna(0.0).to_numpy("float64")
+        path = rows["path_length"].fillna(0.0).to_numpy("float64")
+        return left, right, normal, offset, path, int(depth.max())
+
     def score(self, points: np.ndarray) -> np.ndarray:
         total = np.zeros(len(points))
-        for root in self.roots:
-            at = np.full(len(points), root)
-            moving = np.flatnonzero(self.inner[at])
-            while len(moving):
-                node = at[moving]
-                side = np.einsum("ij,ij->i", points[moving], self.normal[node]) <= self.offset[node]
-                at[moving] = np.where(side, self.left[node], self.right[node])
-                moving = moving[self.inner[at[moving]]]
-            total += self.path[at]
-        return np.power(2.0, -(total / len(self.roots)) / self.norm)
+        row = np.arange(len(points))
+        for left, right, normal, offset, path, levels in self.trees:
+            below = points @ normal.T <= offset
+            at = np.zeros(len(points), dtype="int64")
+            for _ in range(levels):
+                at = np.where(below[row, at], left[at], right[at])
+            total += path[at]
+        return np.power(2.0, -(total / len(self.trees)) / self.norm)
 
 
 def forest_score(df: DataFrame, model: DataFrame, score: str = "score") -> DataFrame:

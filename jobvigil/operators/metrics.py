@@ -12,6 +12,7 @@ from jobvigil.functions.scores import hour_utc, iso_dow, safe_ratio
 from jobvigil.operators.ordered import ScanSpec, arrange, scan
 
 ORDER = ("ts", "event_id")
+RUN_COLUMNS = ("job_type", "ts", "event_id", "event_type", "duration_seconds", "error_count", "rows_processed")
 DELTAS = ("d_runs", "d_duration", "d_errors", "d_rows")
 
 
@@ -20,8 +21,12 @@ def metric_deltas(events: DataFrame) -> DataFrame:
 
     A failed run counts as one run with one error, no time and no rows.
     """
+    return add_deltas(events.filter(F.col("event_type").isin("JOB_COMPLETED", "JOB_FAILED")))
+
+
+def add_deltas(finished: DataFrame) -> DataFrame:
     done = F.col("event_type") == "JOB_COMPLETED"
-    return events.filter(F.col("event_type").isin("JOB_COMPLETED", "JOB_FAILED")).withColumns({
+    return finished.withColumns({
         "d_runs": F.lit(1).cast("bigint"),
         "d_duration": F.when(done, F.col("duration_seconds")).otherwise(F.lit(0.0)),
         "d_errors": F.when(done, F.col("error_count").cast("bigint")).otherwise(F.lit(1).cast("bigint")),
@@ -99,8 +104,15 @@ def error_rate_series(events: DataFrame) -> DataFrame:
 
 
 def latest_per_job(series: DataFrame, value: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """Last reading of a gauge per job type; 0.0 for a job type without any."""
-    last = series.groupBy("job_type").agg(F.max_by(value, F.struct(*ORDER)).alias(value))
+    """Last reading of a gauge per job type; 0.0 for a job type without any.
+
+    The newest time is found by a hash aggregate, and only the readings at that
+    time are compared by event id: ranking all readings at once would sort them.
+    """
+    newest = series.groupBy("job_type").agg(F.max("ts").alias("ts"))
+    last = series.select("job_type", *ORDER, value).join(newest, ["job_type", "ts"]).groupBy("job_type").agg(
+        F.max_by(value, "event_id").alias(value)
+    )
     known = literal_rows(series.sparkSession, "job_type", settings.job_types)
     joined = known.join(last, "job_type", "left")
     return joined.select("job_type", F.coalesce(value, F.lit(0.0)).alias(value))
@@ -119,12 +131,22 @@ def literal_rows(spark: SparkSession, name: str, values: Sequence[str]) -> DataF
     return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
 
 
-def arrange_runs(events: DataFrame, order_by: Sequence[str] = ORDER) -> DataFrame:
-    """Finished runs in scan order; one arrangement serves running sums and EWMA."""
-    runs = metric_deltas(events).withColumn(
+def arrange_runs(events: DataFrame, order_by: Sequence[str] = ORDER, keep: Sequence[str] = ()) -> DataFrame:
+    """Finished runs in scan order; one arrangement serves running sums and EWMA.
+
+    Only the columns the features need are shuffled and checkpointed, plus those
+    named in ``keep``; what can be computed from them is added after that.
+    """
+    finished = events.filter(F.col("event_type").isin("JOB_COMPLETED", "JOB_FAILED"))
+    columns = list(dict.fromkeys([*RUN_COLUMNS, *order_by, *keep]))
+    return observe(arrange(finished.select(*columns), "job_type", order_by))
+
+
+def observe(runs: DataFrame) -> DataFrame:
+    """Add the deltas and ``observed_seconds``, the run time the EWMA sees (none for a failed run)."""
+    return add_deltas(runs).withColumn(
         "observed_seconds", F.when(F.col("event_type") == "JOB_COMPLETED", F.col("duration_seconds"))
     )
-    return arrange(runs, "job_type", order_by)
 
 
 def name_running(scanned: DataFrame) -> DataFrame:
@@ -141,10 +163,12 @@ def name_running(scanned: DataFrame) -> DataFrame:
     })
 
 
-def running_metrics(events: DataFrame, order_by: Sequence[str] = ORDER) -> DataFrame:
+def running_metrics(
+    events: DataFrame, order_by: Sequence[str] = ORDER, keep: Sequence[str] = ()
+) -> DataFrame:
     """Cumulative sums per job type at every finished run, the run itself included."""
-    scanned = scan(arrange_runs(events, order_by), ScanSpec("job_type", DELTAS))
-    return name_running(scanned).drop(*DELTAS, "observed_seconds")
+    arranged = arrange_runs(events, order_by, keep)
+    return name_running(scan(arranged, ScanSpec("job_type", DELTAS), drop=(*DELTAS, "observed_seconds")))
 
 
 def feature_vectors(running: DataFrame) -> DataFrame:

@@ -99,14 +99,17 @@ def arrange(df: DataFrame, key: str, order_by: Sequence[str], blocks: int | None
     return placed.sortWithinPartitions(*columns).withColumn(BLOCK, F.spark_partition_id()).checkpoint()
 
 
-def scan(arranged: DataFrame, spec: ScanSpec) -> DataFrame:
-    """Add the running columns of ``spec`` to an arranged table, without a shuffle."""
+def scan(arranged: DataFrame, spec: ScanSpec, drop: Sequence[str] = ()) -> DataFrame:
+    """Add the running columns of ``spec`` to an arranged table, without a shuffle.
+
+    Columns in ``drop`` are read by the scan but not handed on.
+    """
     ship_package(arranged.sparkSession)
     carries = _carry_sums_and_mean(_summaries(arranged, spec, {}), spec)
     if spec.value and any(carry.mu is not None for carry in carries.values()):
         carries = _carry_deviation(_summaries(arranged, spec, carries), carries, spec)
 
-    kept = [c for c in arranged.columns if c != BLOCK]
+    kept = [c for c in arranged.columns if c != BLOCK and c not in drop]
     schema = T.StructType([arranged.schema[c] for c in kept] + _added_fields(arranged.schema, spec))
     shared = arranged.sparkSession.sparkContext.broadcast(carries)
 

@@ -252,7 +252,8 @@ def feature_vectors(spark, sf_dir):
 
 @query
 def duration_ewma(spark, sf_dir):
-    smooth = ewma(completed_runs(finished(spark, sf_dir)), "duration_seconds", "job_type", metrics.ORDER)
+    runs = completed_runs(finished(spark, sf_dir)).select("job_type", "ts", "event_id", "duration_seconds")
+    smooth = ewma(runs, "duration_seconds", "job_type", metrics.ORDER)
     return pick(smooth, "event_id", "job_type", "observation", "mu", "sigma", "z",
                 rounds={"mu": 6, "sigma": 6, "z": 6})
 
@@ -355,9 +356,9 @@ INCIDENT = (
 )
 
 
-def _incident_view(found: DataFrame) -> DataFrame:
+def _incident_view(found: DataFrame, *more: str) -> DataFrame:
     joined = found.withColumn("suggested_actions", F.array_join("suggested_actions", "; "))
-    return pick(joined, *INCIDENT, stamps=["detected_at"], rounds={"anomaly_score": 6})
+    return pick(joined, *INCIDENT, *more, stamps=["detected_at"], rounds={"anomaly_score": 6})
 
 
 @query
@@ -450,7 +451,7 @@ def decoded_answers(spark, sf_dir):
 def enriched_incidents(spark, sf_dir):
     reports = _reports(spark, sf_dir)
     answered = incidents.enrich(reports, incidents.decode_answers(_answers(reports)))
-    return _incident_view(answered).join(answered.select("incident_id", "summary"), "incident_id")
+    return _incident_view(answered, "summary")
 
 
 def volume_summary(batch: pd.DataFrame) -> pd.DataFrame:

@@ -20,7 +20,7 @@ from jobvigil.operators.decode import decode_events, split_valid, usable_runs
 from jobvigil.operators.dedupe import dedupe_stream
 from jobvigil.operators.detect import Detector, anomalies, score
 from jobvigil.operators.incidents import summarize_static, to_incidents
-from jobvigil.operators.metrics import DELTAS, ORDER, feature_vectors, metric_deltas, name_running
+from jobvigil.operators.metrics import DELTAS, ORDER, RUN_COLUMNS, feature_vectors, name_running, observe
 from jobvigil.operators.notify import undelivered, with_payload
 from jobvigil.operators.ordered import ScanSpec, arrange, scan
 from jobvigil.plans.flow import Tables
@@ -43,34 +43,41 @@ def score_batch(
     The stored state goes into the scan as one row per job type in front of its
     events, so resuming needs no join and no lookup.
     """
-    runs = metric_deltas(usable_runs(events)).withColumns({
-        "observed_seconds": F.when(F.col("event_type") == "JOB_COMPLETED", F.col("duration_seconds")),
-        "start_sigma": F.lit(None).cast("double"),
-        "weight": F.lit(1).cast("bigint"),
-        "is_event": F.lit(True),
-    })
+    finished = usable_runs(events).filter(F.col("event_type").isin("JOB_COMPLETED", "JOB_FAILED"))
+    columns = list(dict.fromkeys([*RUN_COLUMNS, *order_by]))
     stored = state.select(
         "job_type",
         F.col("updated_at").alias("ts"),
-        F.col("run_count").alias("d_runs"),
-        F.col("sum_duration_seconds").alias("d_duration"),
-        F.col("sum_error_count").alias("d_errors"),
-        F.col("sum_rows").alias("d_rows"),
-        F.col("mu").alias("observed_seconds"),
-        F.col("sigma").alias("start_sigma"),
-        F.col("observations").alias("weight"),
-        F.lit(False).alias("is_event"),
+        F.struct(*[f for f in state.columns if f != "job_type"]).alias("stored"),
     )
-    arranged = arrange(runs.unionByName(stored, allowMissingColumns=True), "job_type", ["is_event", *order_by])
+    rows = finished.select(*columns).unionByName(stored, allowMissingColumns=True)
+    rows = rows.withColumn("is_event", F.col("stored").isNull())
+    arranged = _seed_from_stored(observe(arrange(rows, "job_type", ["is_event", *order_by])))
     spec = ScanSpec("job_type", DELTAS, "observed_seconds", settings.ewma_alpha, "start_sigma", "weight")
-    scanned = name_running(scan(arranged, spec))
+    consumed = (*DELTAS, "observed_seconds", "start_sigma", "weight", "stored")
+    scanned = name_running(scan(arranged, spec, drop=consumed))
     after = _state_after(scanned, order_by)
-    features = feature_vectors(scanned.filter("is_event")).drop(
-        *DELTAS, "observed_seconds", "start_sigma", "weight", "is_event"
-    )
+    features = feature_vectors(scanned.filter("is_event")).drop("is_event")
     return score(features, detector or settings.detector, model, settings), after
 
 
+def _seed_from_stored(rows: DataFrame) -> DataFrame:
+    """Let the row of a stored state bring its totals, mean, deviation and count into the scan."""
+    seeds = {
+        "d_runs": "run_count",
+        "d_duration": "sum_duration_seconds",
+        "d_errors": "sum_error_count",
+        "d_rows": "sum_rows",
+        "observed_seconds": "mu",
+    }
+    event = F.col("is_event")
+    return rows.withColumns({
+        **{column: F.when(event, F.col(column)).otherwise(F.col(f"stored.{name}")) for column, name in seeds.items()},
+        "start_sigma": F.col("stored.sigma"),
+        "weight": F.when(event, F.lit(1).cast("bigint")).otherwise(F.col("stored.observations")),
+    })
+
+
 def _state_after(scanned: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Last values per job type: one partial-aggregated row per key and task."""
     place = F.struct("is_event", *order_by)
