@@ -40,10 +40,12 @@ def dedupe_ttl(
     in one sorted list; the rest are advanced by rounds of min(), one round per
     acceptance, which never gathers the rows of an id.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     rows = df.select(id_column, F.col(ts).cast("timestamp").alias(ts)).filter(F.col(id_column).isNotNull())
+    # three answers are read off the spans, so they are computed once and kept
     spans = rows.groupBy(id_column).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
-    )
+    ).checkpoint()
     reach = F.expr(f"INTERVAL {ttl}")
     once = F.col("_last") < F.col("_first") + reach
     accepted = spans.filter(once).select(id_column, F.col("_first").alias(ts))
@@ -76,7 +78,6 @@ def _advance_by_rounds(rows: DataFrame, first: DataFrame, id_column: str, ts: st
     Rounds end when no id advances; there are at most (time span / ttl) of them,
     each one pass over the hot ids' distinct times with a map-side min().
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     times = rows.join(first.select(id_column), id_column, "left_semi").distinct().checkpoint()
     front = first.withColumnRenamed("_first", ts).checkpoint()
     accepted = front

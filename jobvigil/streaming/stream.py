@@ -137,15 +137,21 @@ def process_batch(
     found = to_incidents(anomalies(scored), settings)
     write_incidents(summarize(found), tables.path("incidents"), batch_id)
     incidents = spark.read.parquet(f"{tables.path('incidents')}/batch_id={batch_id}")
-    write_outbox(with_payload(undelivered(incidents, _sent_before(spark, tables, batch_id))), tables.path("outbox"), batch_id)
+    sent = _sent_before(spark, tables, batch_id, incidents)
+    write_outbox(with_payload(undelivered(incidents, sent)), tables.path("outbox"), batch_id)
 
 
-def _sent_before(spark: SparkSession, tables: Tables, batch_id: int) -> DataFrame:
-    """Fingerprints of earlier batches' messages."""
+def _sent_before(spark: SparkSession, tables: Tables, batch_id: int, incidents: DataFrame) -> DataFrame:
+    """Fingerprints of earlier batches' messages.
+
+    The hour is part of a fingerprint, so messages from before the batch's first
+    hour cannot match and are not read.
+    """
     if batch_id == 0:
         return spark.createDataFrame([], "fingerprint string")
-    outbox = spark.read.schema("fingerprint string, batch_id bigint").parquet(tables.path("outbox"))
-    return outbox.filter(F.col("batch_id") < batch_id)
+    outbox = spark.read.schema("fingerprint string, detected_at timestamp, batch_id bigint").parquet(tables.path("outbox"))
+    first_hour = incidents.agg(F.date_trunc("HOUR", F.min("detected_at"))).scalar()
+    return outbox.filter((F.col("batch_id") < batch_id) & (F.col("detected_at") >= first_hour)).select("fingerprint")
 
 
 def run_stream(

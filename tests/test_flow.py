@@ -8,10 +8,11 @@ from jobvigil.operators.dedupe import dedupe_stream
 from jobvigil.operators.monitor import duration_p95, throughput
 from jobvigil.plans.flow import Tables, replay
 from jobvigil.schema import DEAD_LETTERS, EVENTS, INCIDENTS, SCAN_STATE
-from jobvigil.sinks.topics import event_records
+from jobvigil.sinks.tables import dead_letter_rows
+from jobvigil.sinks.topics import INCIDENTS_TOPIC, event_records, publish_incidents
 from jobvigil.sources.samples import deliveries, runs_from_events
-from jobvigil.sources.tables import read_events, read_table
-from jobvigil.streaming.stream import process_batch, run_dead_letters, run_stream
+from jobvigil.sources.tables import read_dead_letters, read_events, read_table
+from jobvigil.streaming.stream import process_batch, run_dead_letter_topic, run_dead_letters, run_stream
 
 SENSITIVE = Settings(ewma_threshold=2.0)
 
@@ -128,3 +129,25 @@ def test_streamed_copies_of_one_id(spark, tmp_path, salts):
     writer.start(str(tmp_path / "out")).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.count() == found.select("event_id").distinct().count() == 501
+
+
+def test_dead_letter_topic_has_its_own_progress(spark, records, tmp_path):
+    for i, day in enumerate(("2024-01-01", "2024-01-15")):
+        end = ("2024-01-15", "2025-01-01")[i]
+        part = records.filter((F.col("timestamp") >= day) & (F.col("timestamp") < end))
+        part.coalesce(1).write.parquet(str(tmp_path / "topic" / f"part{i}"))
+    tables = Tables(str(tmp_path / "out"))
+    live = read_dead_letters(spark, str(tmp_path / "topic" / "*"), True, files_per_trigger=1)
+    run_dead_letter_topic(live, tables, str(tmp_path / "c")).awaitTermination()
+    stored = read_table(spark, tables.path("dead_letters"), DEAD_LETTERS, "event_id").select(*DEAD_LETTERS.names)
+    assert same(stored, dead_letter_rows(records))
+    assert stored.filter("retry_count > 1").count() > 0 and stored.filter("error <> 'unknown'").count() > 0
+
+
+def test_incident_topic(spark, batch, tmp_path):
+    found = read_table(spark, batch.path("incidents"), INCIDENTS).drop("batch_id")
+    publish_incidents(found, str(tmp_path))
+    sent = spark.read.parquet(f"{tmp_path}/{INCIDENTS_TOPIC}")
+    assert sent.count() == found.count()
+    back = sent.select("key", F.get_json_object("value", "$.incidentId").alias("incident_id"))
+    assert same(back, found.select("job_type", "incident_id"))
