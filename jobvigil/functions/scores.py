@@ -17,6 +17,13 @@ SCORE_BANDS = ((3.5, "yellow"), (4.0, "orange"), (6.0, "red"))
 INCIDENT_BANDS = ((1.0, "yellow"), (3.0, "red"))
 LATENCY_BANDS = ((1.0, "yellow"), (3.0, "red"))
 
+# The reason texts of verdicts.
+COLD_START = "cold start — seeding EWMA state"
+WARM_UP_FORMAT = "warm-up (%d/%d observations) — z=%.2f not scored yet"
+ZSCORE_FORMAT = "duration z-score=%.2f (mu=%.2fs, sigma=%.2fs)"
+FOREST_FORMAT = "isolation-forest score=%.4f (threshold=%.2f)"
+FALLBACK_PREFIX = "isolation-forest not fitted — ewma fallback: "
+
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """numerator / denominator as double, 0.0 where the denominator is 0 or absent."""
@@ -65,22 +72,20 @@ def status_band(value: Column, bands: tuple[tuple[float, str], ...]) -> Column:
 
 
 def cold_start_text() -> Column:
-    return F.lit("cold start — seeding EWMA state")
+    return F.lit(COLD_START)
 
 
 def warmup_text(observation: Column, warmup: int, z: Column) -> Column:
-    return F.format_string(
-        "warm-up (%d/%d observations) — z=%.2f not scored yet", observation, F.lit(warmup), z
-    )
+    return F.format_string(WARM_UP_FORMAT, observation, F.lit(warmup), z)
 
 
 def zscore_text(z: Column, mu: Column, sigma: Column) -> Column:
-    return F.format_string("duration z-score=%.2f (mu=%.2fs, sigma=%.2fs)", z, mu, sigma)
+    return F.format_string(ZSCORE_FORMAT, z, mu, sigma)
 
 
 def forest_text(score: Column, threshold: float) -> Column:
-    return F.format_string("isolation-forest score=%.4f (threshold=%.2f)", score, F.lit(float(threshold)))
+    return F.format_string(FOREST_FORMAT, score, F.lit(float(threshold)))
 
 
 def fallback_text(reason: Column) -> Column:
-    return F.concat(F.lit("isolation-forest not fitted — ewma fallback: "), reason)
+    return F.concat(F.lit(FALLBACK_PREFIX), reason)

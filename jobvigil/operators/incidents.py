@@ -34,7 +34,9 @@ SYSTEM_TEXT = (
 PROMPT_FORMAT = (
     "Job: %s | AnomalyScore: %.4f | Duration: %.1fs (rolling mean %.1fs) | ErrorRate: %.4f | Rows: %d | Detector: %s"
 )
-# The built-in summary.
+# The built-in summary. {} are job type, run time and rolling mean.
+STATIC_SUMMARY = "Anomaly detected in {} — duration {}s vs mean {}s"
+STATIC_CAUSE = "Likely cause: job duration spike detected by "
 STATIC_ACTIONS = ("Inspect job logs", "Check upstream data volumes")
 
 ANSWER_SCHEMA = T.StructType([
@@ -92,15 +94,14 @@ def with_prompt(incidents: DataFrame) -> DataFrame:
 
 
 def _static_columns() -> dict[str, Column]:
+    fields = (F.col("job_type"), F.col("duration_seconds").cast("string"), F.col("rolling_mean_duration").cast("string"))
+    pieces = [F.lit(text) for text in STATIC_SUMMARY.split("{}")]
+    filled = [pieces[0]]
+    for value, text in zip(fields, pieces[1:]):
+        filled += [value, text]
     return {
-        "summary": F.concat(
-            F.lit("Anomaly detected in "), F.col("job_type"), F.lit(" — duration "),
-            F.col("duration_seconds").cast("string"), F.lit("s vs mean "),
-            F.col("rolling_mean_duration").cast("string"), F.lit("s"),
-        ),
-        "likely_cause": F.concat(
-            F.lit("Likely cause: job duration spike detected by "), F.col("detector_name")
-        ),
+        "summary": F.concat(*filled),
+        "likely_cause": F.concat(F.lit(STATIC_CAUSE), F.col("detector_name")),
         "suggested_actions": F.array(*[F.lit(a) for a in STATIC_ACTIONS]),
     }
 

@@ -109,10 +109,11 @@ def latest_per_job(series: DataFrame, value: str, settings: Settings = DEFAULTS)
     The newest time is found by a hash aggregate, and only the readings at that
     time are compared by event id: ranking all readings at once would sort them.
     """
-    newest = series.groupBy("job_type").agg(F.max("ts").alias("ts"))
-    last = series.select("job_type", *ORDER, value).join(newest, ["job_type", "ts"]).groupBy("job_type").agg(
-        F.max_by(value, "event_id").alias(value)
-    )
+    readings = series.filter(F.col("job_type").isin(*settings.job_types)).select("job_type", *ORDER, value)
+    newest = readings.groupBy("job_type").agg(F.max("ts").alias("ts"))
+    # at most one row per allowed job type, hence small enough to broadcast
+    at_newest = readings.join(F.broadcast(newest), ["job_type", "ts"])
+    last = at_newest.groupBy("job_type").agg(F.max_by(value, "event_id").alias(value))
     known = literal_rows(series.sparkSession, "job_type", settings.job_types)
     joined = known.join(last, "job_type", "left")
     return joined.select("job_type", F.coalesce(value, F.lit(0.0)).alias(value))

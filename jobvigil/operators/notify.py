@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from jobvigil.operators.dedupe import dedupe
 
-# Colour per severity and the texts used when there is no summary.
+# The message format, the titles of its fields, the colour per severity
+# and the texts used when there is no summary.
+MESSAGE_FORMAT = "*[%s]* Anomaly in *%s* — score %.4f (detector: %s)"
+TITLES = ("Summary", "Likely Cause", "Incident ID", "LLM Provider")
 COLOURS = {"HIGH": "#D00000", "MEDIUM": "#FF8800", "LOW": "#FFCC00"}
 NO_SUMMARY = "Anomaly detected (LLM unavailable)"
 NO_CAUSE = "Unknown"
@@ -48,16 +51,16 @@ def with_payload(incidents: DataFrame) -> DataFrame:
         F.col("severity") == "MEDIUM", COLOURS["MEDIUM"]
     ).otherwise(COLOURS["LOW"])
     text = F.format_string(
-        "*[%s]* Anomaly in *%s* — score %.4f (detector: %s)",
+        MESSAGE_FORMAT,
         F.col("severity"), F.col("job_type"), F.col("anomaly_score"), F.col("detector_name"),
     )
     attachment = F.struct(
         colour.alias("color"),
         F.array(
-            entry("Summary", clean("summary", NO_SUMMARY), False),
-            entry("Likely Cause", clean("likely_cause", NO_CAUSE), False),
-            entry("Incident ID", clean("incident_id"), True),
-            entry("LLM Provider", clean("llm_provider"), True),
+            entry(TITLES[0], clean("summary", NO_SUMMARY), False),
+            entry(TITLES[1], clean("likely_cause", NO_CAUSE), False),
+            entry(TITLES[2], clean("incident_id"), True),
+            entry(TITLES[3], clean("llm_provider"), True),
         ).alias("fields"),
     )
     body = F.struct(F.replace(text, F.lit("\r"), F.lit("")).alias("text"), F.array(attachment).alias("attachments"))
