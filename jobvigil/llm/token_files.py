@@ -107,13 +107,14 @@ def write_token_files(
 
         waiting = 0
         for batch in batches:
-            for doc, words in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode([words.as_py()])[0] + end
-                keys.append(doc.as_py()), lengths.append(len(ids) // 4), held.append(ids)
-                waiting += len(ids) // 4
-                if waiting >= BLOCK_IDS:
-                    yield close()
-                    waiting = 0
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                    keys.append(doc), lengths.append(len(ids) // 4 + 1), held.append(ids + end)
+                    waiting += len(ids) // 4 + 1
+                    if waiting >= BLOCK_IDS:
+                        yield close()
+                        waiting = 0
         if held:
             yield close()
 

@@ -14,8 +14,8 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
-#: Ids of so many pieces are kept by a worker; then it starts anew.
-KEPT_PIECES = 200_000
+#: A worker keeps the ids of so many pieces, and as many that it met before those.
+KEPT_PIECES = 300_000
 
 _EDGE = chr(0x24F)  # the end of the Latin letters taken here
 _S = r"\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -59,24 +59,31 @@ def encoder(tokenizer_file: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer.encode_special_tokens = True
     cut = _cutter(tokenizer_file)
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def ask(texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(pieces: set[str]) -> None:
+        nonlocal known, older
+        new = pieces.difference(known)
+        if len(known) + len(new) > KEPT_PIECES:  # what is in use moves over from the older half, the rest goes
+            known, older = {}, known
+            new = pieces
+        known.update((p, older[p]) for p in new if p in older)
+        unknown = [p for p in new if p not in older]
+        known.update(zip(unknown, ask(unknown), strict=True))
+
     def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if cut is None or not _PLAIN.fullmatch(text):
-                out.append(ask([text])[0])
-                continue
-            pieces = cut.findall(text)
-            new = list({p for p in pieces if p not in known})
-            if new:
-                if len(known) > KEPT_PIECES:
-                    known.clear()
-                    new = list(set(pieces))
-                known.update(zip(new, ask(new), strict=True))
-            out.append(b"".join([known[p] for p in pieces]))
+        out, at = [], 0
+        while at < len(texts):  # a few texts at a time, by length
+            to, size = at, 0
+            while to < len(texts) and size < 1_000_000:
+                size, to = size + len(texts[to]), to + 1
+            cuts = [cut.findall(t) if cut is not None and _PLAIN.fullmatch(t) else None for t in texts[at:to]]
+            learn(set().union(*(c for c in cuts if c)))
+            out += [ask([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts[at:to], cuts, strict=True)]
+            at = to
         return out
 
     return encode
