@@ -52,4 +52,60 @@ SELECT conv_id, count(*) AS n_turns,
 FROM ordered GROUP BY conv_id
 """
 
-ORACLE = {"op1_url_filters": URL_FILTERS, "op3_chat_formatting": CHAT_FORMATTING}
+
+MIXING = """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') AS k, coalesce(source, '') AS s,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS words
+  FROM documents
+), totals AS (
+  SELECT s, sum(words)::BIGINT AS words FROM doc GROUP BY s
+), shares AS (
+  SELECT words, words / (SELECT sum(words) FROM totals)::DOUBLE AS p FROM totals WHERE words > 0
+), facts AS (
+  SELECT count(*) AS n, max(words)::DOUBLE AS most, min(words)::DOUBLE AS least FROM shares
+), by_entropy AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END FROM (
+    SELECT step, low, high, (low + high) / 2 AS mid,
+      (SELECT ln(sum(pow(p, (low + high) / 2))) - (low + high) / 2 * sum(pow(p, (low + high) / 2) * ln(p)) / sum(pow(p, (low + high) / 2)) FROM shares)
+        >= 0.998 * ln((SELECT n FROM facts)::DOUBLE) AS ok
+    FROM by_entropy WHERE step < 32)
+), chosen AS (
+  SELECT CASE WHEN n < 2 OR most = least THEN 1.0 ELSE round(greatest(
+    CASE WHEN (SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) FROM shares) >= 0.998 * ln(n::DOUBLE) THEN 1.0 ELSE (SELECT low FROM by_entropy WHERE step = 32) END,
+    CASE WHEN most / least <= 2.0 THEN 0.0 ELSE 1.0 - ln(2.0) / ln(most / least) END), 6) END AS a, most
+  FROM facts
+), sources AS (
+  SELECT *, floor(words * passes)::BIGINT AS budget FROM (
+    SELECT s, words, CASE WHEN words > 0 THEN round(pow(most / words, 1.0 - a), 6) ELSE 1.0 END AS passes,
+           greatest(1, ceil(words / 1048576.0))::BIGINT AS n_blocks
+    FROM totals, chosen)
+), named AS (
+  SELECT *, CASE WHEN words > 0 THEN budget // words ELSE 1 END AS whole FROM sources
+), placed AS (
+  SELECT doc.*, ('0x' || substr(md5(k), 1, 8))::BIGINT % n_blocks AS block FROM doc JOIN named USING (s)
+), each AS (
+  SELECT *, epoch * source_words + coalesce(sum(block_words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         row_number() OVER w AS block_rank
+  FROM (
+    SELECT b.s, b.block, b.block_words, n.words AS source_words, n.budget, n.whole, unnest(range(0, n.whole + 1)) AS epoch
+    FROM (SELECT s, block, sum(words)::BIGINT AS block_words FROM placed GROUP BY ALL) b JOIN named n USING (s))
+  WINDOW w AS (PARTITION BY s, epoch ORDER BY md5(concat_ws('|', s, block::VARCHAR, epoch::VARCHAR)), block)
+), drawn AS (
+  SELECT p.doc_id, p.source, p.words, e.*, md5(concat_ws('|', p.k, e.epoch::VARCHAR)) AS draw
+  FROM placed p JOIN each e USING (s, block)
+), counted AS (
+  SELECT *, before + sum(words) OVER (PARTITION BY s, block, epoch ORDER BY draw) AS upto FROM drawn
+)
+SELECT doc_id, source, words, epoch::BIGINT AS epoch, block, block_rank::INT AS block_rank,
+       CASE WHEN budget > 0 THEN before::DOUBLE / budget ELSE 0.0 END AS slot
+FROM counted WHERE epoch < whole OR (before < budget AND (upto <= budget OR before + block_words <= budget))
+"""
+
+ORACLE = {
+    "op1_url_filters": URL_FILTERS,
+    "op3_chat_formatting": CHAT_FORMATTING,
+    "op6_mixing": MIXING,
+}

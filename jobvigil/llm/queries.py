@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobvigil.llm import chat, packing, token_files, url_filters
+from jobvigil.llm import chat, fingerprints, mixing, packing, pii, token_files, url_filters
 from jobvigil.llm.common import table
 from jobvigil.session import ensure_checkpoint_dir
 
@@ -60,6 +60,35 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == pii.BASE_KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(n(kind) for kind in pii.BASE_KINDS),
+        F.sha2(pii.written(F.col("spans"), pii.BASE_KINDS), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    pairs = fingerprints.beside_next(fingerprints.fingerprint(documents), "doc_id", ["text", "fingerprint"])
+    n = F.length("text")
+    cut = F.floor(n / 2).cast("int")
+    edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
+    return fingerprints.fingerprint(edited, "edited", "edited_fingerprint").select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return mixing.mix_sources(documents).select(
+        "doc_id", "source", mixing.words(F.col("text")).alias("words"), "drawn.epoch", "drawn.block", "drawn.block_rank", "drawn.slot"
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     token_files.write_token_files(
@@ -74,5 +103,8 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_pii": op4_pii,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
 }
