@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobvigil.llm import chat, fingerprints, mixing, packing, pii, token_files, url_filters
+from jobvigil.llm import chat, fingerprints, language, mixing, neighbours, packing, pii, token_files, url_filters
 from jobvigil.llm.common import table
 from jobvigil.session import ensure_checkpoint_dir
 
@@ -99,6 +99,23 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
+
+
+def held_out(key: str = "doc_id"):
+    """Documents no model learns from: crc32 of the id as text leaves 1 when divided by 3."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.train(documents.where(~held_out()).select("text", "lang"))
+    told = language.identify(documents.select("doc_id", "text", held_out().alias("held_out")), model)
+    return told.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -107,4 +124,6 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
+    "op8_neighbours": op8_neighbours,
+    "op10_language": op10_language,
 }
