@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobvigil.llm import chat, fingerprints, language, mixing, neighbours, packing, pii, token_files, url_filters
+from jobvigil.llm import chat, fingerprints, language, mixing, neighbours, ngram_join, packing, pii, token_files, url_filters
 from jobvigil.llm.common import table
 from jobvigil.session import ensure_checkpoint_dir
 
@@ -104,6 +104,11 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return ngram_join.similar_groups(documents, ngram_join.Likeness(words=3, least=90, of=100))
+
+
 def held_out(key: str = "doc_id"):
     """Documents no model learns from: crc32 of the id as text leaves 1 when divided by 3."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -125,5 +130,6 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
     "op8_neighbours": op8_neighbours,
+    "op9_ngram_join": op9_ngram_join,
     "op10_language": op10_language,
 }
