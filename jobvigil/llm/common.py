@@ -34,3 +34,12 @@ def with_temporary(frame: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem = f"_{stem}"
     return stem
+
+
+#: Rows of a small table up to which it is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """Broadcast, if a count says that it is small."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame

@@ -17,12 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobvigil.llm.common import SPACE, ready
+from jobvigil.llm.common import SPACE, ready, small
 
 #: Exponents tried in one job: four levels of the bisection.
 LEVELS, JOBS = 4, 8
-#: Rows of the table of blocks, or sources, up to which it is broadcast.
-BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -119,11 +117,6 @@ def plan_mix(documents: DataFrame, mix: Mix, key: str, text: str, source: str) -
     return narrow, sources, blocks.checkpoint()
 
 
-def small(frame: DataFrame) -> DataFrame:
-    """Broadcast, if a count says that it is small."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
-
-
 def in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with k and s: also the block, drawn by hash from the blocks of their source."""
     drawn = F.conv(F.substring(F.md5(F.col("k")), 1, 8), 16, 10).cast("long")

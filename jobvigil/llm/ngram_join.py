@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobvigil.llm.common import ready
+from jobvigil.llm.common import ready, small
 from jobvigil.llm.components import components
 
 #: Sets of the clusters' documents that are compared in one task: elements and sets per block.
@@ -163,11 +163,11 @@ def entries(own, like: Likeness):
 
 
 def _names(own) -> tuple[int, int]:
-    """Two 64-bit names of a set."""
+    """Two 64-bit names of a set; the first is even."""
     import numpy as np
 
     one, two = _mix(own ^ np.uint64(0x243F6A8885A308D3)).sum(dtype=np.uint64), _mix(own ^ np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64)
-    return int(one.astype(np.int64)), int(two.astype(np.int64))
+    return int((one & ~np.uint64(1)).astype(np.int64)), int(two.astype(np.int64))
 
 
 def set_table(texts: DataFrame, like: Likeness) -> DataFrame:
@@ -185,7 +185,10 @@ def set_table(texts: DataFrame, like: Likeness) -> DataFrame:
 
 
 def list_table(texts: DataFrame, like: Likeness) -> DataFrame:
-    """list, one, low, exact: the entries of all sets.
+    """list, entry: the entries of all sets.
+
+    ``entry`` is the set's name, plus one if it is not of the smaller size in a list of
+    exact links; such lists are odd numbers, those of candidates even ones.
 
     A task first looks for lists that its own sets share: of those only one leader's
     entry goes on, and each other set gets one list with its leader. So a list that very
@@ -209,18 +212,17 @@ def list_table(texts: DataFrame, like: Likeness) -> DataFrame:
             apart = owner != leader
             pairs = np.unique(np.stack([owner[apart], leader[apart]], axis=1), axis=0)
             joint = _mix(_mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64))
+            even, odd = ~np.uint64(1), np.uint64(1)
             out = [
-                (lists[first], owner[first], np.ones(first.sum(), bool), np.zeros(first.sum(), bool)),
-                *((joint, pairs[:, k], np.ones(len(joint), bool), np.zeros(len(joint), bool)) for k in (0, 1)),
-                *((x, np.full(len(x), o), low, np.ones(len(x), bool)) for o, x, low in exact_held),
+                (lists[first] & even, owner[first]), *((joint & even, pairs[:, k]) for k in (0, 1)),
+                *((x | odd, o + ~low) for o, x, low in exact_held),
             ]
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            numbers, names = (np.concatenate(c) for c in zip(*out, strict=True))
             held.clear(), exact_held.clear()
             size = 0
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-            columns[0] = columns[0].view(np.int64)
-            for at in range(0, len(columns[0]), 1 << 17):
-                yield pa.record_batch([pa.array(c[at : at + (1 << 17)], t) for c, t in zip(columns, types, strict=True)], names=["list", "one", "low", "exact"])
+            for at in range(0, len(numbers), 1 << 17):
+                some = slice(at, at + (1 << 17))
+                yield pa.record_batch([pa.array(numbers.view(np.int64)[some]), pa.array(names[some])], names=["list", "entry"])
 
         for batch in batches:
             for text in batch.column(1):
@@ -235,7 +237,7 @@ def list_table(texts: DataFrame, like: Likeness) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "list long, one long, low boolean, exact boolean")
+    return texts.mapInArrow(run, "list long, entry long")
 
 
 def overlaps(sets: list):
@@ -296,16 +298,16 @@ def _verified(texts: DataFrame, members: DataFrame, like: Likeness, parts: int)
         bands = F.when(F.col("n") >= low, i).otherwise(bands)
     sized = members.withColumn("band", bands)
     # a cluster that fits is one block; a larger one is cut by size band and hash, and only bands that can hold similar sets meet
-    total = sized.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
-    fits = (F.col("elements") <= BLOCK_ELEMENTS) & (F.col("sets") <= BLOCK_SETS)
-    whole = total.select("cluster", fits.alias("fits"))
-    sized = sized.join(whole, "cluster").withColumn("band", F.when(F.col("fits"), 0).otherwise(F.col("band")))
-    blocks = sized.groupBy("cluster", "band").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_ELEMENTS * 2), F.ceil(F.count("*") / BLOCK_SETS * 2), F.lit(1)).cast("int").alias("blocks"))
-    blocks = sized.where("fits").select("cluster", "band").distinct().withColumn("blocks", F.lit(1)).unionByName(
-        blocks.join(whole.where("not fits").select("cluster"), "cluster"))
+    total = members.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
+    large = small(total.where((F.col("elements") > BLOCK_ELEMENTS) | (F.col("sets") > BLOCK_SETS)).select("cluster", F.lit(True).alias("large")).checkpoint())
+    sized = sized.join(large, "cluster", "left").withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(0))
+    blocks = small(sized.where("large").groupBy("cluster", "band").agg(F.greatest(
+        F.ceil(F.sum("n") / BLOCK_ELEMENTS * 2), F.ceil(F.count("*") / BLOCK_SETS * 2), F.lit(1)).cast("int").alias("blocks")).checkpoint())
     beside = lambda step, name: blocks.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
-    dealt = sized.join(blocks, ["cluster", "band"]).join(beside(1, "below"), ["cluster", "band"], "left").join(beside(-1, "above"), ["cluster", "band"], "left")
+    dealt = sized
+    for step, name in ((0, "blocks"), (1, "below"), (-1, "above")):
+        dealt = dealt.join(beside(step, name), ["cluster", "band"], "left")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     with_ = lambda n, make: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)).otherwise(F.array().cast("array<array<int>>"))
     meets = F.concat(
@@ -359,8 +361,10 @@ def similar_groups(documents: DataFrame, like: Likeness = Likeness(), key: str =
     equal = ["n", "one", "two"]
     classes = sets.where("n > 0").groupBy(*equal).agg(F.min("id").alias("rep")).where("rep is not null").checkpoint()
     lists = list_table(texts.where("id is not null"), like)
-    leader = F.min(F.when(F.col("low"), F.col("one"))).over(Window.partitionBy("list"))
-    joined = lists.withColumn("leader", leader).where("leader <> one").select("one", "leader", "exact").distinct().checkpoint()
+    leader = F.min(F.when(F.col("entry") % 2 == 0, F.col("entry"))).over(Window.partitionBy("list"))
+    name = F.col("entry").bitwiseAND(F.lit(-2).cast("long"))
+    led = lists.withColumn("leader", leader).select(name.alias("one"), "leader", (F.col("list") % 2 != 0).alias("exact"))
+    joined = led.where("leader <> one").distinct().checkpoint()
     # names of sets to their representatives, for the links that need no comparison
     reps = classes.select("one", "rep")
     exact = joined.where("exact").join(reps, "one").select(F.col("rep").alias("u"), F.col("leader").alias("one")).join(reps, "one").select("u", F.col("rep").alias("v"))

@@ -25,7 +25,7 @@ def base_spans(text):
     n = lambda m: len(re.sub("[^0-9]", "", m))
     fits = {
         "email": lambda m: True,
-        "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+        "ip": lambda m: all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m.split(".")),
         "card": lambda m: 12 <= n(m) <= 19 and luhn(re.sub("[^0-9]", "", m)),
         "phone": lambda m: 9 <= n(m) <= 15,
     }
