@@ -32,13 +32,31 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def hour_utc(ts: Column) -> Column:
-    """Hour 0-23; UTC because the session zone is UTC."""
-    return F.hour(ts)
+    """Hour 0-23 in UTC, whatever the session's zone."""
+    return F.pmod(F.floor(_utc_seconds(ts) / 3600), F.lit(24)).cast("int")
 
 
 def iso_dow(ts: Column) -> Column:
-    """ISO day of week, Monday 1 to Sunday 7."""
-    return F.weekday(ts) + F.lit(1)
+    """ISO day of week in UTC, Monday 1 to Sunday 7; the epoch was a Thursday."""
+    return (F.pmod(F.floor(_utc_seconds(ts) / 86400) + 3, F.lit(7)) + 1).cast("int")
+
+
+def _utc_seconds(ts: Column) -> Column:
+    return F.unix_seconds(ts.cast("timestamp"))
+
+
+def utc_text(ts: Column, hour: bool = False) -> Column:
+    """ISO-8601 in UTC with six digits of a second, or of the hour; dates have no zone, so no session's zone shows."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    day = F.date_from_unix_date(F.floor(micros / 86_400_000_000).cast("int")).cast("string")
+    rest = F.pmod(micros, F.lit(86_400_000_000))
+    two = lambda value: F.lpad(F.floor(value).cast("string"), 2, "0")
+    if hour:
+        return F.concat(day, F.lit("T"), two(rest / 3_600_000_000), F.lit(":00:00Z"))
+    return F.concat(
+        day, F.lit("T"), two(rest / 3_600_000_000), F.lit(":"), two(rest % 3_600_000_000 / 60_000_000), F.lit(":"),
+        two(rest % 60_000_000 / 1_000_000), F.lit("."), F.lpad((rest % 1_000_000).cast("string"), 6, "0"), F.lit("Z"),
+    )
 
 
 def severity(score: Column, detector_name: Column, scale: str = "by_detector") -> Column:

@@ -103,24 +103,46 @@ def decode_events(df: DataFrame, settings: Settings = DEFAULTS, value: str = "va
 
 
 def split_valid(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid events, rejected records); the rejected keep their raw columns and the reason."""
-    valid = decoded.filter(F.col("reject_reason").isNull()).select(*EVENT_COLUMNS)
+    """(valid events, rejected records).
+
+    Valid events keep the time, partition and offset of their record, where there are
+    such columns; the rejected keep all raw columns and the reason.
+    """
+    valid = decoded.filter(F.col("reject_reason").isNull()).select(*EVENT_COLUMNS, *arrival(decoded))
     raw = [c for c in decoded.columns if c not in EVENT_COLUMNS and c != "reject_reason"]
     rejected = decoded.filter(F.col("reject_reason").isNotNull()).select(*raw, "event_id", "reject_reason")
     return valid, rejected
 
 
+def arrival(df: DataFrame) -> list[str]:
+    """The columns that tell in which order records arrived."""
+    return [c for c in ("timestamp", "partition", "offset") if c in df.columns]
+
+
+def first_delivery(df: DataFrame) -> list[Column]:
+    """An order of records that depends on nothing but their content: arrival, event time, then a hash of the row."""
+    return [*map(F.col, arrival(df)), F.col("ts"), F.xxhash64(*[c for c in df.columns if c in EVENT_COLUMNS])]
+
+
 def completed_runs(events: DataFrame) -> DataFrame:
     """Only events that yield a feature vector and hence a score."""
     return events.filter(F.col("event_type") == "JOB_COMPLETED")
 
 
-def usable_runs(events: DataFrame) -> DataFrame:
-    """Table input guarded as JSON input is: completed runs need a finite duration."""
+def _broken_run() -> Column:
     duration = F.col("duration_seconds")
-    infinite = F.abs(duration) == F.lit(float("inf"))
-    broken = duration.isNull() | F.isnan(duration) | infinite
-    return events.filter((F.col("event_type") != "JOB_COMPLETED") | ~broken)
+    broken = duration.isNull() | F.isnan(duration) | (F.abs(duration) == F.lit(float("inf")))
+    return F.coalesce((F.col("event_type") == "JOB_COMPLETED") & broken, F.lit(False))
+
+
+def usable_runs(events: DataFrame) -> DataFrame:
+    """Table input guarded as JSON input is: completed runs need a finite duration. Every metric and score starts from these."""
+    return events.filter(~_broken_run())
+
+
+def unusable_runs(events: DataFrame) -> DataFrame:
+    """The rows ``usable_runs`` leaves out, with their reason."""
+    return events.filter(_broken_run()).withColumn("reject_reason", F.lit("bad_number"))
 
 
 def _evaluate_once(df: DataFrame, record: Column, name: str) -> DataFrame:

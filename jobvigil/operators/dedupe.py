@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobvigil.session import ensure_checkpoint_dir
+from jobvigil.session import ensure_checkpoint_dir, ship_package
 
 # Ids with more rows than this leave the per-id list for the aggregate rounds.
 HOT_ROWS = 10_000
-# Parts into which a stream splits the copies of one id.
-HOT_SALTS = 8
 
 
-def dedupe(df: DataFrame, id_column: str = "event_id", order_by: Sequence[str] = ("ts",)) -> DataFrame:
+def dedupe(df: DataFrame, id_column: str = "event_id", order_by: Sequence[str | Column] = ("ts",)) -> DataFrame:
     """The first row per id.
 
     The rank filter is applied on the map side too (window group limit), so an id
@@ -102,21 +100,33 @@ def dedupe_stats(df: DataFrame, id_column: str = "event_id", approximate: bool =
     return counted.withColumn("duplicates", F.col("deliveries") - F.col("unique_events"))
 
 
-def dedupe_stream(
-    df: DataFrame,
-    id_column: str = "event_id",
-    ts: str = "ts",
-    horizon: str = "24 hours",
-    salts: int = HOT_SALTS,
-) -> DataFrame:
-    """Streaming form: an id is remembered for ``horizon`` of event time.
+def dedupe_stream(df: DataFrame, id_column: str = "event_id", horizon: str = "24 hours") -> DataFrame:
+    """Streaming form: an id is remembered for ``horizon`` after it arrived.
 
-    State is kept per id, so all copies of an id meet in one task. They are first
-    reduced per id and salt, the salt being where the row was read, which leaves
-    at most ``salts`` of them; ``salts=1`` leaves this stage out.
+    Arrival is the time of the micro-batch, never a time in the data: an event from long ago
+    or from far ahead is processed like any other and cannot make others late. All
+    copies of an id meet in one task of the one stateful stage; each task that reads
+    drops the repeats within its own batches of rows first.
     """
-    marked = df.withWatermark(ts, horizon)
-    if salts > 1:
-        salted = marked.withColumn("_salt", F.spark_partition_id() % salts)
-        marked = salted.dropDuplicatesWithinWatermark([id_column, "_salt"]).drop("_salt")
-    return marked.dropDuplicatesWithinWatermark([id_column])
+    ship_package(df.sparkSession)
+    names = df.columns
+
+    def once(batches: Iterator) -> Iterator:
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            # the first row of each id; rows without an id are kept as they are
+            ids = batch.column(names.index(id_column))
+            codes = ids.dictionary_encode().indices
+            seen: set = set()
+            keep = [c is None or not (c in seen or seen.add(c)) for c in codes.to_pylist()]
+            yield batch if all(keep) else pc.filter(batch, pa_bools(keep))
+
+    arrived = df.mapInArrow(once, df.schema).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
+    return arrived.dropDuplicatesWithinWatermark([id_column]).drop("_arrived")
+
+
+def pa_bools(values: list[bool]):
+    import pyarrow as pa
+
+    return pa.array(values, pa.bool_())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobvigil.config import DEFAULTS, Settings
 from jobvigil.functions.scores import hour_utc, iso_dow, safe_ratio
+from jobvigil.operators.decode import usable_runs
 from jobvigil.operators.ordered import ScanSpec, arrange, scan
 
 ORDER = ("ts", "event_id")
@@ -19,9 +20,10 @@ DELTAS = ("d_runs", "d_duration", "d_errors", "d_rows")
 def metric_deltas(events: DataFrame) -> DataFrame:
     """What each finished run adds to its job type; other events add nothing and are left out.
 
-    A failed run counts as one run with one error, no time and no rows.
+    A failed run counts as one run with one error, no time and no rows. A completed run
+    without a finite duration is left out, as it is from the scores.
     """
-    return add_deltas(events.filter(F.col("event_type").isin("JOB_COMPLETED", "JOB_FAILED")))
+    return add_deltas(usable_runs(events).filter(F.col("event_type").isin("JOB_COMPLETED", "JOB_FAILED")))
 
 
 def add_deltas(finished: DataFrame) -> DataFrame:

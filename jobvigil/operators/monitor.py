@@ -110,9 +110,9 @@ def summary_latency(summaries: DataFrame, ts: str = "summarized_at", width: str
     return grouped.select(F.col("_span.start").alias("window_start"), "mean_latency", "max_latency")
 
 
-def series_stats(series: DataFrame, value: str, key: str = "job_type") -> DataFrame:
-    """Mean and maximum of a gauge over its readings, per key."""
-    return series.groupBy(key).agg(F.avg(value).alias(f"mean_{value}"), F.max(value).alias(f"max_{value}"))
+def series_stats(series: DataFrame, value: str, key: str | Sequence[str] = "job_type") -> DataFrame:
+    """Mean and maximum of a gauge over its readings, per key or combination of keys."""
+    return series.groupBy(*([key] if isinstance(key, str) else key)).agg(F.avg(value).alias(f"mean_{value}"), F.max(value).alias(f"max_{value}"))
 
 
 def dead_letter_depth(rejected: DataFrame) -> DataFrame:

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobvigil.config import DEFAULTS, Settings
-from jobvigil.operators.decode import decode_events, split_valid, usable_runs
+from jobvigil.operators.decode import decode_events, first_delivery, split_valid, usable_runs
 from jobvigil.operators.dedupe import dedupe
 from jobvigil.operators.detect import Detector, anomalies, observed_features, score
 from jobvigil.operators.forest import fit_or_none, last_days, training_matrix
 from jobvigil.operators.incidents import enrich, summarize_static, to_incidents
 from jobvigil.operators.metrics import metrics_state
 from jobvigil.operators.notify import notify_dedupe, with_payload
+from jobvigil.schema import EVENTS
 from jobvigil.sinks.tables import (
+    publish_batch,
     dead_letter_rows,
     write_batch,
     write_dead_letters,
@@ -61,7 +63,7 @@ def find_incidents(
 def incidents_from_records(records: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Raw JSON records to incidents: decode, drop the invalid, de-duplicate, score, report."""
     valid, _ = split_valid(decode_events(records, settings))
-    return find_incidents(dedupe(valid, "event_id", ("ts",)), settings)
+    return find_incidents(dedupe(valid, "event_id", first_delivery(valid)), settings)
 
 
 def replay(spark: SparkSession, records: DataFrame, tables: Tables, settings: Settings = DEFAULTS, batch_id: int = 0) -> None:
@@ -74,11 +76,12 @@ def replay(spark: SparkSession, records: DataFrame, tables: Tables, settings: Se
     decoded = decode_events(records, settings)
     valid, rejected = split_valid(decoded)
     write_dead_letters(dead_letter_rows(rejected, "reject_reason"), tables.path("dead_letters"), batch_id)
-    write_batch(dedupe(valid, "event_id", ("ts",)), tables.path("events"), batch_id)
+    write_batch(dedupe(valid, "event_id", first_delivery(valid)).select(*EVENTS.names), tables.path("events"), batch_id)
     events = spark.read.parquet(f"{tables.path('events')}/batch_id={batch_id}")
     write_metrics_state(metrics_state(events), tables.path("metrics_state"), batch_id)
     write_incidents(find_incidents(events, settings), tables.path("incidents"), batch_id)
     incidents = spark.read.parquet(f"{tables.path('incidents')}/batch_id={batch_id}")
+    publish_batch(incidents, tables.path("incidents_topic"), batch_id)
     write_outbox(with_payload(notify_dedupe(incidents)), tables.path("outbox"), batch_id)
 
 

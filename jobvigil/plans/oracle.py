@@ -33,7 +33,7 @@ runs AS (
     CASE WHEN event_type = 'JOB_COMPLETED' THEN volume END AS rows_processed,
     CASE WHEN event_type = 'JOB_COMPLETED' THEN value END AS duration_seconds,
     CASE WHEN event_type = 'JOB_COMPLETED' THEN k % 7 END AS error_count,
-    CASE WHEN event_type = 'JOB_FAILED' THEN 'FILE_NOT_FOUND' END AS error_code,
+    CASE WHEN event_type = 'JOB_FAILED' THEN 'SOURCE_ABSENT' END AS error_code,
     CASE WHEN event_type = 'JOB_FAILED' THEN 'source file missing' END AS error_message,
     CASE WHEN event_type = 'JOB_FAILED' THEN k % 4 END AS retry_count
   FROM named)"""
@@ -47,7 +47,7 @@ texts AS (
       WHEN 'JOB_PROGRESS' THEN ',"rowsProcessedSoFar":' || rows_so_far || ',"progressPercent":' || progress_percent
       WHEN 'JOB_COMPLETED' THEN ',"rowsProcessed":' || rows_processed || ',"durationSeconds":' || duration_seconds
         || ',"errorCount":' || error_count || ',"sourceFile":"export.csv"'
-      ELSE ',"errorCode":"FILE_NOT_FOUND","errorMessage":"source file missing","retryCount":' || retry_count
+      ELSE ',"errorCode":"SOURCE_ABSENT","errorMessage":"source file missing","retryCount":' || retry_count
       END || '}}' AS value
   FROM runs)"""
 
@@ -58,7 +58,7 @@ delivered AS (
   UNION ALL
   SELECT event_id, value, ts + INTERVAL 1 HOUR, 1, NULL, 1 FROM texts WHERE event_type = 'JOB_COMPLETED'
   UNION ALL
-  SELECT event_id, '{ this is not json ' || event_id, ts, retry_count, 'cannot read record ' || event_id, 3
+  SELECT event_id, '{ broken record ' || event_id, ts, retry_count, 'cannot read record ' || event_id, 3
   FROM texts WHERE event_type = 'JOB_FAILED')"""
 
 DELTAS = RUNS + """,
@@ -154,7 +154,7 @@ def _windows(source: str, at: str, width: int, slide: int) -> str:
 EVENT_COLUMNS = f"""event_id, schema_version, job_type, {_stamp("ts")}, event_type, run_id, source_file, expected_rows,
   rows_so_far, progress_percent, rows_processed, duration_seconds, error_count, error_code, error_message, retry_count"""
 
-DEAD = f"""SELECT sha256(value) AS event_id, value AS raw_payload, 'not_json' AS error, attempt AS retry_count,
+DEAD = f"""SELECT sha256(epoch_us(happened) || '|1|' || value) AS event_id, value AS raw_payload, 'not_json' AS error, attempt AS retry_count,
   {_stamp("happened", "failed_at")} FROM delivered WHERE failure IS NOT NULL"""
 
 # One decimal, halves away from zero, of a number with few decimals.
@@ -187,7 +187,7 @@ STATEMENTS: dict[str, str] = {
   FROM delivered WHERE failure IS NOT NULL""",
     "dead_letters_of_rejects": f"WITH {DELIVERED} {DEAD}",
     "dead_letters_of_topic": f"""WITH {DELIVERED}, put AS (
-  SELECT *, CASE WHEN failure IS NULL THEN event_id ELSE sha256(value) END AS id FROM delivered)
+  SELECT *, CASE WHEN failure IS NULL THEN event_id ELSE sha256(epoch_us(happened) || '|1|' || value) END AS id FROM delivered)
 SELECT id AS event_id, sha256(value) AS payload_hash, coalesce(failure, 'unknown') AS error,
   coalesce(attempt, 0) AS retry_count, {_stamp("happened", "failed_at")}
 FROM put QUALIFY row_number() OVER (PARTITION BY id ORDER BY happened DESC) = 1""",
@@ -333,8 +333,24 @@ FROM readings GROUP BY job_type""",
   round(max(score), 6) AS max_score FROM scored GROUP BY job_type"""),
     "status_bands": _recursive(SCORED, """SELECT job_type, CASE WHEN score >= 6 THEN 'red' WHEN score >= 4 THEN 'orange'
   WHEN score >= 3.5 THEN 'yellow' ELSE 'green' END AS score_colour,
-  CASE WHEN duration_seconds / 1000 >= CAST(0.2 AS DOUBLE) THEN 'red' WHEN duration_seconds / 1000 >= CAST(0.05 AS DOUBLE)
+  CASE WHEN error_rate >= CAST(0.2 AS DOUBLE) THEN 'red' WHEN error_rate >= CAST(0.05 AS DOUBLE)
   THEN 'yellow' ELSE 'green' END AS error_colour, count(*) AS runs FROM scored GROUP BY 1, 2, 3"""),
+    "dead_letters_of_every_kind": """SELECT ['not_json', 'not_an_object', 'unknown_job_type', 'missing_payload', 'unknown_event_type',
+  'bad_timestamp', 'bad_number', 'missing_event_id'][event_id % 8 + 1] AS error, count(*) AS records, count(*) AS dead_letters
+FROM events WHERE event_type = 'error' GROUP BY 1""",
+    "unique_events_of_copies": f"""WITH {RUNS} SELECT {EVENT_COLUMNS} FROM (SELECT * REPLACE (
+  CASE WHEN event_type = 'JOB_COMPLETED' AND CAST(event_id AS BIGINT) % 2 = 1 THEN 'early.csv' ELSE source_file END AS source_file) FROM runs)""",
+    "runs_without_numbers": """SELECT CASE user_id % 3 WHEN 0 THEN 'POLICY_RENEWAL' WHEN 1 THEN 'ANNUITY_PAYOUT' ELSE 'CLAIMS_INGEST' END AS job_type,
+  count(*) FILTER (event_type = 'error' OR event_id % 5 > 2) AS state_runs, count(*) FILTER (event_type <> 'error' AND event_id % 5 > 2) AS scored_runs,
+  count(*) FILTER (event_type <> 'error' AND event_id % 5 <= 2) AS rejects
+FROM events WHERE event_type IN ('purchase', 'signup', 'error') GROUP BY 1""",
+    "events_read_back": f"WITH {RUNS} SELECT {EVENT_COLUMNS} FROM runs",
+    "event_arrays_read_back": f"WITH {RUNS} SELECT {EVENT_COLUMNS} FROM runs",
+    "dead_letters_read_back": f"""WITH {DELIVERED} SELECT value, failure AS error, coalesce(attempt, 0) AS retry_count, {_stamp("happened", "timestamp")}
+  FROM delivered WHERE failure IS NOT NULL""",
+    "metrics_state_read_back": f"WITH {DELTAS} SELECT job_type, {STATE_COLUMNS} FROM deltas GROUP BY job_type",
+    "streamed_late_events": """SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(CASE event_id % 10 WHEN 0 THEN ts + INTERVAL 900 YEAR
+  WHEN 1 THEN ts - INTERVAL 30 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events""",
 }
 
 

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from jobvigil.config import FOREST, Settings
 from jobvigil.functions import headers, identity, scores
 from jobvigil.operators import dedupe, detect, forest, incidents, metrics, monitor, notify
-from jobvigil.operators.decode import completed_runs, decode_events, split_valid
+from jobvigil.operators.decode import completed_runs, decode_events, first_delivery, split_valid, unusable_runs
 from jobvigil.operators.ewma import ewma
 from jobvigil.plans.flow import Tables, find_incidents, incidents_from_records, scored_runs
-from jobvigil.schema import DEAD_LETTERS, INCIDENTS
+from jobvigil.schema import DEAD_LETTERS, EVENTS, INCIDENTS
 from jobvigil.session import ensure_checkpoint_dir
-from jobvigil.sinks.tables import dead_letter_rows
-from jobvigil.sinks.topics import event_records, incident_records
-from jobvigil.sources.samples import deliveries, runs_from_events
-from jobvigil.sources.tables import metrics_for, read_table
+from jobvigil.sinks.tables import dead_letter_rows, write_metrics_state
+from jobvigil.sinks.topics import DEAD_LETTER_TOPIC, event_records, incident_records, publish_events
+from jobvigil.sources.samples import broken_deliveries, contradicting_deliveries, deliveries, runs_from_events
+from jobvigil.sources.tables import metrics_for, read_dead_letters, read_event_array, read_events, read_metrics_state, read_table
 from jobvigil.streaming import stream
 
 # The tables' values spike less than real run times; a lower threshold finds more of them.
@@ -132,6 +132,60 @@ def dead_letter_depth(spark, sf_dir):
     return monitor.dead_letter_depth(rejected)
 
 
+@query
+def dead_letters_of_every_kind(spark, sf_dir):
+    _, rejected = split_valid(decode_events(broken_deliveries(event_records(all_events(spark, sf_dir)))))
+    records_by = rejected.groupBy(F.col("reject_reason").alias("error")).agg(F.count("*").alias("records"))
+    dead = dead_letter_rows(rejected, "reject_reason").where("failed_at is not null")
+    return records_by.join(dead.groupBy("error").agg(F.count_distinct("event_id").alias("dead_letters")), "error", "left")
+
+
+# --- through the readers and writers -------------------------------------------------------
+
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
+@query
+def events_read_back(spark, sf_dir):
+    folder = _folder(spark)
+    publish_events(all_events(spark, sf_dir), folder)
+    valid, _ = split_valid(decode_events(read_events(spark, f"{folder}/batch.events.v1")))
+    return pick(valid, *EVENT, stamps=["ts"])
+
+
+@query
+def event_arrays_read_back(spark, sf_dir):
+    sent = event_records(all_events(spark, sf_dir))
+    # a document per 200 ids, so that none grows with the table
+    documents = sent.groupBy(F.floor(F.col("event_id").cast("long") / 200)).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    folder = _folder(spark)
+    documents.select("value").write.option("lineSep", "\n").text(folder)
+    lines = spark.read.text(folder)
+    # a file of several documents is read line by line, a file per document as a whole
+    apart = f"{folder}-apart"
+    lines.repartition(8).write.option("maxRecordsPerFile", 1).text(apart)
+    valid, _ = split_valid(decode_events(read_event_array(spark, apart)))
+    return pick(valid, *EVENT, stamps=["ts"])
+
+
+@query
+def dead_letters_read_back(spark, sf_dir):
+    folder = _folder(spark)
+    records(spark, sf_dir).filter(headers.dead_letter_error(F.col("headers")) != "unknown").write.parquet(f"{folder}/{DEAD_LETTER_TOPIC}")
+    found = read_dead_letters(spark, f"{folder}/{DEAD_LETTER_TOPIC}")
+    return found.select("value", headers.dead_letter_error(F.col("headers")).alias("error"), headers.retry_count(F.col("headers")).alias("retry_count"), stamp("timestamp"))
+
+
+@query
+def metrics_state_read_back(spark, sf_dir):
+    folder = _folder(spark)
+    early, late = (metrics.metrics_state(finished(spark, sf_dir).filter(c)) for c in (F.col("ts") < F.lit(MIDDLE).cast("timestamp"), F.col("ts") >= F.lit(MIDDLE).cast("timestamp")))
+    write_metrics_state(early, folder, 0)
+    write_metrics_state(metrics.merge_metrics(read_metrics_state(spark, folder), late), folder, 1)
+    return pick(read_metrics_state(spark, folder), *STATE, stamps=["updated_at"], rounds=SUMS)
+
+
 @query
 def next_attempt_headers(spark, sf_dir):
     found = headers.retry_count(F.col("headers"))
@@ -155,7 +209,14 @@ def completed_events(spark, sf_dir):
 @query
 def unique_events(spark, sf_dir):
     valid, _ = split_valid(decode_events(records(spark, sf_dir)))
-    return pick(dedupe.dedupe(valid, "event_id", ("ts",)), *EVENT, stamps=["ts"])
+    return pick(dedupe.dedupe(valid, "event_id", first_delivery(valid)), *EVENT, stamps=["ts"])
+
+
+@query
+def unique_events_of_copies(spark, sf_dir):
+    sent = contradicting_deliveries(event_records(all_events(spark, sf_dir)))
+    valid, _ = split_valid(decode_events(sent))
+    return pick(dedupe.dedupe(valid, "event_id", first_delivery(valid)), *EVENT, stamps=["ts"])
 
 
 @query
@@ -191,6 +252,16 @@ def metrics_state(spark, sf_dir):
                 rounds={**SUMS, "mean_duration_seconds": 6, "error_rate": 9})
 
 
+@query
+def runs_without_numbers(spark, sf_dir):
+    last = F.col("event_id").cast("long") % 5
+    odd = F.when(last == 0, F.lit(None)).when(last == 1, float("nan")).when(last == 2, float("inf")).otherwise(F.col("duration_seconds"))
+    runs = finished(spark, sf_dir).withColumn("duration_seconds", odd)
+    counted = lambda frame, name: frame.groupBy("job_type").agg(F.count("*").alias(name))
+    state = metrics.metrics_state(runs).select("job_type", F.col("run_count").alias("state_runs"))
+    return state.join(counted(scored_runs(runs), "scored_runs"), "job_type").join(counted(unusable_runs(runs), "rejects"), "job_type")
+
+
 @query
 def metrics_state_lookup(spark, sf_dir):
     state = metrics_for(metrics.metrics_state(finished(spark, sf_dir)), "CLAIMS_INGEST")
@@ -570,7 +641,7 @@ def status_bands(spark, sf_dir):
     coloured = scored.select(
         "job_type",
         scores.status_band(F.col("score"), scores.SCORE_BANDS).alias("score_colour"),
-        scores.status_band(F.col("duration_seconds") / 1000, scores.ERROR_RATE_BANDS).alias("error_colour"),
+        scores.status_band(F.col("error_rate"), scores.ERROR_RATE_BANDS).alias("error_colour"),
     )
     return coloured.groupBy("job_type", "score_colour", "error_colour").agg(F.count(F.lit(1)).alias("runs"))
 
@@ -603,3 +674,18 @@ def streamed_dead_letters(spark, sf_dir):
     stream.run_dead_letters(_record_stream(spark, sf_dir), tables, tables.path("progress")).awaitTermination()
     stored = read_table(spark, tables.path("dead_letters"), DEAD_LETTERS, "event_id")
     return pick(stored, *DEAD_LETTERS.names, stamps=["failed_at"])
+
+
+@query
+def streamed_late_events(spark, sf_dir):
+    """Days-late and far-future events over several micro-batches; none may go missing or hold others back."""
+    tables = _new_tables(spark)
+    events = all_events(spark, sf_dir)
+    last = F.col("event_id").cast("long") % 10
+    moved = F.when(last == 0, F.col("ts") + F.expr("INTERVAL 900 YEARS")).when(last == 1, F.col("ts") - F.expr("INTERVAL 30 DAYS")).otherwise(F.col("ts"))
+    sent = deliveries(event_records(events.withColumn("ts", moved)))
+    # four files by id, so that every micro-batch has events of all kinds and copies of its own
+    sent.repartition(4, F.pmod(F.xxhash64("value"), F.lit(64))).write.parquet(tables.path("sent"))
+    live = read_events(spark, tables.path("sent"), streaming=True, files_per_trigger=1)
+    stream.run_stream(live, tables, tables.path("progress"), SENSITIVE).awaitTermination()
+    return pick(read_table(spark, tables.path("events"), EVENTS), "event_id", "ts", stamps=["ts"])

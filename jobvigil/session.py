@@ -22,6 +22,8 @@ def build_session(app: str = "jobvigil", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # state of streams on disk beside the executor, not in its heap
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # checkpointed blocks go when their DataFrame does, else a long stream keeps them all
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobvigil.functions.headers import dead_letter_error, retry_count
-from jobvigil.functions.identity import dead_letter_id
+from jobvigil.functions.identity import dead_letter_id, own_event_id
+from jobvigil.operators.dedupe import dedupe
 from jobvigil.schema import DEAD_LETTERS, INCIDENTS, METRICS_STATE, OUTBOX
+from jobvigil.sinks.topics import incident_records
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -34,6 +36,11 @@ def write_incidents(incidents: DataFrame, path: str, batch_id: int = 0) -> None:
     write_batch(incidents.select(*INCIDENTS.names), path, batch_id)
 
 
+def publish_batch(incidents: DataFrame, path: str, batch_id: int = 0) -> None:
+    """The batch's topic records; a retried batch replaces its own, so nothing is published twice."""
+    write_batch(incident_records(incidents), path, batch_id)
+
+
 def write_dead_letters(dead: DataFrame, path: str, batch_id: int = 0) -> None:
     write_batch(dead.select(*DEAD_LETTERS.names), path, batch_id)
 
@@ -48,19 +55,32 @@ def write_outbox(payloads: DataFrame, path: str, batch_id: int = 0) -> None:
 
 
 def dead_letter_rows(records: DataFrame, reason: str | None = None) -> DataFrame:
-    """Dead-letter table rows from raw records, one per id (the last one put wins).
+    """Dead-letter table rows from raw records, one per delivery; of records with one eventId the last.
 
-    ``reason`` names a column with the reject reason; without it the reason is
-    read from the failure headers, as for records from a dead-letter topic.
+    ``reason`` names a column with the reject reason, and ``event_id`` then is what
+    decoding found; without it the reason is read from the failure headers, as for
+    records from a dead-letter topic. A record without an eventId is named by topic,
+    partition and offset, or where it has none by its text, its time and its number
+    among equal ones. A record without a time failed now.
     """
     error = F.coalesce(F.col(reason), F.lit("unknown")) if reason else dead_letter_error(F.col("headers"))
+    has = lambda name, kind: F.col(name) if name in records.columns else F.lit(None).cast(kind)
     rows = records.select(
-        dead_letter_id(F.col("value")).alias("event_id"),
+        (F.col("event_id") if reason and "event_id" in records.columns else own_event_id(F.col("value"))).alias("own"),
         F.coalesce("value", F.lit("")).alias("raw_payload"),
         error.alias("error"),
         retry_count(F.col("headers")).alias("retry_count"),
-        F.col("timestamp").alias("failed_at"),
+        F.coalesce("timestamp", F.current_timestamp()).alias("failed_at"),
+        has("topic", "string").alias("topic"), has("partition", "int").alias("partition"), has("offset", "bigint").alias("offset"),
     )
-    whole = F.struct("failed_at", "retry_count", "error", "raw_payload")
-    last = rows.groupBy("event_id").agg(F.max(whole).alias("last"))
-    return last.select("event_id", "last.raw_payload", "last.error", "last.retry_count", "last.failed_at")
+    # only records with neither id nor place are numbered among equals, the others are spread by their content
+    nameless = F.col("own").isNull() & F.col("offset").isNull()
+    spread = F.when(nameless, F.lit(0)).otherwise(F.xxhash64("own", "raw_payload", "failed_at", "partition", "offset"))
+    text = F.sha2("raw_payload", 256)
+    copy = F.row_number().over(Window.partitionBy(spread, text, "failed_at").orderBy("error", "retry_count"))
+    number = F.concat_ws("|", F.unix_micros("failed_at").cast("string"), copy.cast("string"))
+    named = rows.withColumn("event_id", dead_letter_id(
+        F.col("own"), F.col("raw_payload"), F.col("topic"), F.col("partition"), F.col("offset"), number))
+    return dedupe(named, "event_id", (
+        F.desc("failed_at"), F.desc("partition"), F.desc("offset"), F.desc("retry_count"), F.desc("error"), F.desc(F.xxhash64("raw_payload")),
+    )).select(*DEAD_LETTERS.names)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobvigil.functions.scores import utc_text
+
 # Topic names of the event contract.
 EVENTS_TOPIC = "batch.events.v1"
 DEAD_LETTER_TOPIC = "batch.events.v1.dlq"
 INCIDENTS_TOPIC = "incidents.v1"
 
-INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
-
 
 def event_records(events: DataFrame) -> DataFrame:
     """Add ``key`` (job type) and ``value`` (event as JSON, absent fields left out)."""
@@ -33,7 +33,7 @@ def event_records(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("eventId"),
         F.col("schema_version").alias("schemaVersion"),
         F.col("job_type").alias("jobType"),
-        F.date_format("ts", INSTANT).alias("timestamp"),
+        utc_text(F.col("ts")).alias("timestamp"),
         payload.alias("payload"),
     )
     return events.withColumns({"key": F.col("job_type"), "value": F.to_json(envelope)})
@@ -53,7 +53,7 @@ def incident_records(incidents: DataFrame) -> DataFrame:
         F.col("likely_cause").alias("likelyCause"),
         F.col("suggested_actions").alias("suggestedActions"),
         F.col("llm_unavailable").alias("llmUnavailable"),
-        F.date_format("detected_at", INSTANT).alias("detectedAt"),
+        utc_text(F.col("detected_at")).alias("detectedAt"),
         F.col("llm_provider").alias("llmProvider"),
     )
     value: Column = F.to_json(envelope, {"ignoreNullFields": "false"})

@@ -38,7 +38,7 @@ def runs_from_events(events: DataFrame) -> DataFrame:
         F.when(done, rows).alias("rows_processed"),
         F.when(done, F.col("value")).alias("duration_seconds"),
         F.when(done, k % 7).alias("error_count"),
-        F.when(failed, F.lit("FILE_NOT_FOUND")).alias("error_code"),
+        F.when(failed, F.lit("SOURCE_ABSENT")).alias("error_code"),
         F.when(failed, F.lit("source file missing")).alias("error_message"),
         F.when(failed, k % 4).alias("retry_count"),
     )
@@ -59,7 +59,7 @@ def deliveries(published: DataFrame) -> DataFrame:
         "timestamp": F.col("ts") + F.expr("INTERVAL 1 HOUR"),
     })
     broken = original.filter(F.col("event_type") == "JOB_FAILED").withColumns({
-        "value": F.concat(F.lit("{ this is not json "), F.col("event_id")),
+        "value": F.concat(F.lit("{ broken record "), F.col("event_id")),
         "headers": _headers(
             (RETRY_HEADER, F.lit("x")), (RETRY_HEADER, F.col("retry_count").cast("string")),
             (ERROR_HEADER, F.concat(F.lit("cannot read record "), F.col("event_id"))),
@@ -68,6 +68,33 @@ def deliveries(published: DataFrame) -> DataFrame:
     return original.unionByName(again).unionByName(broken).select("key", "value", "headers", "timestamp")
 
 
+def broken_deliveries(published: DataFrame) -> DataFrame:
+    """Failed runs as records that are broken in each of the ways decoding tells apart; the first way gives all the same text."""
+    failed = published.filter(F.col("event_type") == "JOB_FAILED")
+    value, own = F.col("value"), F.col("event_id").cast("long") % 8
+    broken = [
+        F.lit("{ half a record"), F.lit("[1, 2]"), F.replace(value, F.col("job_type"), F.lit("NO_SUCH_JOB")),
+        F.regexp_replace(value, r',"payload".*$', "}"), F.replace(value, F.lit("JOB_FAILED"), F.lit("JOB_LOST")),
+        F.regexp_replace(value, r'"timestamp":"[^"]*"', '"timestamp":"yesterday"'),
+        F.regexp_replace(value, r'"retryCount":[0-9]+', '"retryCount":"many"'), F.regexp_replace(value, r'"eventId":"[^"]*",', ""),
+    ]
+    return failed.select(
+        "key", F.get(F.array(*broken), own.cast("int")).alias("value"),
+        F.expr("cast(null as array<struct<key:string,value:binary>>)").alias("headers"), F.lit(None).cast("timestamp").alias("timestamp"),
+    )
+
+
+def contradicting_deliveries(published: DataFrame) -> DataFrame:
+    """Every event, and a completed run with an odd id once more: an hour earlier, with another source file and the same event time."""
+    original = published.withColumns({
+        "headers": F.expr("cast(null as array<struct<key:string,value:binary>>)"), "timestamp": F.col("ts"),
+    })
+    early = original.filter((F.col("event_type") == "JOB_COMPLETED") & (F.col("event_id").cast("long") % 2 == 1)).withColumns({
+        "value": F.replace("value", F.lit("export.csv"), F.lit("early.csv")), "timestamp": F.col("ts") - F.expr("INTERVAL 1 HOUR"),
+    })
+    return original.unionByName(early).select("key", "value", "headers", "timestamp")
+
+
 def _headers(*entries: tuple[str, Column]) -> Column:
     return F.array(*[
         F.struct(F.lit(key).alias("key"), text.cast("binary").alias("value")) for key, text in entries

@@ -20,7 +20,8 @@ def read_records(
 ) -> DataFrame:
     """Raw key/value records from Kafka options or from files with the same columns.
 
-    Columns a file does not have (headers, offset, ...) come back as null.
+    Columns a file does not have (headers, offset, ...) come back as null, an absent
+    time as that of the file.
     ``file_format`` is ``parquet``, ``json`` or ``text`` (one event per line).
     """
     reader = spark.readStream if streaming else spark.read
@@ -33,10 +34,11 @@ def read_records(
     if streaming and files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if file_format == "text":
-        lines = reader.text(source)
-        absent = [f for f in RAW_RECORDS if f.name != "value"]
+        lines = reader.text(source).select("value", F.col("_metadata.file_modification_time").alias("timestamp"))
+        absent = [f for f in RAW_RECORDS if f.name not in lines.columns]
         return lines.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent}).select(*RAW_RECORDS.names)
-    return reader.schema(RAW_RECORDS).format(file_format).load(source)
+    stored = reader.schema(RAW_RECORDS).format(file_format).load(source)
+    return stored.withColumn("timestamp", F.coalesce("timestamp", "_metadata.file_modification_time"))
 
 
 def read_events(spark: SparkSession, source: Source, streaming: bool = False, **options) -> DataFrame:

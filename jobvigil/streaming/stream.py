@@ -25,7 +25,8 @@ from jobvigil.operators.notify import undelivered, with_payload
 from jobvigil.operators.ordered import ScanSpec, arrange, scan
 from jobvigil.plans.flow import Tables
 from jobvigil.schema import EVENTS, INCIDENTS, OUTBOX, SCAN_STATE
-from jobvigil.sinks.tables import dead_letter_rows, write_batch, write_dead_letters, write_incidents, write_outbox
+from jobvigil.sources.tables import read_table
+from jobvigil.sinks.tables import dead_letter_rows, publish_batch, write_batch, write_dead_letters, write_incidents, write_outbox
 
 Summarizer = Callable[[DataFrame], DataFrame]
 
@@ -123,6 +124,8 @@ def process_batch(
     once per batch however many tables follow from it.
     """
     spark = batch.sparkSession
+    if batch_id == 0:
+        _refuse_other_run(spark, tables)
     write_batch(batch.select(*EVENTS.names), tables.path("events"), batch_id)
     events = spark.read.schema(EVENTS).parquet(f"{tables.path('events')}/batch_id={batch_id}")
     before = read_state(spark, tables, batch_id)
@@ -137,10 +140,18 @@ def process_batch(
     found = to_incidents(anomalies(scored), settings)
     write_incidents(summarize(found), tables.path("incidents"), batch_id)
     incidents = spark.read.parquet(f"{tables.path('incidents')}/batch_id={batch_id}")
+    publish_batch(incidents, tables.path("incidents_topic"), batch_id)
     sent = _sent_before(spark, tables, batch_id, incidents)
     write_outbox(with_payload(undelivered(incidents, sent)), tables.path("outbox"), batch_id)
 
 
+def _refuse_other_run(spark: SparkSession, tables: Tables) -> None:
+    """A stream without progress counts batches from 0; later batches in its tables are another run's and would count twice."""
+    stored = read_table(spark, tables.path("scan_state"), SCAN_STATE).agg(F.max("batch_id").alias("last")).first()["last"]
+    if stored:
+        raise ValueError(f"{tables.root} holds a run up to batch {stored}; replay into new tables, or go on with its progress folder")
+
+
 def _sent_before(spark: SparkSession, tables: Tables, batch_id: int, incidents: DataFrame) -> DataFrame:
     """Fingerprints of earlier batches' messages.
 
@@ -166,11 +177,12 @@ def run_stream(
 ) -> StreamingQuery:
     """Raw streaming records to incidents: decode, drop the invalid, de-duplicate, score, store.
 
-    Input is at least once; ids are remembered for ``settings.dedupe_ttl`` of event
-    time. Rows older than that are dropped and counted in the query's progress.
+    Input is at least once; ids are remembered for ``settings.dedupe_ttl`` after they
+    arrived. Events are processed when they arrive, however old or far ahead their own
+    time is.
     """
     valid, _ = split_valid(decode_events(records, settings))
-    return start_events(dedupe_stream(valid, "event_id", "ts", settings.dedupe_ttl), tables, checkpoint, settings,
+    return start_events(dedupe_stream(valid, "event_id", settings.dedupe_ttl), tables, checkpoint, settings,
                         detector, model, summarize, trigger)
 
 

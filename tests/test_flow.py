@@ -116,15 +116,15 @@ def test_panels_run_as_streams(spark, sf_dir, tmp_path):
         assert streamed.count() > 0.95 * full.count()
 
 
-@pytest.mark.parametrize("salts", [1, 4])
-def test_streamed_copies_of_one_id(spark, tmp_path, salts):
+
+def test_streamed_copies_of_one_id(spark, tmp_path):
     copies = spark.range(4000).select(
         F.when(F.col("id") < 3000, F.lit("hot")).otherwise(F.concat(F.lit("e"), (F.col("id") % 500).cast("string"))).alias("event_id"),
         F.lit("2024-01-01").cast("timestamp").alias("ts"),
     )
     copies.repartition(6).write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(copies.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    unique = dedupe_stream(live, salts=salts)
+    unique = dedupe_stream(live)
     writer = unique.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
     writer.start(str(tmp_path / "out")).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out"))
