@@ -34,7 +34,7 @@ def running_sum(values: Column) -> Column:
 
 
 def running_max(values: Column) -> Column:
-    return running(values, F.lit(0).cast("long"), F.greatest)
+    return running(values, F.lit(0).cast("long"), lambda a, b: F.greatest(a, b))
 
 
 def place_of(value: Column, bounds: Column, n: int) -> Column:
