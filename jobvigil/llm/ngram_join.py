@@ -29,8 +29,12 @@ from pyspark.sql.window import Window
 from jobvigil.llm.common import ready, small
 from jobvigil.llm.components import components
 
-#: Sets of the clusters' documents that are compared in one task: elements and sets per block.
-BLOCK_ELEMENTS, BLOCK_SETS = 1 << 19, 1024
+#: Elements and sets of a block, on average; two blocks at most are compared in one task.
+BLOCK_ELEMENTS, BLOCK_SETS = 1 << 20, 1024
+#: Texts of the sample that frequent elements are looked for in, on average; texts that make one frequent; elements at most.
+SAMPLE, SEEN, FREQUENT = 8192, 3, 1 << 20
+#: One spare range for so many ranges that are needed.
+SPARE = 2
 #: Lists longer than this are counted by a matrix product.
 HEAVY = 48
 #: Entries of lists that a task looks through for its own doubles before it sends them on.
@@ -130,17 +134,26 @@ def _edges(parts: int):
     return starts, _mix(np.arange(parts, dtype=np.uint64) + np.uint64(parts << 32))
 
 
-def _range_entries(own, band: int, parts: int):
-    """One entry per range: a hash of band, range and the elements in it."""
+def _range_entries(own, cold, band: int, apart: int):
+    """One entry per range: a hash of band, range and the elements in it, for one range more than sets can be ``apart``.
+
+    There are more ranges, and each set leaves as many of its lightest out: those with the
+    fewest elements that are not frequent, then the fewest at all, then by place. Similar
+    sets agree in at least one range more than are left out, and what a range weighs
+    follows from its elements, so the heaviest of those is left out by neither. ``cold``
+    counts the elements that are not frequent up to each of the sorted ``own``.
+    """
     import numpy as np
 
-    starts, numbers = _edges(parts)
+    spare = -(-(apart + 1) // SPARE)
+    starts, numbers = _edges(apart + 1 + spare)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(own), dtype=np.uint64)])
     at = np.append(np.searchsorted(own, starts), len(own))
-    return _mix((sums[at[1:]] - sums[at[:-1]]) ^ numbers ^ np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    heavy = np.lexsort((np.diff(at), np.diff(cold[at])))[spare:]
+    return _mix((sums[at[1:]] - sums[at[:-1]])[heavy] ^ numbers[heavy] ^ np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def entries(own, like: Likeness):
+def entries(own, like: Likeness, frequent):
     """(lists of exact links, whether the set is of the smaller size there), lists of candidates; for one set."""
     import numpy as np
 
@@ -157,8 +170,10 @@ def entries(own, like: Likeness):
     lists = []
     if n >= like.bands[0][0]:
         band = next(i for i, (_, high) in enumerate(like.bands) if n <= high)
+        at = np.minimum(np.searchsorted(frequent, own), max(0, len(frequent) - 1))
+        cold = np.concatenate([[0], np.cumsum(frequent[at] != own) if len(frequent) else np.arange(1, n + 1)])
         # with its own band and the one below it; with the one above
-        lists = [_range_entries(own, i, like.apart(like.bands[i][1]) + 1) for i in (band, band + 1)]
+        lists = [_range_entries(own, cold, i, like.apart(like.bands[i][1])) for i in (band, band + 1) if i == band or like.partners(n)[-1] >= like.bands[i][0]]
     return _mix(np.array(exact, dtype=np.uint64)), np.array(low, dtype=bool), np.concatenate(lists) if lists else np.zeros(0, np.uint64)
 
 
@@ -184,7 +199,31 @@ def set_table(texts: DataFrame, like: Likeness) -> DataFrame:
     return texts.mapInArrow(run, "id long, n long, one long, two long")
 
 
-def list_table(texts: DataFrame, like: Likeness) -> DataFrame:
+def frequent_elements(texts: DataFrame, like: Likeness):
+    """Elements that at least ``SEEN`` of a bounded sample of the texts have, sorted; the most frequent, if there are very many.
+
+    They only decide which ranges a set leaves out, so links do not depend on them:
+    passages that many documents share do not connect documents that are otherwise unlike.
+    """
+    import numpy as np
+
+    n = texts.count()
+    draw = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
+    sample = texts.where(draw < min(1.0, SAMPLE / max(1, n)))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column(1):
+                yield pa.record_batch([pa.array(shingles(text.as_py(), like.words).view(np.int64))], names=["element"])
+
+    counted = sample.mapInArrow(run, "element long").groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    found = counted.orderBy(F.desc("n"), "element").limit(FREQUENT).select("element").toArrow()["element"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def list_table(texts: DataFrame, like: Likeness, frequent) -> DataFrame:
     """list, entry: the entries of all sets.
 
     ``entry`` is the set's name, plus one if it is not of the smaller size in a list of
@@ -229,7 +268,7 @@ def list_table(texts: DataFrame, like: Likeness) -> DataFrame:
                 own = shingles(text.as_py(), like.words)
                 if not len(own):
                     continue
-                exact, low, lists = entries(own, like)
+                exact, low, lists = entries(own, like, frequent)
                 name = _names(own)[0]
                 held.append((name, lists)), exact_held.append((name, exact, low))
                 size += len(lists) + len(exact)
@@ -299,10 +338,10 @@ def _verified(texts: DataFrame, members: DataFrame, like: Likeness, parts: int)
     sized = members.withColumn("band", bands)
     # a cluster that fits is one block; a larger one is cut by size band and hash, and only bands that can hold similar sets meet
     total = members.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
-    large = small(total.where((F.col("elements") > BLOCK_ELEMENTS) | (F.col("sets") > BLOCK_SETS)).select("cluster", F.lit(True).alias("large")).checkpoint())
+    large = small(total.where((F.col("elements") > 2 * BLOCK_ELEMENTS) | (F.col("sets") > 2 * BLOCK_SETS)).select("cluster", F.lit(True).alias("large")).checkpoint())
     sized = sized.join(large, "cluster", "left").withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(0))
     blocks = small(sized.where("large").groupBy("cluster", "band").agg(F.greatest(
-        F.ceil(F.sum("n") / BLOCK_ELEMENTS * 2), F.ceil(F.count("*") / BLOCK_SETS * 2), F.lit(1)).cast("int").alias("blocks")).checkpoint())
+        F.ceil(F.sum("n") / BLOCK_ELEMENTS), F.ceil(F.count("*") / BLOCK_SETS), F.lit(1)).cast("int").alias("blocks")).checkpoint())
     beside = lambda step, name: blocks.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
     dealt = sized
     for step, name in ((0, "blocks"), (1, "below"), (-1, "above")):
@@ -360,7 +399,8 @@ def similar_groups(documents: DataFrame, like: Likeness = Likeness(), key: str =
     sets = set_table(texts, like).checkpoint()
     equal = ["n", "one", "two"]
     classes = sets.where("n > 0").groupBy(*equal).agg(F.min("id").alias("rep")).where("rep is not null").checkpoint()
-    lists = list_table(texts.where("id is not null"), like)
+    named_texts = texts.where("id is not null")
+    lists = list_table(named_texts, like, frequent_elements(named_texts, like))
     leader = F.min(F.when(F.col("entry") % 2 == 0, F.col("entry"))).over(Window.partitionBy("list"))
     name = F.col("entry").bitwiseAND(F.lit(-2).cast("long"))
     led = lists.withColumn("leader", leader).select(name.alias("one"), "leader", (F.col("list") % 2 != 0).alias("exact"))
