@@ -71,15 +71,20 @@ def replay(spark: SparkSession, records: DataFrame, tables: Tables, settings: Se
 
     Ids come from the data and a batch replaces its own partition, so a second
     replay leaves the same tables. The decoded events and the incidents are read
-    back from their tables, so each step runs once.
+    back from their tables, so each step runs once. The state of the scan is stored
+    too: a stream started with ``first_batch`` after ``batch_id`` goes on from it.
     """
+    from jobvigil.streaming.stream import read_state, score_batch
+
     decoded = decode_events(records, settings)
     valid, rejected = split_valid(decoded)
     write_dead_letters(dead_letter_rows(rejected, "reject_reason"), tables.path("dead_letters"), batch_id)
     write_batch(dedupe(valid, "event_id", first_delivery(valid)).select(*EVENTS.names), tables.path("events"), batch_id)
     events = spark.read.parquet(f"{tables.path('events')}/batch_id={batch_id}")
     write_metrics_state(metrics_state(events), tables.path("metrics_state"), batch_id)
-    write_incidents(find_incidents(events, settings), tables.path("incidents"), batch_id)
+    scored, after = score_batch(events, read_state(spark, tables, 0), settings)
+    write_batch(after, tables.path("scan_state"), batch_id)
+    write_incidents(summarize_static(to_incidents(anomalies(scored), settings)), tables.path("incidents"), batch_id)
     incidents = spark.read.parquet(f"{tables.path('incidents')}/batch_id={batch_id}")
     publish_batch(incidents, tables.path("incidents_topic"), batch_id)
     write_outbox(with_payload(notify_dedupe(incidents)), tables.path("outbox"), batch_id)

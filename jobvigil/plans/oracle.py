@@ -267,6 +267,9 @@ FROM found"""),
     "incidents_default_threshold": _incidents(3.5),
     "incidents_of_records": _incidents(2.5),
     "streamed_incidents": _incidents(2.5),
+    "replayed_incidents": _incidents(2.5),
+    "resumed_incidents": _incidents(2.5),
+    "streamed_messages": f"SELECT job_type, incident_id, severity, fingerprint FROM ({_incidents(2.5)}) found",
     "streamed_dead_letters": f"WITH {DELIVERED} {DEAD}",
     "run_fingerprints": f"""WITH {RUNS} SELECT event_id, sha256(job_type || '|LOW|' || {HOUR_TEXT}) AS low_fingerprint,
   sha256(job_type || '|MEDIUM|' || {HOUR_TEXT}) AS medium_fingerprint,

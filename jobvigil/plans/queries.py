@@ -14,7 +14,7 @@ from jobvigil.functions import headers, identity, scores
 from jobvigil.operators import dedupe, detect, forest, incidents, metrics, monitor, notify
 from jobvigil.operators.decode import completed_runs, decode_events, first_delivery, split_valid, unusable_runs
 from jobvigil.operators.ewma import ewma
-from jobvigil.plans.flow import Tables, find_incidents, incidents_from_records, scored_runs
+from jobvigil.plans.flow import Tables, find_incidents, incidents_from_records, replay, scored_runs
 from jobvigil.schema import DEAD_LETTERS, EVENTS, INCIDENTS
 from jobvigil.session import ensure_checkpoint_dir
 from jobvigil.sinks.tables import dead_letter_rows, write_metrics_state
@@ -689,3 +689,33 @@ def streamed_late_events(spark, sf_dir):
     live = read_events(spark, tables.path("sent"), streaming=True, files_per_trigger=1)
     stream.run_stream(live, tables, tables.path("progress"), SENSITIVE).awaitTermination()
     return pick(read_table(spark, tables.path("events"), EVENTS), "event_id", "ts", stamps=["ts"])
+
+
+@query
+def replayed_incidents(spark, sf_dir):
+    """Two replays from the start into the same tables, which leave them as one does."""
+    tables = _new_tables(spark)
+    for _ in range(2):
+        replay(spark, records(spark, sf_dir), tables, SENSITIVE)
+    return _incident_view(read_table(spark, tables.path("incidents"), INCIDENTS))
+
+
+@query
+def resumed_incidents(spark, sf_dir):
+    """The first half of the deliveries as a replay, the second as a stream that goes on from its state."""
+    tables, sent, middle = _new_tables(spark), records(spark, sf_dir), F.lit(MIDDLE).cast("timestamp")
+    replay(spark, sent.filter(F.col("timestamp") < middle), tables, SENSITIVE)
+    sent.filter(F.col("timestamp") >= middle).coalesce(1).write.parquet(tables.path("sent"))
+    live = read_events(spark, tables.path("sent"), streaming=True)
+    stream.run_stream(live, tables, tables.path("progress"), SENSITIVE, first_batch=1).awaitTermination()
+    return _incident_view(read_table(spark, tables.path("incidents"), INCIDENTS))
+
+
+@query
+def streamed_messages(spark, sf_dir):
+    """Topic records of a stream's incidents: one for each, by the incident's id."""
+    tables = _new_tables(spark)
+    stream.run_stream(_record_stream(spark, sf_dir), tables, tables.path("progress"), SENSITIVE).awaitTermination()
+    sent = spark.read.schema("key string, value string, batch_id bigint").parquet(tables.path("incidents_topic"))
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    return sent.select(F.col("key").alias("job_type"), field("incidentId").alias("incident_id"), field("severity").alias("severity"), field("fingerprint").alias("fingerprint"))

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from jobvigil.config import DEFAULTS, Settings
 from jobvigil.operators.decode import decode_events, split_valid, usable_runs
-from jobvigil.operators.dedupe import dedupe_stream
+from jobvigil.operators.dedupe import dedupe_stream, only_new
 from jobvigil.operators.detect import Detector, anomalies, score
 from jobvigil.operators.incidents import summarize_static, to_incidents
 from jobvigil.operators.metrics import DELTAS, ORDER, RUN_COLUMNS, feature_vectors, name_running, observe
@@ -117,6 +117,7 @@ def process_batch(
     detector: str | Detector | None = None,
     model: DataFrame | None = None,
     summarize: Summarizer = summarize_static,
+    first_batch: int = 0,
 ) -> None:
     """All effects of one micro-batch of valid, unique events.
 
@@ -124,8 +125,8 @@ def process_batch(
     once per batch however many tables follow from it.
     """
     spark = batch.sparkSession
-    if batch_id == 0:
-        _refuse_other_run(spark, tables)
+    if batch_id == first_batch:
+        _refuse_other_run(spark, tables, batch_id)
     write_batch(batch.select(*EVENTS.names), tables.path("events"), batch_id)
     events = spark.read.schema(EVENTS).parquet(f"{tables.path('events')}/batch_id={batch_id}")
     before = read_state(spark, tables, batch_id)
@@ -145,10 +146,10 @@ def process_batch(
     write_outbox(with_payload(undelivered(incidents, sent)), tables.path("outbox"), batch_id)
 
 
-def _refuse_other_run(spark: SparkSession, tables: Tables) -> None:
-    """A stream without progress counts batches from 0; later batches in its tables are another run's and would count twice."""
+def _refuse_other_run(spark: SparkSession, tables: Tables, batch_id: int) -> None:
+    """A stream without progress starts to count batches anew; later ones in its tables are another run's and would count twice."""
     stored = read_table(spark, tables.path("scan_state"), SCAN_STATE).agg(F.max("batch_id").alias("last")).first()["last"]
-    if stored:
+    if stored is not None and stored > batch_id:
         raise ValueError(f"{tables.root} holds a run up to batch {stored}; replay into new tables, or go on with its progress folder")
 
 
@@ -174,16 +175,21 @@ def run_stream(
     model: DataFrame | None = None,
     summarize: Summarizer = summarize_static,
     trigger: dict | None = None,
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """Raw streaming records to incidents: decode, drop the invalid, de-duplicate, score, store.
 
     Input is at least once; ids are remembered for ``settings.dedupe_ttl`` after they
     arrived. Events are processed when they arrive, however old or far ahead their own
-    time is.
+    time is. ``first_batch`` is the number of the first micro-batch: 1 after a replay into
+    the same tables as batch 0, whose state it goes on from and whose events it knows.
     """
     valid, _ = split_valid(decode_events(records, settings))
+    if first_batch:
+        stored = records.sparkSession.read.schema("event_id string, batch_id bigint").parquet(tables.path("events"))
+        valid = only_new(valid, stored.filter(F.col("batch_id") < first_batch))
     return start_events(dedupe_stream(valid, "event_id", settings.dedupe_ttl), tables, checkpoint, settings,
-                        detector, model, summarize, trigger)
+                        detector, model, summarize, trigger, first_batch)
 
 
 def start_events(
@@ -195,10 +201,11 @@ def start_events(
     model: DataFrame | None = None,
     summarize: Summarizer = summarize_static,
     trigger: dict | None = None,
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """The part of ``run_stream`` after decoding: a stream of valid, unique events."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id, tables, settings, detector, model, summarize)
+        process_batch(batch, batch_id + first_batch, tables, settings, detector, model, summarize, first_batch)
 
     writer = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

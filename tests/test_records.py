@@ -151,13 +151,39 @@ def test_published_events_come_back(spark, sf_dir, tmp_path):
     events = runs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     publish_events(events, str(tmp_path))
     back, bad = split_valid(decode_events(read_events(spark, f"{tmp_path}/{EVENTS_TOPIC}")))
+    back = back.select(*EVENTS.names)
     assert bad.count() == 0 and back.exceptAll(events).count() == 0 and events.exceptAll(back).count() == 0
 
 
 def test_text_source_has_all_columns(spark, tmp_path):
     (tmp_path / "lines.txt").write_text(json.dumps(event()) + "\nbroken\n")
     records = read_events(spark, str(tmp_path), file_format="text")
-    assert records.filter("key is null and headers is null").count() == 2
+    assert records.filter("key is null and headers is null and timestamp is not null").count() == 2
+
+
+def test_equal_broken_records_are_dead_letters_each(spark, tmp_path):
+    (tmp_path / "lines.txt").write_text("{ half\n" * 3 + json.dumps(event()) + "\n\n\n")
+    _, bad = split_valid(decode_events(read_events(spark, str(tmp_path), file_format="text")))
+    dead = dead_letter_rows(bad, "reject_reason")
+    assert dead.count() == dead.select("event_id").distinct().count() == 5 and dead.filter("failed_at is null").count() == 0
+    placed = bad.limit(1).crossJoin(spark.range(2).selectExpr("'t' topic2", "0 part2", "id off2")).drop("topic", "partition", "offset")
+    placed = placed.withColumnsRenamed({"topic2": "topic", "part2": "partition", "off2": "offset"})
+    assert dead_letter_rows(placed, "reject_reason").count() == 2
+
+
+def test_times_are_utc_in_any_session(spark):
+    from jobvigil.functions.scores import hour_utc, iso_dow, utc_text
+
+    frame = spark.createDataFrame([(1_717_252_320_123_456,), (-1,)], "us long").select(F.timestamp_micros("us").alias("ts"))
+    texts = lambda: [tuple(r) for r in frame.select(
+        hour_utc(F.col("ts")), iso_dow(F.col("ts")), utc_text(F.col("ts")), fingerprint(F.lit("CLAIMS_INGEST"), F.lit("LOW"), F.col("ts"))).collect()]
+    utc = texts()
+    assert utc[0][:3] == (14, 6, "2024-06-01T14:32:00.123456Z") and utc[1][:3] == (23, 3, "1969-12-31T23:59:59.999999Z")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        assert texts() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_dead_letters_last_put_wins(spark, tmp_path, sf_dir):
