@@ -45,7 +45,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|call|tel|mobil|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.7, "iban|account|konto|compte|cuenta", always=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"-[0-9]{2}-", 0.4, "ssn|social security", always=False),
-    Kind("local_phone", r"(?<![0-9+.() -])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])", r"[0-9]{3}[.-][0-9]{4}", 0.4, "phone|call|tel|mobil|fax", always=False),
+    Kind("local_phone", r"(?<![0-9+(.-])(?<!\+[0-9]{1,3}\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])", r"[0-9]{3}[.-][0-9]{4}", 0.4, "phone|call|tel|mobil|fax", always=False),
 )
 BASE_KINDS = tuple(k.name for k in KINDS if k.always)
 SPANS = "array<struct<start:bigint,end:bigint,kind:int,score:double>>"
