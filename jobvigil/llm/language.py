@@ -1,7 +1,7 @@
 """Language of texts: sparse multinomial logistic regression on TF-IDF of character n-grams.
 
 How many documents hold an n-gram is counted over all labelled documents. The weights
-are fitted on a bounded sample of them, drawn by hash, with the follow-the-regularised-
+are fitted on a bounded sample of their distinct texts, drawn by hash, with the follow-the-regularised-
 leader rule and an elastic-net penalty; a temperature, fitted on a part of the sample
 kept aside, makes the probabilities honest.
 """
@@ -25,7 +25,7 @@ CHUNK = 1 << 20
 
 @dataclass(frozen=True)
 class Training:
-    """``sample``: labelled documents per language that weights are fitted on, on average over draws."""
+    """``sample``: distinct labelled texts per language that weights are fitted on, on average over draws."""
 
     sample: int = 1000
     longest: int = 3
@@ -131,7 +131,10 @@ def train(documents: DataFrame, text: str = "text", label: str = "lang", trainin
     ready(documents.sparkSession)
     known = documents.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("string").alias("label")).where(
         F.col("label").isNotNull() & F.col("text").isNotNull())
-    per_label = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # copies of a text are one text of the sample, however many there are; a task sends each on once
+    known = known.withColumn("hash", F.xxhash64("text", "label"))
+    texts = known.select("label", "hash").distinct()
+    per_label = {r["label"]: (r["n"], r["least"]) for r in texts.groupBy("label").agg(F.count("*").alias("n"), F.min("hash").alias("least")).collect()}
     languages = sorted(per_label)
     if not languages:
         return Model([], training)
@@ -162,19 +165,29 @@ def train(documents: DataFrame, text: str = "text", label: str = "lang", trainin
         import numpy as np
         import pyarrow as pa
 
+        met = set()
         for batch in batches:
-            totals = [counts(words.as_py(), training) for words in batch.column(0)]
+            new = []
+            for i, drawn in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if drawn not in met:
+                    met.add(drawn), new.append(i)
+            some = batch.take(pa.array(new, pa.int64()))
+            totals = [counts(words.as_py(), training) for words in some.column(0)]
             at = [np.flatnonzero(t) for t in totals]
             yield pa.record_batch(
-                [batch.column(1), pa.array([a.astype("<u4").tobytes() for a in at], pa.binary()), pa.array([t[a].astype("<u4").tobytes() for t, a in zip(totals, at, strict=True)], pa.binary())],
-                names=["label", "at", "n"],
+                [some.column(1), some.column(2), pa.array([a.astype("<u4").tobytes() for a in at], pa.binary()), pa.array([t[a].astype("<u4").tobytes() for t, a in zip(totals, at, strict=True)], pa.binary())],
+                names=["label", "hash", "at", "n"],
             )
 
-    share = F.lit(None).cast("double")
+    share, least = F.lit(None).cast("double"), F.lit(None).cast("long")
     for name in languages:
-        share = F.when(F.col("label") == name, float(min(1.0, training.sample / per_label[name]))).otherwise(share)
-    draw = F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) / float(1 << 30)
-    sample = sorted((r["label"], bytes(r["at"]), bytes(r["n"])) for r in known.where(draw < share).mapInArrow(featured, "label string, at binary, n binary").toLocalIterator())
+        n, first = per_label[name]
+        share = F.when(F.col("label") == name, float(min(1.0, training.sample / n))).otherwise(share)
+        least = F.when(F.col("label") == name, F.lit(first)).otherwise(least)
+    draw = F.pmod(F.col("hash"), F.lit(1 << 30)) / float(1 << 30)
+    # the text with the smallest hash is always in, so no label is without one
+    drawn = known.where((draw < share) | (F.col("hash") == least)).select("text", "label", "hash").mapInArrow(featured, "label string, hash long, at binary, n binary")
+    sample = sorted((r["label"], bytes(r["at"]), bytes(r["n"])) for r in drawn.dropDuplicates(["label", "hash"]).toLocalIterator())
     vectors = []
     for _, at, n in sample:
         total = np.zeros(training.buckets, dtype=np.int64)
@@ -182,6 +195,7 @@ def train(documents: DataFrame, text: str = "text", label: str = "lang", trainin
         vectors.append(_vector(total, idf))
     labels = np.array([languages.index(s[0]) for s in sample], dtype=np.int64)
     aside = np.random.default_rng(2).random(len(sample)) < training.aside
+    aside[np.unique(labels, return_index=True)[1]] = False  # one of each label is fitted on
     inside = np.flatnonzero(~aside)
     weights = _fit([vectors[i] for i in inside], labels[inside], len(languages), training)
     temperature = 1.0

@@ -387,3 +387,21 @@ def test_ngram_counts_do_not_depend_on_chunks(monkeypatch):
     whole = language.counts(text, t)
     monkeypatch.setattr(language, "CHUNK", 7)
     assert np.array_equal(whole, language.counts(text, t)) and whole.sum() == 1000 + 999 + 998
+
+
+def test_copies_neither_starve_nor_flood_the_languages(spark):
+    rng, t = np.random.default_rng(8), language.Training(sample=100)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(12))
+
+    copied, few, same = text("abcde"), [text("klmno") for _ in range(2)], text("vwxyz")
+    rows = [(text("abcde"), "a") for _ in range(500)] + [(copied, "a")] * 5000
+    rows += [(text("fghij"), "f") for _ in range(500)] + [(x, "k") for x in few for _ in range(1500)] + [(same, "v")] * 3000
+    model = language.train(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert model.facts["sample"] == 501 + 500 + 2 + 1
+    frame = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = language.train(frame, training=t)
+    assert model.languages == ["a", "f", "k", "v"] and 130 < model.facts["sample"] - 3 < 270
+    told = language.identify(frame, model).distinct().collect()
+    assert {r["lang_pred"] for r in told if r["lang"] in "kv"} == {"k", "v"} and np.mean([r["lang"] == r["lang_pred"] for r in told]) > 0.99
