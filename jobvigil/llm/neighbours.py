@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample; every vector is filed under a leaf. A qu
 walks the tree with a priority queue of nodes by the distance to their centres, and
 visits as many leaves as a calibration says: for a bounded sample of the queries the
 exact neighbours are found by going through all vectors, and the visits are widened
-until the leaves visited hold the wanted part of them.
+until the leaves visited hold the wanted part of them. Where these leaves hold too few
+rows for a query's neighbours, it goes on to the next ones.
 """
 
 from __future__ import annotations
@@ -103,16 +104,17 @@ def leaf_of(tree: Tree, vectors):
     return node
 
 
-def best_leaves(tree: Tree, vector, visits: int) -> list[int]:
-    """The first ``visits`` leaves, taking always the closest node seen so far."""
+def best_leaves(tree: Tree, vector, visits: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+    """The first ``visits`` leaves, taking always the closest node seen so far; more, until they hold ``least`` rows by ``held``."""
     import numpy as np
 
-    queue, out = [(0.0, 0)], []
-    while queue and len(out) < visits:
+    queue, out, rows = [(0.0, 0)], [], 0
+    while queue and (len(out) < visits or rows < least):
         _, node = heapq.heappop(queue)
         below = tree.children[node]
         if not below:
             out.append(node)
+            rows += held.get(node, 0) if held else 0
             continue
         far = np.sqrt(((tree.centres[below] - vector) ** 2).sum(axis=1))
         for d, child in zip(far.tolist(), below, strict=True):
@@ -179,16 +181,23 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, key: str = "vec_id",
 
     filed = rows.mapInArrow(file, "id long, v array<double>, asked boolean, leaf int").checkpoint()
     visits = calibrate(filed, tree, width, search)
+    held = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
 
     def walk(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
-                leaves = [best_leaves(tree, v, visits) for v in _matrix(batch.column(1), width)]
+                leaves = []
+                for v, own in zip(_matrix(batch.column(1), width), batch.column(2).to_pylist(), strict=True):
+                    # rows with the query's own key are no candidates; most queries have one, in the first leaf or near it
+                    others = {**held, **{r["leaf"]: held[r["leaf"]] - r["n"] for r in own}} if own else held
+                    leaves.append(best_leaves(tree, v, visits, others, search.k if own else search.k + 1))
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int32()))], names=["id", "v", "leaves"])
 
-    asked = filed.where("asked").select("id", "v").mapInArrow(walk, "id long, v array<double>, leaves array<int>").select("id", "v", F.explode("leaves").alias("leaf"))
+    # leaves of the keys that are repeated; other queries leave out one row
+    repeated = filed.groupBy("id", "leaf").agg(F.count("*").alias("n")).groupBy("id").agg(F.collect_list(F.struct("leaf", "n")).alias("own"), F.sum("n").alias("n")).where("n > 1").select("id", "own")
+    asked = filed.where("asked").select("id", "v").join(repeated, "id", "left").select("id", "v", "own").mapInArrow(walk, "id long, v array<double>, leaves array<int>").select("id", "v", F.explode("leaves").alias("leaf"))
     # how many blocks a leaf's rows and queries are dealt to: one row per leaf
     blocks = lambda frame, name: frame.groupBy("leaf").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / search.block)).cast("int").alias(name))
     plan = F.broadcast(blocks(filed, "row_blocks").join(blocks(asked.select("leaf"), "query_blocks"), "leaf"))

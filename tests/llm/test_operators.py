@@ -286,6 +286,21 @@ def test_neighbours(spark):
     assert [(r["vec_id"], r["rank"]) for r in neighbours.nearest_neighbours(few, asked).orderBy("rank").collect()] and neighbours.nearest_neighbours(few, asked).count() == 2
 
 
+def test_queries_apart_from_tight_groups_get_all_neighbours(spark):
+    rng = np.random.default_rng(3)
+    groups = rng.normal(size=(30, 8)) * 10
+    rows = [(i, groups[i % 30].tolist(), i < 90) for i in range(900)] + [(1000 + i, (500.0 + 9 * rng.normal(size=8)).tolist(), i == 0) for i in range(4)]
+    rows += [(2000, [-700.0] * 8, i == 0) for i in range(25)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ask boolean")
+    got = neighbours.nearest_neighbours(frame, F.col("ask"), search=neighbours.Search(per_leaf=4)).collect()
+    ranks = {}
+    for r in got:
+        assert r["vec_id"] != r["query_id"]
+        ranks.setdefault(r["query_id"], []).append(r["rank"])
+    assert set(ranks) == {*range(90), 1000, 2000} and all(sorted(r) == list(range(1, 11)) for r in ranks.values())
+    assert {1001, 1002, 1003} <= {r["vec_id"] for r in got if r["query_id"] == 1000}
+
+
 # n-gram join
 
 
