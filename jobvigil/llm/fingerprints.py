@@ -6,8 +6,10 @@ subtracting its vector. The lanes are
 
     1   number of paragraphs                                            modulo 2^32
     8   four 64-bit hashes in halves: equal multisets and only those agree   modulo 2^32
-    192 three strata of 64 lanes; each paragraph adds to one lane of a stratum:
-        every paragraph in the first, an eighth of them in the second, a 64th in the third   modulo 2^16
+    576 nine strata of 64 lanes; each paragraph adds to one lane of a stratum: every paragraph
+        in the first, an eighth of them in the second, and so on to 8^-8 in the ninth   modulo 2^16
+
+The last stratum tells apart some 5 * 64 * 8^8 paragraphs, more than two texts can have.
 
 Lanes of the strata that agree in two fingerprints tell how many paragraphs differ.
 A paragraph ends after a line break, or after a full stop, question or exclamation
@@ -24,7 +26,7 @@ from jobvigil.llm.arrays import let, place_of
 from jobvigil.llm.common import ready
 
 PARAGRAPH = r"(?<=\n)|(?<=[.!?]\x20)"
-DENSE, STRATA, LANES = 9, (1, 8, 64), 64
+DENSE, STRATA, LANES = 9, tuple(8**i for i in range(9)), 64
 _WIDE, _NARROW = 1 << 32, 1 << 16
 
 
@@ -45,14 +47,25 @@ def lanes_of(text: Column) -> Column:
         sums = F.aggregate(rows, zeros, lambda a, h: F.struct(*((a[f"s{j}"] + x).alias(f"s{j}") for j, x in enumerate(halves(h)))))
         return F.concat(F.array(F.size(rows).cast("long")), let(sums, lambda s: F.array(*(s[f"s{j}"].bitwiseAND(_WIDE - 1) for j in range(8)))))
 
-    def stratum(rows: Column, level: int, every: int) -> Column:
-        # the level is decided by other bits than lane and value, and lies within the level before
-        chosen = rows if every == 1 else F.filter(rows, lambda h: F.shiftrightunsigned(h["h2"], 8).bitwiseAND(every - 1) == 0)
-        return let(chosen, lambda c: F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda lane: total(
-            F.filter(c, lambda h: F.shiftrightunsigned(h["h3"], 8 + 8 * level).bitwiseAND(LANES - 1) == lane),
-            lambda h: h["h1"].bitwiseAND(_NARROW - 1)).bitwiseAND(_NARROW - 1)))
+    def lane_of(h: Column, level: int) -> Column:
+        return F.shiftrightunsigned(h["h3"] if level < 7 else h["h0"], 8 + 8 * (level % 7)).bitwiseAND(LANES - 1)
+
+    def within(rows: Column, level: int) -> Column:
+        # decided by other bits than lane and value; a level lies within the one before
+        return F.filter(rows, lambda h: F.shiftrightunsigned(h["h2"], 8).bitwiseAND(STRATA[level] - 1) == 0) if level else rows
+
+    def stratum(rows: Column, level: int) -> Column:
+        none = F.array_repeat(F.lit(0).cast("long"), LANES)
+        return let(within(rows, level), lambda c: F.when(F.size(c) == 0, none).otherwise(F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda lane: total(
+            F.filter(c, lambda h: lane_of(h, level) == lane), lambda h: h["h1"].bitwiseAND(_NARROW - 1)).bitwiseAND(_NARROW - 1))))
+
+    def strata(rows: Column, levels: range) -> Column:
+        return F.concat(*(stratum(rows, level) for level in levels))
 
-    return let(hashes, lambda rows: F.concat(dense(rows), *(stratum(rows, i, every) for i, every in enumerate(STRATA))))
+    # few texts have paragraphs in the sparse levels, so these are looked for once
+    sparse = range(3, len(STRATA))
+    return let(hashes, lambda rows: F.concat(dense(rows), strata(rows, range(sparse.start)), let(within(rows, sparse.start), lambda few: F.when(
+        F.size(few) == 0, F.array_repeat(F.lit(0).cast("long"), LANES * len(sparse))).otherwise(strata(few, sparse)))))
 
 
 def combine(one: Column, other: Column, sign: int = 1) -> Column:
@@ -72,13 +85,15 @@ def likeness(one: Column, other: Column) -> Column:
     one text only. The first stratum with q of a fifth or more decides, else the last.
     """
     count = lambda f: F.conv(F.substring(f, 1, 8), 16, 10).cast("double")
-    start = lambda level: 8 * DENSE + 4 * LANES * level
-    agree = lambda level: F.size(F.filter(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.substring(
-        one, i * 4 + start(level) + 1, F.lit(4)) == F.substring(other, i * 4 + start(level) + 1, F.lit(4)))) / LANES
-    differ = lambda q, every: -F.log(F.greatest(q, F.lit(0.5 / LANES))) * LANES * every
+    part = lambda f, level: F.substring(f, level * (4 * LANES) + (8 * DENSE + 1), F.lit(4 * LANES))
+    lane = lambda f, i: F.substring(f, i * 4 + 1, F.lit(4))
+    agree = lambda level: let(F.struct(part(one, level).alias("a"), part(other, level).alias("b")), lambda p: F.size(F.filter(
+        F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: lane(p["a"], i) == lane(p["b"], i))) / LANES)
+    differ = lambda q, level: -F.log(F.greatest(q, F.lit(0.5 / LANES))) * LANES * F.pow(F.lit(8.0), level)
+    last = len(STRATA) - 1
     n = count(one) + count(other)
-    estimate = let(F.array(*(agree(i) for i in range(len(STRATA)))), lambda q: F.when(F.get(q, F.lit(0)) >= 0.2, differ(F.get(q, F.lit(0)), STRATA[0])).when(
-        F.get(q, F.lit(1)) >= 0.2, differ(F.get(q, F.lit(1)), STRATA[1])).otherwise(differ(F.get(q, F.lit(2)), STRATA[2])))
+    estimate = F.aggregate(F.sequence(F.lit(0), F.lit(last)), F.lit(None).cast("double"), lambda found, level: F.when(found.isNotNull(), found).otherwise(
+        let(agree(level), lambda q: F.when((q >= 0.2) | (level == last), differ(q, level)))))
     share = let(F.greatest(F.abs(count(one) - count(other)), F.least(estimate, n)), lambda d: (n - d) / F.greatest(n + d, F.lit(1.0)))
     return F.when(one == other, F.lit(1.0)).otherwise(F.round(F.least(share, F.lit(0.999999)), 6))
 

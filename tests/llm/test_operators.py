@@ -217,6 +217,14 @@ def test_fingerprints(spark, odd):
     assert tuple(row) == (True, True, False, True, 1.0)
 
 
+def test_likeness_of_long_texts(spark):
+    text = lambda first, n: "".join(f"{i}\n" for i in range(first, first + n))
+    frame = spark.createDataFrame([(text(0, n), text(n - same, n), same / (2 * n - same)) for n, same in ((60_000, 0), (60_000, 30_000), (200_000, 0))], "a string, b string, want double")
+    prints = frame.select("want", *(fingerprints.to_text(fingerprints.lanes_of(F.col(c))).alias(c) for c in "ab"))
+    for r in prints.select("want", fingerprints.likeness(F.col("a"), F.col("b")).alias("got")).collect():
+        assert abs(r["got"] - r["want"]) < 0.2
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_next_rows(spark, parts):
     rng = np.random.default_rng(parts)
