@@ -39,7 +39,7 @@ SPARE = 2
 HEAVY = 48
 #: Entries of lists that a task looks through for its own doubles before it sends them on.
 LOCAL_ENTRIES = 1 << 20
-#: Ids of candidates up to which they are broadcast to the texts.
+#: Candidates up to which they are broadcast to the texts, each in 56 bytes.
 BROADCAST_IDS = 1_000_000
 
 
@@ -342,19 +342,10 @@ def _verified(texts: DataFrame, members: DataFrame, like: Likeness, parts: int)
     sized = sized.join(large, "cluster", "left").withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(0))
     blocks = small(sized.where("large").groupBy("cluster", "band").agg(F.greatest(
         F.ceil(F.sum("n") / BLOCK_ELEMENTS), F.ceil(F.count("*") / BLOCK_SETS), F.lit(1)).cast("int").alias("blocks")).checkpoint())
-    beside = lambda step, name: blocks.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
-    dealt = sized
-    for step, name in ((0, "blocks"), (1, "below"), (-1, "above")):
-        dealt = dealt.join(beside(step, name), ["cluster", "band"], "left")
-    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = sized.join(blocks, ["cluster", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
-    with_ = lambda n, make: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)).otherwise(F.array().cast("array<array<int>>"))
-    meets = F.concat(
-        with_("blocks", lambda q: F.array(F.col("band"), F.least(F.col("own"), q), F.col("band"), F.greatest(F.col("own"), q))),
-        with_("below", lambda q: F.array(F.col("band") - 1, q, F.col("band"), F.col("own"))),
-        with_("above", lambda q: F.array(F.col("band"), F.col("own"), F.col("band") + 1, q)),
-    )
-    placed = dealt.withColumn("own", own).select("id", "one", "two", "cluster", meets.alias("meets")).checkpoint()
+    # six numbers a row, 56 bytes, so that the number of rows bounds what is broadcast; which blocks meet is added to the sets afterwards
+    placed = dealt.withColumn("own", own).select("id", "one", "two", "cluster", "band", F.col("own").alias("block")).checkpoint()
     # of the texts, only those of members move
     few = placed.count() <= BROADCAST_IDS
     found = texts.join(F.broadcast(placed) if few else placed, "id")
@@ -366,11 +357,23 @@ def _verified(texts: DataFrame, members: DataFrame, like: Likeness, parts: int)
             own = [shingles(t.as_py(), like.words) for t in batch.column(1)]
             # an id may be repeated with another text
             same = [_names(s) == (a.as_py(), b.as_py()) for s, a, b in zip(own, batch.column(2), batch.column(3), strict=True)]
-            made = pa.record_batch([batch.column(0), batch.column(4), batch.column(5), pa.array([s.tobytes() for s in own], pa.binary())], names=["id", "cluster", "meets", "own"])
+            made = pa.record_batch([batch.column(0), *(batch.column(i) for i in (4, 5, 6)), pa.array([s.tobytes() for s in own], pa.binary())], names=["id", "cluster", "band", "block", "own"])
             yield made.filter(pa.array(same))
 
-    sets = found.select("id", "text", "one", "two", "cluster", "meets").mapInArrow(to_sets, "id long, cluster long, meets array<array<int>>, own binary")
-    grouped = sets.select("id", "cluster", F.explode("meets").alias("meet"), "own").repartition(parts, "cluster", "meet")
+    sets = found.select("id", "text", "one", "two", "cluster", "band", "block").mapInArrow(to_sets, "id long, cluster long, band int, block int, own binary")
+    # one row per cluster cut into blocks and its band; a block meets those of its band and of the bands beside it
+    beside = lambda step, name: blocks.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
+    around = blocks
+    for step, name in ((1, "below"), (-1, "above")):
+        around = around.join(beside(step, name), ["cluster", "band"], "left")
+    with_ = lambda n, make: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)).otherwise(F.array().cast("array<array<int>>"))
+    meets = F.concat(
+        with_("blocks", lambda q: F.array(F.col("band"), F.least(F.col("block"), q), F.col("band"), F.greatest(F.col("block"), q))),
+        with_("below", lambda q: F.array(F.col("band") - 1, q, F.col("band"), F.col("block"))),
+        with_("above", lambda q: F.array(F.col("band"), F.col("block"), F.col("band") + 1, q)),
+    )
+    met = sets.join(small(around.checkpoint()), ["cluster", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    grouped = met.select("id", "cluster", F.explode(meets).alias("meet"), "own").repartition(parts, "cluster", "meet")
 
     def compare(group):
         import numpy as np

@@ -374,6 +374,24 @@ def test_ngram_join_of_a_large_cluster_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == plain_groups(rows, like)
 
 
+def test_candidates_are_broadcast_without_the_blocks_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    broadcast, kept = F.broadcast, []
+    monkeypatch.setattr(F, "broadcast", lambda frame: kept.append(frame) or broadcast(frame))
+    rng, like = np.random.default_rng(5), ngram_join.Likeness(3, 90, 100)
+    rows = []
+    for i in range(120):
+        words = [f"w{j}" for j in range(150)]
+        for at in rng.integers(0, 150, rng.integers(0, 7)):
+            words[at] = f"y{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words[: 150 - int(rng.integers(0, 14))])))
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()
+    assert sorted(tuple(r) for r in got) == plain_groups(rows, like)
+    names = [{c.lower() for c in frame.columns} for frame in kept]
+    assert any({"id", "one", "two", "cluster"} <= n for n in names)
+    assert all(t in ("bigint", "int", "boolean") for frame in kept for _, t in frame.dtypes)
+
+
 def test_null_keys_in_the_join(spark):
     rows = [(None, "a b c d e f"), (None, "only me here now then"), (5, "a b c d e f"), (6, "A B C D E F")]
     got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
