@@ -104,8 +104,63 @@ SELECT doc_id, source, words, epoch::BIGINT AS epoch, block, block_rank::INT AS
 FROM counted WHERE epoch < whole OR (before < budget AND (upto <= budget OR before + block_words <= budget))
 """
 
+DIVERGENCE = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text FROM documents
+), said AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM doc
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM said GROUP BY ALL HAVING count(DISTINCT r) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), here AS (
+  SELECT lang, source, term, count(*) AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT g.lang, g.source, coalesce(any_value(l.v), 0) AS v, coalesce(sum(h.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN langs l USING (lang) LEFT JOIN here h USING (lang, source) GROUP BY g.lang, g.source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(h.n, 0) + 1)) // (g.total + g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN here h USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT s.lang, s.source, t.source AS item, sum(((s.p - t.p) * (s.p - t.p)) // t.p) AS value
+             FROM shares s JOIN shares t ON s.lang = t.lang AND s.term = t.term AND s.source <> t.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, ((s.p - q) * (s.p - q)) // q AS value
+  FROM (SELECT shares.*, 1 + (1000000000::HUGEINT * (kept.n + 1)) // (langs.total + langs.v) AS q
+        FROM shares JOIN kept USING (lang, term) JOIN langs USING (lang) WHERE shares.n > 0) s
+  WHERE s.p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+FILL_IN_MIDDLE = """
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), drawn AS (
+  SELECT *, ('0x' || substr(d, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(d, 9, 8))::BIGINT % (n + 1) AS b,
+         n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(d, 17, 8))::BIGINT % 100 >= 90 AS plain,
+         ('0x' || substr(d, 25, 8))::BIGINT % 100 < 20 AS turned
+  FROM doc
+), cut AS (
+  SELECT *, substr(text, 1, least(a, b)) AS prefix, substr(text, least(a, b) + 1, greatest(a, b) - least(a, b)) AS middle, substr(text, greatest(a, b) + 1) AS suffix FROM drawn
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN turned THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN least(a, b) END AS prefix_chars, CASE WHEN NOT plain THEN greatest(a, b) - least(a, b) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN turned THEN concat('<S>', suffix, '<P>', prefix, '<M>', middle) ELSE concat('<P>', prefix, '<S>', suffix, '<M>', middle) END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""
+
 ORACLE = {
     "op1_url_filters": URL_FILTERS,
     "op3_chat_formatting": CHAT_FORMATTING,
     "op6_mixing": MIXING,
+    "op11_divergence": DIVERGENCE,
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
 }

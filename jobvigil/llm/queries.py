@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobvigil.llm import chat, fingerprints, language, mixing, neighbours, ngram_join, packing, pii, token_files, url_filters
+from jobvigil.llm import (
+    chat, divergence, fill_in_middle, fingerprints, language, mixing, neighbours, ngram_join, packing, pii, simhash, token_files, url_filters,
+)
 from jobvigil.llm.common import table
 from jobvigil.session import ensure_checkpoint_dir
 
@@ -121,6 +123,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text"))
+    output, form = F.col("fim.output"), F.col("fim.form")
+    return made.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -132,4 +151,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_ngram_join": op9_ngram_join,
     "op10_language": op10_language,
+    "op11_divergence": op11_divergence,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_simhash": op13_simhash,
 }

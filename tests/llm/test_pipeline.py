@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_every_operator_is_registered():
     assert [q for q in contract.queries() if q.startswith("op") or q == "pipeline"] == [*queries.QUERIES, "pipeline"]
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_stages(spark, sf_dir, tmp_path):
