@@ -164,39 +164,32 @@ def _shared_terms(postings: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "lang string, s int, t int, value long")
 
 
-def _from_zero(postings: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
-    """lang, s, t, value: the first two sums, from how many terms of a source have each share."""
+def _from_zero(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """lang, s, t, value: the first two sums, from how many terms of a source have each share; two rows for each two sources."""
     seen = postings.groupBy("lang", "s", "zero", "p").agg(F.count("*").alias("terms"))
-    chunk = F.pmod(F.xxhash64("s", "p"), F.lit(parts)).cast("int")
     seen = seen.withColumn("there", F.lit(True)).unionByName(
         groups.select("lang", "s", "zero", F.col("zero").alias("p"), (F.col("v") - F.col("kept")).alias("terms"), F.lit(False).alias("there"))
-    ).withColumn("chunk", chunk)
-    peers = groups.select("lang", "s", "zero", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("chunk")).toDF("lang", "s", "zero", "chunk")
+    )
+    # every source meets all of its language once, as it does in the result
+    peers = groups.select("lang", F.explode(F.sequence(F.lit(1), "sources")).alias("s"), F.col("s").alias("t"), "zero").toDF("lang", "s", "t", "zero")
 
     def run(rows, others):
         import numpy as np
         import pyarrow as pa
 
-        peer, zero = others["s"].to_numpy(), others["zero"].to_numpy()
-        out = []
+        peer, zero = others["t"].to_numpy(), others["zero"].to_numpy()
+        ahead, back = np.zeros(len(peer), np.int64), np.zeros(len(peer), np.int64)
         for r in rows.to_pylist():
-            ahead = r["terms"] * _f(r["p"], zero)
-            back = r["terms"] * (_f(zero, r["p"]) - _f(zero, r["zero"])) if r["there"] else np.zeros(len(peer), np.int64)
-            out.append((r["s"], ahead, back))
-        if not out:
-            return pa.table({"lang": pa.array([], pa.string()), "s": pa.array([], pa.int32()), "t": pa.array([], pa.int32()), "value": pa.array([], pa.int64())})
-        name = rows["lang"][0].as_py()
-        own = np.array([s for s, _, _ in out])
-        made = []
-        for s in np.unique(own):
-            mine = np.flatnonzero(own == s)
-            ahead, back = (np.sum([out[i][k] for i in mine], axis=0) for k in (1, 2))
-            other, same = peer != s, np.full(len(peer), s)
-            made += [(same[other], peer[other], ahead[other]), (peer[other], same[other], back[other])]
-        s, t, value = (np.concatenate(c) for c in zip(*made, strict=True))
-        return pa.table({"lang": pa.array([name] * len(s), pa.string()), "s": pa.array(s, pa.int32()), "t": pa.array(t, pa.int32()), "value": pa.array(value, pa.int64())})
-
-    return seen.groupBy("lang", "chunk").cogroup(peers.groupBy("lang", "chunk")).applyInArrow(run, "lang string, s int, t int, value long")
+            ahead += r["terms"] * _f(r["p"], zero)
+            if r["there"]:
+                back += r["terms"] * (_f(zero, r["p"]) - _f(zero, r["zero"]))
+        own = rows["s"][0].as_py()
+        other, same = peer != own, np.full(len(peer), own, dtype=np.int32)
+        s, t = np.append(same[other], peer[other]), np.append(peer[other], same[other])
+        name = [rows["lang"][0].as_py()] * len(s)
+        return pa.table({"lang": pa.array(name, pa.string()), "s": pa.array(s), "t": pa.array(t), "value": pa.array(np.append(ahead[other], back[other]))})
+
+    return seen.groupBy("lang", "s").cogroup(peers.groupBy("lang", "s")).applyInArrow(run, "lang string, s int, t int, value long")
 
 
 def audit(
@@ -235,7 +228,8 @@ def audit(
     of_source = flat.groupBy("lang", "source").agg(F.count("*").alias("kept"), F.sum("n").alias("total"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     groups = names.join(of_lang, "lang", "left").join(of_source, ["lang", "source"], "left").select(
-        "lang", "source", *map(none, ("v", "lang_total", "kept", "total")), F.row_number().over(Window.partitionBy("lang").orderBy("source")).alias("s")
+        "lang", "source", *map(none, ("v", "lang_total", "kept", "total")), F.row_number().over(Window.partitionBy("lang").orderBy("source")).alias("s"),
+        F.count("*").over(Window.partitionBy("lang")).cast("int").alias("sources"),
     ).withColumn("size", F.greatest(F.col("total") + F.col("v"), F.lit(1))).withColumn("zero", F.when(F.col("v") == 0, 1).otherwise(share(F.lit(0).cast("long"), F.col("size")))).checkpoint()
 
     postings = flat.join(small(groups), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("size")))
@@ -245,7 +239,7 @@ def audit(
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = terms.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
-    sums = _shared_terms(postings, parts).unionByName(_from_zero(postings, groups, parts)).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"))
+    sums = _shared_terms(postings, parts).unionByName(_from_zero(postings, groups)).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"))
     called = lambda number, name: small(groups.select("lang", F.col("s").alias(number), F.col("source").alias(name)))
     pairs = sums.join(called("s", "source"), ["lang", "s"]).join(called("t", "item"), ["lang", "t"])
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(ranked))
