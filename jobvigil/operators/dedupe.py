@@ -7,85 +7,65 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobvigil.operators.ordered import arrange, last_seen
 from jobvigil.session import ensure_checkpoint_dir, ship_package
 
-# Ids with more rows than this leave the per-id list for the aggregate rounds.
-HOT_ROWS = 10_000
 
-
-def dedupe(df: DataFrame, id_column: str = "event_id", order_by: Sequence[str | Column] = ("ts",)) -> DataFrame:
+def dedupe(df: DataFrame, id_column: str | Sequence[str] = "event_id", order_by: Sequence[str | Column] = ("ts",)) -> DataFrame:
     """The first row per id.
 
     The rank filter is applied on the map side too (window group limit), so an id
     with very many copies sends one row per map task to the shuffle, not all.
     """
-    ranked = Window.partitionBy(id_column).orderBy(*order_by)
+    key = [id_column] if isinstance(id_column, str) else list(id_column)
+    ranked = Window.partitionBy(*key).orderBy(*order_by)
     return df.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def dedupe_ttl(
-    df: DataFrame,
-    id_column: str = "event_id",
-    ts: str = "ts",
-    ttl: str = "24 hours",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, id_column: str = "event_id", ts: str = "ts", ttl: str = "24 hours", order_by: Sequence[str | Column] = (),
 ) -> DataFrame:
-    """Rows accepted when an id is forgotten ``ttl`` after the last accepted one.
-
-    Gives one row (id, ts) per acceptance. Three ways, by what the id needs:
-    ids whose rows all lie within one ttl are accepted once, at their first row,
-    by a plain aggregate; ids with at most ``hot_rows`` distinct times are walked
-    in one sorted list; the rest are advanced by rounds of min(), one round per
-    acceptance, which never gathers the rows of an id.
+    """Rows accepted when an id is forgotten ``ttl`` after the last accepted one; of rows of one id and time the first in ``order_by``.
+
+    An id's first time is accepted, and after an accepted time the first one at least
+    ttl later, its successor. All successors are found in one ordered walk over
+    ranges of (id, time). Then jumps are doubled: from the times accepted so far, jumps over
+    1, 2, 4, ... successors reach all others, in log2(span / ttl) rounds. Nothing
+    is gathered per id, whatever the number of its rows. Ids whose rows lie within one
+    ttl need no walk. Rows without an id or a time are left out.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    rows = df.select(id_column, F.col(ts).cast("timestamp").alias(ts)).filter(F.col(id_column).isNotNull())
-    # three answers are read off the spans, so they are computed once and kept
-    spans = rows.groupBy(id_column).agg(
-        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
-    ).checkpoint()
-    reach = F.expr(f"INTERVAL {ttl}")
-    once = F.col("_last") < F.col("_first") + reach
-    accepted = spans.filter(once).select(id_column, F.col("_first").alias(ts))
-
-    light = rows.join(spans.filter(~once & (F.col("_n") <= hot_rows)).select(id_column), id_column, "left_semi")
-    accepted = accepted.unionByName(_walk_lists(light, id_column, ts, ttl))
-
-    hot = spans.filter(~once & (F.col("_n") > hot_rows)).select(id_column, "_first")
-    if hot.isEmpty():
-        return accepted
-    return accepted.unionByName(_advance_by_rounds(rows, hot, id_column, ts, reach))
-
-
-def _walk_lists(rows: DataFrame, id_column: str, ts: str, ttl: str) -> DataFrame:
-    """Per id: the sorted times folded into the accepted ones. Lists are bounded by the caller."""
-    reach = F.expr(f"INTERVAL {ttl}")
-    empty = F.expr("cast(array() as array<timestamp>)")
-
-    def step(kept: Column, t: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        return F.when(last.isNull() | (t >= last + reach), F.concat(kept, F.array(t))).otherwise(kept)
-
-    times = rows.groupBy(id_column).agg(F.array_sort(F.collect_set(ts)).alias("_times"))
-    return times.select(id_column, F.explode(F.aggregate("_times", empty, step)).alias(ts))
-
-
-def _advance_by_rounds(rows: DataFrame, first: DataFrame, id_column: str, ts: str, reach: Column) -> DataFrame:
-    """Each round finds, per id, the first time at least one ttl after the last accepted one.
-
-    Rounds end when no id advances; there are at most (time span / ttl) of them,
-    each one pass over the hot ids' distinct times with a map-side min().
-    """
-    times = rows.join(first.select(id_column), id_column, "left_semi").distinct().checkpoint()
-    front = first.withColumnRenamed("_first", ts).checkpoint()
-    accepted = front
-    while not front.isEmpty():
-        # one row per hot id, so at most (rows / hot_rows) of them
-        limits = front.select(id_column, (F.col(ts) + reach).alias("_from"))
-        later = times.join(limits, id_column).filter(F.col(ts) >= F.col("_from"))
-        front = later.groupBy(id_column).agg(F.min(ts).alias(ts)).checkpoint()
-        accepted = accepted.unionByName(front)
-    return accepted
+    reach = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {ttl}"))
+    rows = df.select(F.col(id_column).alias("_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).filter("_id is not null and _at is not null")
+    spans = rows.groupBy("_id").agg(F.min("_at").alias("_at"), F.max("_at").alias("_last")).checkpoint()
+    again = spans.filter(F.col("_last") >= F.col("_at") + reach)
+    accepted = spans.select("_id", "_at")
+    if not again.isEmpty():
+        accepted = accepted.unionByName(_later_accepted(rows.join(again.select("_id"), "_id", "left_semi").distinct(), again.select("_id", "_at"), reach))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    whole = df.withColumns({"_id": F.col(id_column), "_at": at}).join(accepted, ["_id", "_at"], "left_semi")
+    order = [*order_by] or [F.xxhash64(*df.columns)]
+    return dedupe(whole, ("_id", "_at"), order).select(*df.columns)
+
+
+def _later_accepted(times: DataFrame, first: DataFrame, reach: Column) -> DataFrame:
+    """The times (id, at) that are accepted after the first ones."""
+    # backwards in time, a time comes after those that are at least ttl later, so the last one seen is its successor
+    none = F.lit(None).cast("bigint")
+    seen = times.select("_id", (-F.col("_at")).alias("_back"), F.lit(0).alias("_asks"), F.col("_at").alias("_seen"), none.alias("_from"))
+    asked = times.select("_id", (-F.col("_at") - reach).alias("_back"), F.lit(1).alias("_asks"), none.alias("_seen"), F.col("_at").alias("_from"))
+    walked = last_seen(arrange(seen.unionByName(asked), "_id", ["_back", "_asks"]), "_id", "_seen", "_next")
+    jumps = walked.filter("_asks = 1 and _next is not null").select("_id", F.col("_from").alias("_at"), "_next")
+    # one table: accepted times have no next, jumps have one
+    state = first.select("_id", "_at", none.alias("_next")).unionByName(jumps).checkpoint()
+    while True:
+        reached, jumps = state.filter("_next is null"), state.filter("_next is not null")
+        if jumps.isEmpty():
+            return reached.select("_id", "_at").join(first, ["_id", "_at"], "left_anti")
+        onward = jumps.select("_id", F.col("_at").alias("_next"), F.col("_next").alias("_far"))
+        landed = reached.select("_id", "_at").join(jumps, ["_id", "_at"]).select("_id", F.col("_next").alias("_at"), none.alias("_next"))
+        doubled = jumps.join(onward, ["_id", "_next"]).select("_id", "_at", F.col("_far").alias("_next"))
+        state = reached.unionByName(landed).unionByName(doubled).checkpoint()
 
 
 def only_new(df: DataFrame, seen: DataFrame, id_column: str = "event_id") -> DataFrame:

@@ -129,6 +129,61 @@ def scan(arranged: DataFrame, spec: ScanSpec, drop: Sequence[str] = ()) -> DataF
     return arranged.mapInArrow(extend, schema)
 
 
+def last_seen(arranged: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the last ``value`` that is not null, up to and with each row, within the key; no shuffle."""
+    ship_package(arranged.sparkSession)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, first, end, seen = None, None, None, None
+        single = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if block is None:
+                block, first = batch.column(BLOCK)[0].as_py(), batch.column(key)[0].as_py()
+                end = first
+            filled, keys = _fill(batch, key, value, (end, seen)), batch.column(key)
+            end, seen = keys[-1].as_py(), filled[-1].as_py()
+            single = single and end == first
+        if block is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((block, first, end, seen, single))], pa.binary())], ["summary"])
+
+    found = arranged.select(BLOCK, key, value).mapInArrow(summarise, "summary binary").collect()
+    carries, current = {}, (None, None)
+    for block, first, end, seen, single in sorted((pickle.loads(bytes(row.summary)) for row in found), key=lambda s: s[0]):
+        carries[block] = current
+        # a block of one key that saw no value hands on what came before
+        current = (end, current[1] if seen is None and single and current[0] == end else seen)
+    shared = arranged.sparkSession.sparkContext.broadcast(carries)
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before = before or shared.value[batch.column(BLOCK)[0].as_py()]
+            filled = _fill(batch, key, value, before)
+            before = (batch.column(key)[-1].as_py(), filled[-1].as_py())
+            columns = [c for c in batch.schema.names if c != BLOCK]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), filled], [*columns, name])
+
+    kept = [f for f in arranged.schema if f.name != BLOCK]
+    return arranged.mapInArrow(extend, T.StructType([*kept, T.StructField(name, arranged.schema[value].dataType)]))
+
+
+def _fill(batch: pa.RecordBatch, key: str, value: str, before: tuple) -> pa.Array:
+    """The last value so far of each row's key, which for the batch's first key starts from ``before``."""
+    codes = pc.dictionary_encode(batch.column(key), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    values, places = batch.column(value), np.arange(batch.num_rows)
+    starts = np.maximum.accumulate(np.where(np.append(True, codes[1:] != codes[:-1]), places, 0))
+    last = np.maximum.accumulate(np.where(values.is_valid().to_numpy(zero_copy_only=False), places, -1))
+    known = last >= starts
+    filled = values.take(pa.array(np.where(known, last, 0), mask=~known))
+    if before[1] is None or batch.column(key)[0].as_py() != before[0]:
+        return filled
+    return pc.if_else(pa.array(~known & (starts == 0)), pa.scalar(before[1], values.type), filled)
+
+
 def _added_fields(schema: T.StructType, spec: ScanSpec) -> list[T.StructField]:
     added = [
         T.StructField(f"running_{c}", T.LongType() if _is_whole(schema[c].dataType) else T.DoubleType())

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from jobvigil.config import DEFAULTS, Settings
 from jobvigil.operators.decode import decode_events, first_delivery, split_valid, usable_runs
-from jobvigil.operators.dedupe import dedupe
+from jobvigil.operators.dedupe import dedupe, dedupe_ttl
 from jobvigil.operators.detect import Detector, anomalies, observed_features, score
 from jobvigil.operators.forest import fit_or_none, last_days, training_matrix
 from jobvigil.operators.incidents import enrich, summarize_static, to_incidents
 from jobvigil.operators.metrics import metrics_state
-from jobvigil.operators.notify import notify_dedupe, with_payload
 from jobvigil.schema import EVENTS
 from jobvigil.sinks.tables import (
     publish_batch,
@@ -23,8 +22,8 @@ from jobvigil.sinks.tables import (
     write_dead_letters,
     write_incidents,
     write_metrics_state,
-    write_outbox,
 )
+from jobvigil.sources.tables import refuse_other_run
 
 
 @dataclass(frozen=True)
@@ -60,10 +59,15 @@ def find_incidents(
     return summarize_static(found) if summaries is None else enrich(found, summaries)
 
 
-def incidents_from_records(records: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Raw JSON records to incidents: decode, drop the invalid, de-duplicate, score, report."""
+def incidents_from_records(records: DataFrame, settings: Settings = DEFAULTS, ttl: str | None = None) -> DataFrame:
+    """Raw JSON records to incidents: decode, drop the invalid, de-duplicate, score, report.
+
+    With ``ttl`` an id counts as new again that long after its last accepted arrival.
+    """
     valid, _ = split_valid(decode_events(records, settings))
-    return find_incidents(dedupe(valid, "event_id", first_delivery(valid)), settings)
+    order = first_delivery(valid)
+    unique = dedupe_ttl(valid, "event_id", "timestamp", ttl, order) if ttl else dedupe(valid, "event_id", order)
+    return find_incidents(unique, settings)
 
 
 def replay(spark: SparkSession, records: DataFrame, tables: Tables, settings: Settings = DEFAULTS, batch_id: int = 0) -> None:
@@ -72,10 +76,13 @@ def replay(spark: SparkSession, records: DataFrame, tables: Tables, settings: Se
     Ids come from the data and a batch replaces its own partition, so a second
     replay leaves the same tables. The decoded events and the incidents are read
     back from their tables, so each step runs once. The state of the scan is stored
-    too: a stream started with ``first_batch`` after ``batch_id`` goes on from it.
+    too: a stream started with ``first_batch`` after ``batch_id`` goes on from it. Tables
+    that hold later batches are refused: their events would be there twice.
     """
+    from jobvigil.streaming.ledger import notify_batch
     from jobvigil.streaming.stream import read_state, score_batch
 
+    refuse_other_run(spark, tables.path("scan_state"), batch_id)
     decoded = decode_events(records, settings)
     valid, rejected = split_valid(decoded)
     write_dead_letters(dead_letter_rows(rejected, "reject_reason"), tables.path("dead_letters"), batch_id)
@@ -87,7 +94,7 @@ def replay(spark: SparkSession, records: DataFrame, tables: Tables, settings: Se
     write_incidents(summarize_static(to_incidents(anomalies(scored), settings)), tables.path("incidents"), batch_id)
     incidents = spark.read.parquet(f"{tables.path('incidents')}/batch_id={batch_id}")
     publish_batch(incidents, tables.path("incidents_topic"), batch_id)
-    write_outbox(with_payload(notify_dedupe(incidents)), tables.path("outbox"), batch_id)
+    notify_batch(incidents, batch_id, tables, horizon=settings.dedupe_ttl)
 
 
 def train_forest(features: DataFrame, path: str, settings: Settings = DEFAULTS, days: int | None = 7, seed: int = 7) -> bool:

@@ -121,6 +121,22 @@ reports AS (
     round(rolling_mean_duration, 6) AS rolling_mean_duration, CAST(hour(ts) % 6 AS INTEGER) AS h
   FROM scored)"""
 
+# Six micro-batches by id: the mean of a job type walks from batch to batch, and by time within each.
+BATCHED = RUNS + """,
+numbered AS (
+  SELECT *, CAST(event_id AS BIGINT) % 6 AS batch_id,
+    row_number() OVER (PARTITION BY job_type ORDER BY CAST(event_id AS BIGINT) % 6, ts, event_id) AS n
+  FROM runs WHERE event_type = 'JOB_COMPLETED'),
+series AS (SELECT job_type AS grp, n, duration_seconds AS x FROM numbered),
+""" + WALK + f""",
+graded AS (
+  SELECT f.*, abs(w.z) AS score, sha256(event_id || '|ewma') AS incident_id FROM numbered f JOIN walk w ON w.grp = f.job_type AND w.n = f.n
+  WHERE f.n >= 10 AND abs(w.z) > 1.5),
+told AS (
+  SELECT *, sha256(job_type || '|' || ({BY_ZSCORE}) || '|' || {HOUR_TEXT}) AS fingerprint FROM graded),
+firsts AS (
+  SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY fingerprint, batch_id ORDER BY ts, incident_id) = 1)"""
+
 ANSWERED = REPORTS + """,
 answered AS (
   SELECT *, CASE h WHEN 0 THEN 'run ' || event_id || ' slow' WHEN 1 THEN 'fenced ' || event_id END AS summary,
@@ -203,7 +219,15 @@ SELECT 'not_json' AS reject_reason, records FROM failed UNION ALL SELECT 'all',
   UNION ALL
   SELECT e.user_id, min(e.ts) FROM kept k JOIN events e ON e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 24 HOUR
   GROUP BY e.user_id)
-SELECT user_id, {_stamp("ts")} FROM kept""",
+SELECT event_id, user_id, {_stamp("ts")}, event_type, value, props FROM events JOIN kept USING (user_id, ts)
+QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1""",
+    "events_accepted_again": f"""WITH RECURSIVE {RUNS}, kept AS (
+  SELECT job_type, min(ts) AS ts FROM runs GROUP BY job_type
+  UNION ALL
+  SELECT r.job_type, min(r.ts) FROM kept k JOIN runs r ON r.job_type = k.job_type AND r.ts >= k.ts + INTERVAL 6 HOUR
+  GROUP BY r.job_type)
+SELECT event_id, job_type, {_stamp("ts")} FROM runs JOIN kept USING (job_type, ts)
+QUALIFY row_number() OVER (PARTITION BY job_type, ts ORDER BY event_id) = 1""",
     "delivery_uniqueness": """SELECT count(*) + count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS deliveries,
   count(*) AS unique_events, count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS duplicates FROM events""",
     "events_not_seen_before": f"""WITH {RUNS} SELECT event_id, job_type, {_stamp("ts")} FROM runs
@@ -352,6 +376,22 @@ FROM events WHERE event_type IN ('purchase', 'signup', 'error') GROUP BY 1""",
     "dead_letters_read_back": f"""WITH {DELIVERED} SELECT value, failure AS error, coalesce(attempt, 0) AS retry_count, {_stamp("happened", "timestamp")}
   FROM delivered WHERE failure IS NOT NULL""",
     "metrics_state_read_back": f"WITH {DELTAS} SELECT job_type, {STATE_COLUMNS} FROM deltas GROUP BY job_type",
+    "event_arrays_with_rubbish": """WITH documents AS (SELECT DISTINCT event_id // 200 AS number FROM events), bad AS (
+  SELECT number, unnest([{'value': '7', 'reason': 'not_an_object'}, {'value': '"text"', 'reason': 'not_an_object'},
+    {'value': 'null', 'reason': 'not_an_object'}, {'value': '[1, 2]', 'reason': 'not_an_object'}, {'value': '{"a" 1}', 'reason': 'not_json'},
+    CASE WHEN number % 2 = 0 THEN {'value': '{"eventId":"cut', 'reason': 'not_json'} ELSE {'value': '"end"', 'reason': 'not_an_object'} END]) AS one
+  FROM documents)
+SELECT CAST(event_id AS VARCHAR) AS event_id, NULL AS value, NULL AS reject_reason, CAST(1 AS BIGINT) AS records, CAST(1 AS BIGINT) AS places FROM events
+UNION ALL SELECT NULL, one.value, one.reason, count(*), count(*) FROM bad GROUP BY one""",
+    "streamed_outbox": _recursive(BATCHED, f"""SELECT fingerprint, incident_id, batch_id, {_stamp("ts", "detected_at")}
+FROM firsts QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY batch_id) = 1"""),
+    "retried_deliveries": _recursive(BATCHED, """, settled AS (
+  SELECT fingerprint, min(batch_id) FILTER (batch_id % 3 <> 2) AS batch_id FROM firsts GROUP BY fingerprint)
+SELECT s.fingerprint, CAST(count(s.batch_id) FILTER (f.batch_id = s.batch_id) AS BIGINT) AS delivered,
+  CAST(count(*) FILTER (f.batch_id % 3 = 2 AND (s.batch_id IS NULL OR f.batch_id < s.batch_id)) AS BIGINT) AS failures, s.batch_id,
+  min(f.incident_id) FILTER (f.batch_id = s.batch_id) AS incident_id
+FROM settled s JOIN firsts f ON f.fingerprint = s.fingerprint GROUP BY s.fingerprint, s.batch_id"""),
+    "metrics_state_streamed": f"WITH {DELTAS} SELECT job_type, {STATE_COLUMNS} FROM deltas GROUP BY job_type",
     "streamed_late_events": """SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(CASE event_id % 10 WHEN 0 THEN ts + INTERVAL 900 YEAR
   WHEN 1 THEN ts - INTERVAL 30 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events""",
 }

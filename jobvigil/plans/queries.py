@@ -15,7 +15,7 @@ from jobvigil.operators import dedupe, detect, forest, incidents, metrics, monit
 from jobvigil.operators.decode import completed_runs, decode_events, first_delivery, split_valid, unusable_runs
 from jobvigil.operators.ewma import ewma
 from jobvigil.plans.flow import Tables, find_incidents, incidents_from_records, replay, scored_runs
-from jobvigil.schema import DEAD_LETTERS, EVENTS, INCIDENTS
+from jobvigil.schema import DEAD_LETTERS, DELIVERIES, EVENTS, INCIDENTS, OUTBOX
 from jobvigil.session import ensure_checkpoint_dir
 from jobvigil.sinks.tables import dead_letter_rows, write_metrics_state
 from jobvigil.sinks.topics import DEAD_LETTER_TOPIC, event_records, incident_records, publish_events
@@ -169,6 +169,22 @@ def event_arrays_read_back(spark, sf_dir):
     return pick(valid, *EVENT, stamps=["ts"])
 
 
+@query
+def event_arrays_with_rubbish(spark, sf_dir):
+    """Documents with numbers, texts, nulls, arrays and broken objects among their events, every second one cut off."""
+    sent = event_records(all_events(spark, sf_dir))
+    rubbish = F.lit(',7,"text",null,[1, 2],{"a" 1},').alias("rubbish")
+    documents = sent.groupBy(F.floor(F.col("event_id").cast("long") / 200).alias("number")).agg(F.array_join(F.collect_list("value"), ", ").alias("events"))
+    end = F.when(F.col("number") % 2 == 0, '{"eventId":"cut').otherwise('"end"]')
+    folder = _folder(spark)
+    documents.select(F.concat(F.lit("["), F.col("events"), rubbish, end).alias("value")).repartition(8).write.option("maxRecordsPerFile", 1).text(folder)
+    valid, rejected = split_valid(decode_events(read_event_array(spark, folder)))
+    none = F.lit(None).cast("string")
+    bad = rejected.groupBy("value", "reject_reason").agg(F.count("*").alias("records"), F.count_distinct("topic", "offset").alias("places"))
+    good = valid.groupBy("event_id").agg(F.count("*").alias("records")).select("event_id", none.alias("value"), none.alias("reject_reason"), "records", F.col("records").alias("places"))
+    return good.unionByName(bad.withColumn("event_id", none))
+
+
 @query
 def dead_letters_read_back(spark, sf_dir):
     folder = _folder(spark)
@@ -221,8 +237,16 @@ def unique_events_of_copies(spark, sf_dir):
 
 @query
 def unique_users_per_day(spark, sf_dir):
-    kept = dedupe.dedupe_ttl(table(spark, sf_dir, "events"), "user_id", "ts", "24 hours")
-    return pick(kept, "user_id", "ts", stamps=["ts"])
+    kept = dedupe.dedupe_ttl(table(spark, sf_dir, "events"), "user_id", "ts", "24 hours", ["event_id"])
+    return pick(kept, "event_id", "user_id", "ts", "event_type", "value", "props", stamps=["ts"])
+
+
+@query
+def events_accepted_again(spark, sf_dir):
+    """Three job types as ids, so three hot ones: a delivery counts once in six hours."""
+    sent = all_events(spark, sf_dir)
+    kept = dedupe.dedupe_ttl(sent, "job_type", "ts", "6 hours", ["event_id"])
+    return pick(kept, "event_id", "job_type", "ts", stamps=["ts"])
 
 
 @query
@@ -711,6 +735,55 @@ def resumed_incidents(spark, sf_dir):
     return _incident_view(read_table(spark, tables.path("incidents"), INCIDENTS))
 
 
+# More of the runs, so that fingerprints come again in later batches.
+LIVELY = Settings(ewma_threshold=1.5)
+BATCHES = 6
+
+
+def _run_in_batches(spark: SparkSession, sf_dir: str, tables: Tables, settings: Settings, **options) -> None:
+    """The events as a stream of ``BATCHES`` files, one per micro-batch; each hour's events are in all of them."""
+    sent = event_records(all_events(spark, sf_dir)).select("event_id", "key", "value", F.col("ts").alias("timestamp"))
+    for i in range(BATCHES):
+        sent.filter(F.col("event_id").cast("long") % BATCHES == i).drop("event_id").coalesce(1).write.parquet(f"{tables.path('sent')}/part{i}")
+    live = read_events(spark, f"{tables.path('sent')}/*", streaming=True, files_per_trigger=1)
+    stream.run_stream(live, tables, tables.path("progress"), settings, **options).awaitTermination()
+
+
+@query
+def streamed_outbox(spark, sf_dir):
+    """Messages over six micro-batches: one per fingerprint, in the first batch that has it."""
+    tables = _new_tables(spark)
+    _run_in_batches(spark, sf_dir, tables, LIVELY)
+    sent = read_table(spark, tables.path("outbox"), OUTBOX)
+    return pick(sent, "fingerprint", "incident_id", "batch_id", "detected_at", stamps=["detected_at"])
+
+
+def every_third_fails(messages: DataFrame) -> DataFrame:
+    """A sender of the caller's own, down in every third batch."""
+    return messages.select("fingerprint", (F.col("batch_id") % 3 != 2).alias("ok"))
+
+
+@query
+def retried_deliveries(spark, sf_dir):
+    """Deliveries that fail are tried with the fingerprint's next incident, those that went out are not repeated."""
+    tables = _new_tables(spark)
+    _run_in_batches(spark, sf_dir, tables, LIVELY, send=every_third_fails)
+    sent = read_table(spark, tables.path("deliveries"), DELIVERIES)
+    ok = F.col("outcome") == "ok"
+    return sent.groupBy("fingerprint").agg(
+        F.count(F.when(ok, 1)).alias("delivered"), F.count(F.when(~ok, 1)).alias("failures"),
+        F.min(F.when(ok, F.col("batch_id"))).alias("batch_id"), F.min(F.when(ok, F.col("incident_id"))).alias("incident_id"),
+    )
+
+
+@query
+def metrics_state_streamed(spark, sf_dir):
+    """The state that a stream's last micro-batch left."""
+    tables = _new_tables(spark)
+    _run_in_batches(spark, sf_dir, tables, SENSITIVE)
+    return pick(read_metrics_state(spark, tables.path("metrics_state")), *STATE, stamps=["updated_at"], rounds=SUMS)
+
+
 @query
 def streamed_messages(spark, sf_dir):
     """Topic records of a stream's incidents: one for each, by the incident's id."""

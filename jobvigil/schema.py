@@ -89,6 +89,23 @@ OUTBOX = T.StructType([
     T.StructField("payload", T.StringType()),
 ])
 
+# What became of each message of a batch.
+DELIVERIES = T.StructType([
+    T.StructField("fingerprint", T.StringType()),
+    T.StructField("incident_id", T.StringType()),
+    T.StructField("detected_at", T.TimestampType()),
+    T.StructField("attempt", T.IntegerType()),
+    T.StructField("outcome", T.StringType()),
+    T.StructField("error", T.StringType()),
+])
+
+# Fingerprints that must not be sent again, and until when.
+NOTIFIED = T.StructType([
+    T.StructField("fingerprint", T.StringType()),
+    T.StructField("outcome", T.StringType()),
+    T.StructField("until", T.TimestampType()),
+])
+
 FOREST_MODEL = T.StructType([
     T.StructField("tree", T.IntegerType()),
     T.StructField("node", T.IntegerType()),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobvigil.operators.decode import JSON_SCHEMA
 from jobvigil.schema import METRICS_STATE, RAW_RECORDS
+from jobvigil.session import ship_package
 from jobvigil.sinks.topics import DEAD_LETTER_TOPIC, EVENTS_TOPIC
 
 Source = str | dict[str, str]
@@ -52,13 +55,34 @@ def read_dead_letters(spark: SparkSession, source: Source, streaming: bool = Fal
 
 
 def read_event_array(spark: SparkSession, path: str) -> DataFrame:
-    """Documents that hold a JSON array of events: one raw record per element.
+    """Documents that hold a JSON array of events: one raw record per element, whatever it is.
 
-    The reader splits the array as it parses, so no document is kept as one value.
-    Elements are re-written as JSON text so that they take the usual decoding.
+    A record has the element as it is written, the file as its topic, the element's number as its
+    offset and the file's time, so that what is no event can be told and found again among
+    the dead letters. A document is split by the task that reads it, which holds it
+    whole; Spark reads documents of up to 2 GB.
     """
-    elements = spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path)
-    return elements.select(F.to_json(F.struct(*JSON_SCHEMA.names)).alias("value"))
+    ship_package(spark)
+    documents = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path", "_metadata.file_modification_time")
+
+    def split(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from jobvigil.sources.documents import array_elements
+
+        for batch in batches:
+            for text, file, time in zip(*(batch.column(i) for i in range(3)), strict=True):
+                number, elements = 0, array_elements(text.as_py())
+                while some := list(islice(elements, 4096)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some), pa.array([file.as_py()] * len(some)), pa.array(range(number, number + len(some)), pa.int64()), pa.array([time.as_py()] * len(some), time.type)],
+                        ["value", "topic", "offset", "timestamp"],
+                    )
+                    number += len(some)
+
+    elements = documents.mapInArrow(split, "value string, topic string, offset bigint, timestamp timestamp").withColumn("partition", F.lit(0))
+    absent = [f for f in RAW_RECORDS if f.name not in elements.columns]
+    return elements.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent}).select(*RAW_RECORDS.names)
 
 
 def read_metrics_state(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +114,13 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, key: str |
     return rows.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def refuse_other_run(spark: SparkSession, path: str, batch_id: int) -> None:
+    """A run that starts anew counts its batches from the first; later ones in its tables are another run's and would count twice."""
+    stored = read_table(spark, path, T.StructType([])).agg(F.max("batch_id").alias("last")).first()["last"]
+    if stored is not None and stored > batch_id:
+        raise ValueError(f"{path} holds a run up to batch {stored}; use new tables, or go on with its progress folder")
+
+
 def _zero(dtype: T.DataType) -> Column:
     if isinstance(dtype, T.TimestampType):
         return F.timestamp_seconds(F.lit(0))

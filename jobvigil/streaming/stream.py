@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from jobvigil.config import DEFAULTS, Settings
@@ -21,12 +22,12 @@ from jobvigil.operators.dedupe import dedupe_stream, only_new
 from jobvigil.operators.detect import Detector, anomalies, score
 from jobvigil.operators.incidents import summarize_static, to_incidents
 from jobvigil.operators.metrics import DELTAS, ORDER, RUN_COLUMNS, feature_vectors, name_running, observe
-from jobvigil.operators.notify import undelivered, with_payload
 from jobvigil.operators.ordered import ScanSpec, arrange, scan
 from jobvigil.plans.flow import Tables
-from jobvigil.schema import EVENTS, INCIDENTS, OUTBOX, SCAN_STATE
-from jobvigil.sources.tables import read_table
-from jobvigil.sinks.tables import dead_letter_rows, publish_batch, write_batch, write_dead_letters, write_incidents, write_outbox
+from jobvigil.schema import EVENTS, INCIDENTS, SCAN_STATE
+from jobvigil.sinks.tables import dead_letter_rows, publish_batch, write_batch, write_dead_letters, write_incidents, write_metrics_state
+from jobvigil.sources.tables import refuse_other_run
+from jobvigil.streaming.ledger import Sender, hand_on, notify_batch
 
 Summarizer = Callable[[DataFrame], DataFrame]
 
@@ -118,52 +119,36 @@ def process_batch(
     model: DataFrame | None = None,
     summarize: Summarizer = summarize_static,
     first_batch: int = 0,
+    send: Sender | None = None,
+    after_crash: str = "resend",
 ) -> None:
     """All effects of one micro-batch of valid, unique events.
 
     The events are stored first and read back, so the stream's own operators run
-    once per batch however many tables follow from it.
+    once per batch however many tables follow from it. Messages go to the outbox and,
+    with ``send``, out; ``ledger`` says how each is sent once.
     """
     spark = batch.sparkSession
     if batch_id == first_batch:
-        _refuse_other_run(spark, tables, batch_id)
+        refuse_other_run(spark, tables.path("scan_state"), batch_id)
     write_batch(batch.select(*EVENTS.names), tables.path("events"), batch_id)
     events = spark.read.schema(EVENTS).parquet(f"{tables.path('events')}/batch_id={batch_id}")
     before = read_state(spark, tables, batch_id)
     if events.isEmpty():
         # a batch that only moves the watermark: hand the state on
         write_batch(before, tables.path("scan_state"), batch_id)
+        write_metrics_state(before, tables.path("metrics_state"), batch_id)
         write_incidents(spark.createDataFrame([], INCIDENTS), tables.path("incidents"), batch_id)
-        write_outbox(spark.createDataFrame([], OUTBOX), tables.path("outbox"), batch_id)
+        hand_on(spark, batch_id, tables)
         return
     scored, after = score_batch(events, before, settings, detector, model)
     write_batch(after, tables.path("scan_state"), batch_id)
+    write_metrics_state(read_state(spark, tables, batch_id + 1), tables.path("metrics_state"), batch_id)
     found = to_incidents(anomalies(scored), settings)
     write_incidents(summarize(found), tables.path("incidents"), batch_id)
     incidents = spark.read.parquet(f"{tables.path('incidents')}/batch_id={batch_id}")
     publish_batch(incidents, tables.path("incidents_topic"), batch_id)
-    sent = _sent_before(spark, tables, batch_id, incidents)
-    write_outbox(with_payload(undelivered(incidents, sent)), tables.path("outbox"), batch_id)
-
-
-def _refuse_other_run(spark: SparkSession, tables: Tables, batch_id: int) -> None:
-    """A stream without progress starts to count batches anew; later ones in its tables are another run's and would count twice."""
-    stored = read_table(spark, tables.path("scan_state"), SCAN_STATE).agg(F.max("batch_id").alias("last")).first()["last"]
-    if stored is not None and stored > batch_id:
-        raise ValueError(f"{tables.root} holds a run up to batch {stored}; replay into new tables, or go on with its progress folder")
-
-
-def _sent_before(spark: SparkSession, tables: Tables, batch_id: int, incidents: DataFrame) -> DataFrame:
-    """Fingerprints of earlier batches' messages.
-
-    The hour is part of a fingerprint, so messages from before the batch's first
-    hour cannot match and are not read.
-    """
-    if batch_id == 0:
-        return spark.createDataFrame([], "fingerprint string")
-    outbox = spark.read.schema("fingerprint string, detected_at timestamp, batch_id bigint").parquet(tables.path("outbox"))
-    first_hour = incidents.agg(F.date_trunc("HOUR", F.min("detected_at"))).scalar()
-    return outbox.filter((F.col("batch_id") < batch_id) & (F.col("detected_at") >= first_hour)).select("fingerprint")
+    notify_batch(incidents, batch_id, tables, send, settings.dedupe_ttl, after_crash)
 
 
 def run_stream(
@@ -176,20 +161,38 @@ def run_stream(
     summarize: Summarizer = summarize_static,
     trigger: dict | None = None,
     first_batch: int = 0,
+    send: Sender | None = None,
+    after_crash: str = "resend",
 ) -> StreamingQuery:
     """Raw streaming records to incidents: decode, drop the invalid, de-duplicate, score, store.
 
     Input is at least once; ids are remembered for ``settings.dedupe_ttl`` after they
     arrived. Events are processed when they arrive, however old or far ahead their own
     time is. ``first_batch`` is the number of the first micro-batch: 1 after a replay into
-    the same tables as batch 0, whose state it goes on from and whose events it knows.
+    the same tables as batch 0, whose state it goes on from and whose events it knows: their
+    ids enter the state of the de-duplication with the first micro-batch, and no later
+    one reads them. ``send`` delivers the messages of each batch.
     """
     valid, _ = split_valid(decode_events(records, settings))
     if first_batch:
-        stored = records.sparkSession.read.schema("event_id string, batch_id bigint").parquet(tables.path("events"))
-        valid = only_new(valid, stored.filter(F.col("batch_id") < first_batch))
+        valid = _with_ids_of_replay(valid, tables, first_batch)
     return start_events(dedupe_stream(valid, "event_id", settings.dedupe_ttl), tables, checkpoint, settings,
-                        detector, model, summarize, trigger, first_batch)
+                        detector, model, summarize, trigger, first_batch, send, after_crash)
+
+
+REPLAYED = "of_replay"
+
+
+def _with_ids_of_replay(valid: DataFrame, tables: Tables, first_batch: int) -> DataFrame:
+    """The live events and, as a bounded source beside them, the ids that earlier batches stored.
+
+    A source of files reads each file once, all of these in the first micro-batch, and
+    keeps that in the stream's progress.
+    """
+    ids = T.StructType([EVENTS["event_id"]])
+    done = f"{tables.path('events')}/batch_id={{{','.join(map(str, range(first_batch)))}}}"
+    stored = valid.sparkSession.readStream.schema(ids).parquet(done).withColumn(REPLAYED, F.lit(True))
+    return valid.select(*EVENTS.names).withColumn(REPLAYED, F.lit(False)).unionByName(stored, allowMissingColumns=True)
 
 
 def start_events(
@@ -202,10 +205,18 @@ def start_events(
     summarize: Summarizer = summarize_static,
     trigger: dict | None = None,
     first_batch: int = 0,
+    send: Sender | None = None,
+    after_crash: str = "resend",
 ) -> StreamingQuery:
     """The part of ``run_stream`` after decoding: a stream of valid, unique events."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id + first_batch, tables, settings, detector, model, summarize, first_batch)
+        if REPLAYED in batch.columns:
+            batch = batch.filter(~F.col(REPLAYED))
+            if batch_id == 0:
+                # where a copy and its replayed id came in one batch, either may be the one that is left
+                known = batch.sparkSession.read.schema("event_id string, batch_id bigint").parquet(tables.path("events"))
+                batch = only_new(batch, known.filter(F.col("batch_id") < first_batch))
+        process_batch(batch, batch_id + first_batch, tables, settings, detector, model, summarize, first_batch, send, after_crash)
 
     writer = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

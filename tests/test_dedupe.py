@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from jobvigil.operators.ordered import arrange, last_seen
 from jobvigil.operators.dedupe import dedupe, dedupe_stats, dedupe_ttl, only_new
 
 BASE = datetime(2024, 1, 1)
@@ -23,13 +24,42 @@ def brute(rows, ttl):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("hot_rows", [10_000, 30])
-def test_ttl_equals_brute_force(spark, hot_rows):
-    rng = random.Random(1)
-    rows = [("hot", rng.randrange(0, 200)) for _ in range(400)]
-    rows += [(f"k{rng.randrange(60)}", rng.randrange(0, 200)) for _ in range(500)]
-    found = dedupe_ttl(times(spark, rows), ttl="24 hours", hot_rows=hot_rows).collect()
-    assert sorted((r.event_id, r.ts) for r in found) == brute(rows, 24)
+@pytest.mark.parametrize("ttl, span", [(24, 200), (24, 2000), (1, 40), (500, 200)])
+def test_ttl_equals_brute_force(spark, ttl, span):
+    rng = random.Random(ttl + span)
+    rows = [("hot", rng.randrange(0, span)) for _ in range(400)]
+    rows += [(f"k{rng.randrange(60)}", rng.randrange(0, span)) for _ in range(500)]
+    found = dedupe_ttl(times(spark, rows).repartition(5), ttl=f"{ttl} hours").collect()
+    assert sorted((r.event_id, r.ts) for r in found) == brute(rows, ttl)
+
+
+def test_ttl_takes_as_many_rounds_as_jumps_double(spark, monkeypatch):
+    """One id over 400 hours: 17 acceptances, found by jumps of 1, 2, 4, 8 and 16."""
+    frame = times(spark, [("hot", h % 400) for h in range(2000)])
+    rounds, empty = [], type(frame).isEmpty
+    monkeypatch.setattr(type(frame), "isEmpty", lambda self: rounds.append(self.columns) or empty(self))
+    assert dedupe_ttl(frame, ttl="24 hours").count() == 17
+    assert sum("_next" in columns for columns in rounds) <= 7
+
+
+def test_ttl_gives_whole_rows_and_leaves_out_rows_without_id_or_time(spark):
+    rows = [("a", 0, "first", 2), ("a", 0, "again", 1), ("a", 30, None, 3), ("b", 5, "b", 4)]
+    frame = spark.createDataFrame([(k, BASE + timedelta(hours=h), x, n, n) for k, h, x, n in rows] + [(None, BASE, "x", 5, 5), ("c", None, "x", 6, 6)], "event_id string, ts timestamp, note string, n int, id int")
+    found = dedupe_ttl(frame, ttl="24 hours", order_by=["n"])
+    assert found.columns == frame.columns and sorted((r.event_id, r.n) for r in found.collect()) == [("a", 1), ("a", 3), ("b", 4)]
+    assert dedupe_ttl(frame.limit(0)).count() == 0
+
+
+def test_last_seen_over_blocks(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("aabc"), i, rng.choice([None, None, None, i])) for i in range(400)]
+    want, last = {}, {}
+    for key, at, value in sorted(rows, key=lambda r: (r[0], r[1])):
+        last[key] = value if value is not None else last.get(key)
+        want[at] = last[key]
+    for blocks in (1, 3, 50):
+        placed = arrange(spark.createDataFrame(rows, "k string, at int, v int"), "k", ["at"], blocks)
+        assert {r.at: r.last for r in last_seen(placed, "k", "v", "last").collect()} == want
 
 
 def test_ttl_accepts_again_exactly_at_the_limit(spark):

@@ -84,6 +84,27 @@ def test_retried_batch_changes_nothing(spark, runs, tmp_path):
     assert state["POLICY_RENEWAL"].run_count == 1 and state["POLICY_RENEWAL"].mu is None
 
 
+def test_replay_refuses_tables_that_a_stream_went_on_in(spark, records, tmp_path):
+    tables = Tables(str(tmp_path / "out"))
+    half = F.col("timestamp") < "2024-01-16"
+    replay(spark, records.filter(half), tables, SENSITIVE)
+    for i in range(3):
+        late = records.filter(~half & (F.day("timestamp") % 3 == i)).unionByName(records.filter(half).limit(40))
+        late.coalesce(1).write.parquet(str(tmp_path / "in" / f"part{i}"))
+    live = read_events(spark, str(tmp_path / "in" / "*"), True, files_per_trigger=1)
+    stream = run_stream(live, tables, str(tmp_path / "c"), SENSITIVE, first_batch=1)
+    stream.awaitTermination()
+    # the replay's ids are read with the first micro-batch and by no later one
+    read = [sorted(s.numInputRows for s in p.sources) for p in stream.recentProgress if p.numInputRows]
+    replayed = spark.read.parquet(tables.path("events") + "/batch_id=0").count()
+    assert len(read) == 3 and max(read[0]) >= replayed and all(r[0] == 0 for r in read[1:])
+    stored = spark.read.parquet(tables.path("events"))
+    assert stored.count() == stored.select("event_id").distinct().count() > replayed
+    with pytest.raises(ValueError):
+        replay(spark, records, tables, SENSITIVE)
+    assert spark.read.parquet(tables.path("events")).count() == stored.count()
+
+
 def test_windows_equal_spark_windows(spark, sf_dir):
     events = runs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     plain = events.groupBy("job_type", "event_type", F.window("ts", "1 minute", "15 seconds").alias("w")).count()

@@ -211,3 +211,26 @@ def test_metrics_state_reader_fills_gaps(spark, tmp_path):
     assert tuple(state.first()) == ("CLAIMS_INGEST", 0, 0.0, 3, 0, datetime(1970, 1, 1))
     assert metrics_for(read_metrics_state(spark, str(tmp_path / "s")), "OTHER").isEmpty()
     assert "EqualTo(job_type,CLAIMS_INGEST)" in state._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("text, elements", [
+    ("", []), (" \n", []), ("[]", []), ("[ ] x", ["x"]), ('[1, "a,]", null, [1,{"b":"]"}], {"a":1}]', ["1", '"a,]"', "null", '[1,{"b":"]"}]', '{"a":1}']),
+    ('[{"a":1},{"b', ['{"a":1}', '{"b']), ('[{"a" 1}, {"c":2}, x y, nan]', ['{"a" 1}', '{"c":2}', "x y", "nan"]), ('{"a":1}', ['{"a":1}']),
+    ("[1,,2]", ["1", "2"]), ("[1,]", ["1"]), ("[1 2,3]", ["1 2", "3"]), ('[{"a":1}] tail', ['{"a":1}', "tail"]), ('["abc', ['"abc']), ("[1", ["1"]),
+    ('[{"a":1}}, {"b":2}]', ['{"a":1}}', '{"b":2}']), ("\ufeff[1.50]", ["1.50"]), ("[" * 50_000, ["[" * 49_999]), ("7", ["7"]),
+])
+def test_elements_of_documents(text, elements):
+    from jobvigil.sources.documents import array_elements
+
+    assert list(array_elements(text)) == elements
+
+
+def test_elements_that_are_no_events_become_dead_letters_of_their_own(spark, tmp_path):
+    event = '{"eventId":"e%d","schemaVersion":"v1","jobType":"CLAIMS_INGEST","timestamp":"2024-06-01T10:00:00Z","payload":{"eventType":"JOB_FAILED","runId":"r"}}'
+    for name, text in {"a": f"[{event % 1}, 7, null, 7]", "b": f'[{event % 2}, "text", {event % 3}, {{"eventId":"e4', "c": "", "d": "7"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    valid, rejected = split_valid(decode_events(read_event_array(spark, str(tmp_path))))
+    assert sorted(r.event_id for r in valid.collect()) == ["e1", "e2", "e3"]
+    dead = dead_letter_rows(rejected, "reject_reason").collect()
+    assert sorted(r.raw_payload for r in dead) == ['"text"', "7", "7", "7", "null", '{"eventId":"e4']
+    assert len({r.event_id for r in dead}) == 6 and {r.error for r in dead} == {"not_an_object", "not_json"}
