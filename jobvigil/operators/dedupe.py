@@ -40,32 +40,35 @@ def dedupe_ttl(
     spans = rows.groupBy("_id").agg(F.min("_at").alias("_at"), F.max("_at").alias("_last")).checkpoint()
     again = spans.filter(F.col("_last") >= F.col("_at") + reach)
     accepted = spans.select("_id", "_at")
-    if not again.isEmpty():
-        accepted = accepted.unionByName(_later_accepted(rows.join(again.select("_id"), "_id", "left_semi").distinct(), again.select("_id", "_at"), reach))
+    # an id cannot be accepted again more often than its span has room for
+    most = again.agg(F.max(F.floor((F.col("_last") - F.col("_at")) / reach))).first()[0]
+    if most:
+        times = rows.join(again.select("_id"), "_id", "left_semi").distinct()
+        accepted = accepted.unionByName(_later_accepted(times, again.select("_id", "_at"), reach, int(most).bit_length()))
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     whole = df.withColumns({"_id": F.col(id_column), "_at": at}).join(accepted, ["_id", "_at"], "left_semi")
     order = [*order_by] or [F.xxhash64(*df.columns)]
     return dedupe(whole, ("_id", "_at"), order).select(*df.columns)
 
 
-def _later_accepted(times: DataFrame, first: DataFrame, reach: Column) -> DataFrame:
-    """The times (id, at) that are accepted after the first ones."""
+def _later_accepted(times: DataFrame, first: DataFrame, reach: Column, rounds: int) -> DataFrame:
+    """The times (id, at) that are accepted after the first ones, up to 2^rounds - 1 of them per id."""
     # backwards in time, a time comes after those that are at least ttl later, so the last one seen is its successor
     none = F.lit(None).cast("bigint")
     seen = times.select("_id", (-F.col("_at")).alias("_back"), F.lit(0).alias("_asks"), F.col("_at").alias("_seen"), none.alias("_from"))
     asked = times.select("_id", (-F.col("_at") - reach).alias("_back"), F.lit(1).alias("_asks"), none.alias("_seen"), F.col("_at").alias("_from"))
     walked = last_seen(arrange(seen.unionByName(asked), "_id", ["_back", "_asks"]), "_id", "_seen", "_next")
     jumps = walked.filter("_asks = 1 and _next is not null").select("_id", F.col("_from").alias("_at"), "_next")
-    # one table: accepted times have no next, jumps have one
+    # one table: accepted times have no next, jumps have one; a round takes every accepted time and every jump one jump on
     state = first.select("_id", "_at", none.alias("_next")).unionByName(jumps).checkpoint()
-    while True:
+    for _ in range(rounds):
         reached, jumps = state.filter("_next is null"), state.filter("_next is not null")
-        if jumps.isEmpty():
-            return reached.select("_id", "_at").join(first, ["_id", "_at"], "left_anti")
-        onward = jumps.select("_id", F.col("_at").alias("_next"), F.col("_next").alias("_far"))
-        landed = reached.select("_id", "_at").join(jumps, ["_id", "_at"]).select("_id", F.col("_next").alias("_at"), none.alias("_next"))
-        doubled = jumps.join(onward, ["_id", "_next"]).select("_id", "_at", F.col("_far").alias("_next"))
-        state = reached.unionByName(landed).unionByName(doubled).checkpoint()
+        ends = state.select("_id", F.coalesce("_next", "_at").alias("_to"), F.when(F.col("_next").isNotNull(), F.col("_at")).alias("_from"))
+        on = ends.join(jumps.select("_id", F.col("_at").alias("_to"), F.col("_next").alias("_far")), ["_id", "_to"])
+        jump = F.col("_from").isNotNull()
+        moved = on.select("_id", F.coalesce("_from", "_far").alias("_at"), F.when(jump, F.col("_far")).alias("_next"))
+        state = reached.unionByName(moved).checkpoint()
+    return state.filter("_next is null").select("_id", "_at").join(first, ["_id", "_at"], "left_anti")
 
 
 def only_new(df: DataFrame, seen: DataFrame, id_column: str = "event_id") -> DataFrame:
