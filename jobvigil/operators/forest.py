@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobvigil.config import DEFAULTS, FOREST, Settings
 from jobvigil.functions.scores import forest_text, safe_ratio
@@ -23,8 +25,8 @@ from jobvigil.session import ship_package
 # The features in the order the model reads them.
 FEATURES = ("duration_seconds", "error_rate", "row_count", "hour_of_day", "day_of_week")
 EULER = 0.5772156649015329
-# Rows offered to a tree before its draw is cut, per row needed.
-OVERDRAW = 2
+# Nodes that any model may have; checked before a forest is grown. 2000 trees of 1024 rows are a few hundred MB at most.
+MODEL_ROW_LIMIT = 2000 * (2 * 1024 - 1)
 
 
 def training_matrix(df: DataFrame, source: str = "history") -> DataFrame:
@@ -57,10 +59,9 @@ def enough_rows(matrix: DataFrame, min_rows: int = DEFAULTS.forest_min_rows) ->
 
 def fit_or_none(matrix: DataFrame, settings: Settings = DEFAULTS, seed: int = 7) -> DataFrame | None:
     """The model, or None when there are too few rows to fit one."""
-    total = matrix.count()
-    if total < settings.forest_min_rows:
+    if not enough_rows(matrix, settings.forest_min_rows):
         return None
-    return fit_forest(matrix, settings.forest_trees, settings.forest_sample, seed, total=total)
+    return fit_forest(matrix, settings.forest_trees, settings.forest_sample, seed)
 
 
 def fit_forest(
@@ -69,14 +70,12 @@ def fit_forest(
     sample: int = 256,
     seed: int = 7,
     axis_parallel: bool = False,
-    total: int | None = None,
 ) -> DataFrame:
-    """Grow ``trees`` trees, each on its own ``sample`` rows, and return the model table.
-
-    ``total`` is the number of rows if the caller knows it; else they are counted.
-    """
+    """Grow ``trees`` trees, each on its own ``sample`` rows, and return the model table."""
+    if trees * (2 * sample - 1) > MODEL_ROW_LIMIT:
+        raise ValueError(f"a forest may have {MODEL_ROW_LIMIT} nodes; {trees} trees of {sample} rows can have more")
     ship_package(matrix.sparkSession)
-    drawn = draw_samples(matrix, trees, sample, seed, total)
+    drawn = draw_samples(matrix, trees, sample, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -87,30 +86,82 @@ def fit_forest(
     return drawn.groupBy("tree").applyInPandas(grow, FOREST_MODEL)
 
 
-def draw_samples(
-    matrix: DataFrame, trees: int, sample: int, seed: int, total: int | None = None
-) -> DataFrame:
+def draw_samples(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataFrame:
     """``tree``, ``row_key`` and ``features``: an independent draw without replacement per tree.
 
-    A row's place in a draw is a hash of its key, so a draw can be repeated. Large
-    inputs are first thinned, by another hash, to about as many rows as all trees
-    need together; then a tree is offered about twice its rows, and keeps those
-    with the lowest hash. Ranks are cut on the map side before the shuffle by tree.
+    A tree draws the ``sample`` rows with the lowest numbers, a row's number being a hash
+    of its key, mixed for each tree; all rows if there are fewer. Each task keeps the lowest
+    of its own rows in one pass, and the lowest of those are the lowest of all, so the
+    rule is the same at every size and a draw can be repeated. A task hands on at most
+    ``trees * sample`` rows.
     """
-    total = matrix.count() if total is None else total
-    pool = _hashed_share(matrix, trees * sample, total, F.xxhash64(F.lit(f"thin {seed}"), "row_key"))
-    dealt = pool.select("row_key", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    turn = F.xxhash64(F.lit(f"draw {seed}"), "tree", "row_key")
-    offered = _hashed_share(dealt.withColumn("_turn", turn), OVERDRAW * sample, min(total, trees * sample), F.col("_turn"))
+    ship_package(matrix.sparkSession)
+    keyed = matrix.select("row_key", "features", F.xxhash64(F.lit(f"draw {seed}"), "row_key").alias("_hash"))
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool: list[pa.Table] = []  # rows that some tree may still draw
+        bounds, size, limit = [None] * trees, 0, 2 * trees * sample
+
+        def tighten() -> pa.Table:
+            rows = pa.concat_tables(pool).combine_chunks()
+            hashes, needed = rows.column("_hash").to_numpy(), np.zeros(rows.num_rows, dtype=bool)
+            for tree, chosen in enumerate(_lowest(rows, trees, sample)):
+                needed[chosen] = True
+                if len(chosen) == sample:
+                    bounds[tree] = turns(hashes[chosen], tree).max()
+            return rows.filter(pa.array(needed))
+
+        for batch in batches:
+            hashes = batch.column("_hash").to_numpy(zero_copy_only=False)
+            wanted = np.zeros(len(hashes), dtype=bool)
+            for tree, bound in enumerate(bounds):
+                if bound is None:
+                    wanted[:] = True
+                    break
+                wanted |= turns(hashes, tree) <= bound
+            pool.append(pa.Table.from_batches([batch]).filter(pa.array(wanted)))
+            size += pool[-1].num_rows
+            if size > limit:
+                pool = [tighten()]
+                size = pool[0].num_rows
+        if size:
+            held = tighten().combine_chunks()
+            numbers = held.column("_hash").to_numpy()
+            for tree, chosen in enumerate(_lowest(held, trees, sample)):
+                turn = pa.array(turns(numbers[chosen], tree).view(np.int64))
+                own = held.take(pa.array(chosen)).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(chosen), tree, dtype=np.int32)), own.column("row_key"), own.column("features"), turn], ["tree", "row_key", "features", "_turn"])
+
+    schema = T.StructType([T.StructField("tree", T.IntegerType()), matrix.schema["row_key"], matrix.schema["features"], T.StructField("_turn", T.LongType())])
+    offered = keyed.mapInArrow(lowest, schema)
     ranked = offered.withColumn("_rank", F.row_number().over(Window.partitionBy("tree").orderBy("_turn", "row_key")))
     return ranked.filter(F.col("_rank") <= sample).drop("_rank", "_turn")
 
 
-def _hashed_share(df: DataFrame, wanted: int, total: int, place: Column) -> DataFrame:
-    """About ``wanted`` of ``total`` rows: those whose hash falls into the lowest share of its range."""
-    if total <= wanted:
-        return df
-    return df.filter(place < int(2**63 * (2 * wanted / total - 1)))
+def turns(hashes: np.ndarray, tree: int) -> np.ndarray:
+    """The numbers by which a tree draws, from hashes of the rows' keys: 63 bits, so that they sort alike with and without a sign."""
+    mixed = hashes.astype(np.int64).view(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return (mixed ^ (mixed >> np.uint64(31))) >> np.uint64(1)
+
+
+def _lowest(rows: pa.Table, trees: int, sample: int) -> Iterator[np.ndarray]:
+    """For each tree, the places of its lowest rows; ties by key."""
+    hashes = rows.column("_hash").to_numpy()
+    keys = None
+    for tree in range(trees):
+        turn = turns(hashes, tree)
+        if len(turn) <= sample:
+            yield np.arange(len(turn))
+            continue
+        bound = np.partition(turn, sample - 1)[sample - 1]
+        chosen = np.flatnonzero(turn <= bound)
+        if len(chosen) > sample:  # equal numbers at the bound
+            keys = rows.column("row_key").to_pylist() if keys is None else keys
+            chosen = np.array(sorted(chosen.tolist(), key=lambda i: (turn[i], keys[i] is not None, keys[i] or "")))[:sample]  # noqa: B023
+        yield chosen
 
 
 def grow_tree(points: np.ndarray, tree: int, rng: np.random.Generator, axis_parallel: bool) -> pd.DataFrame:
@@ -199,8 +250,8 @@ class PackedForest:
 def forest_score(df: DataFrame, model: DataFrame, score: str = "score") -> DataFrame:
     """Add the score 2^(-E[h]/c(n)) in (0, 1) from the five feature columns of ``df``.
 
-    The model table is bounded by its construction; its size is checked before it
-    is collected and broadcast.
+    ``fit_forest`` makes no model of more than ``MODEL_ROW_LIMIT`` nodes; a table that is
+    larger is no such model and is refused before it is collected whole.
     """
     ship_package(df.sparkSession)
     rows = model.limit(MODEL_ROW_LIMIT + 1).toPandas()
@@ -219,10 +270,6 @@ def forest_score(df: DataFrame, model: DataFrame, score: str = "score") -> DataF
     return df.withColumn(score, rate(*[F.col(c).cast("double") for c in FEATURES]))
 
 
-# 2000 trees of 1024 samples; far above the default and still a few hundred MB at most.
-MODEL_ROW_LIMIT = 2000 * (2 * 1024 - 1)
-
-
 def forest_verdict(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add ``anomalous``, ``reason`` and ``detector_name`` to a forest score."""
     return df.withColumns({

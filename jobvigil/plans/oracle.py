@@ -391,6 +391,13 @@ SELECT s.fingerprint, CAST(count(s.batch_id) FILTER (f.batch_id = s.batch_id) AS
   CAST(count(*) FILTER (f.batch_id % 3 = 2 AND (s.batch_id IS NULL OR f.batch_id < s.batch_id)) AS BIGINT) AS failures, s.batch_id,
   min(f.incident_id) FILTER (f.batch_id = s.batch_id) AS incident_id
 FROM settled s JOIN firsts f ON f.fingerprint = s.fingerprint GROUP BY s.fingerprint, s.batch_id"""),
+    "forest_shape": """SELECT CAST(unnest(range(100)) AS INTEGER) AS tree, CAST(least(256, count(*)) AS INTEGER) AS sample_size,
+  CAST(1 AS BIGINT) AS leaves_over_inner, true AS one_parent_each, true AS nodes_whole, true AS within_bound
+FROM events WHERE event_type IN ('purchase', 'signup')""",
+    "forest_draws": """SELECT CAST(unnest(range(40)) AS INTEGER) AS tree, least(64, count(*)) AS drawn, least(64, count(*)) AS keys
+FROM events WHERE event_type IN ('purchase', 'signup')""",
+    "forest_verdict_rules": f"""WITH {RUNS} SELECT job_type, 'isolation-forest' AS detector_name, count(*) AS runs, count(*) AS scores_in_range,
+  count(*) AS verdicts_by_threshold, count(*) AS reasons FROM runs WHERE event_type = 'JOB_COMPLETED' GROUP BY job_type""",
     "metrics_state_streamed": f"WITH {DELTAS} SELECT job_type, {STATE_COLUMNS} FROM deltas GROUP BY job_type",
     "streamed_late_events": """SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(CASE event_id % 10 WHEN 0 THEN ts + INTERVAL 900 YEAR
   WHEN 1 THEN ts - INTERVAL 30 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events""",

@@ -443,6 +443,43 @@ def forest_verdicts(spark, sf_dir):
     return pick(scored, "event_id", "job_type", "score", "anomalous", "reason", "detector_name", rounds={"score": 6})
 
 
+@query
+def forest_shape(spark, sf_dir):
+    """What must hold for every tree, whatever it cuts: its draw, its nodes, its depth."""
+    features = metrics.feature_vectors(metrics.running_metrics(finished(spark, sf_dir)))
+    nodes = forest.fit_forest(forest.training_matrix(features)).checkpoint()
+    inner = F.col("left").isNotNull()
+    children = nodes.filter(inner).select("tree", F.explode(F.array("left", "right")).alias("node")).withColumn("parents", F.lit(1))
+    placed = nodes.join(children.groupBy("tree", "node").agg(F.sum("parents").alias("parents")), ["tree", "node"], "left")
+    root = F.col("node") == 0
+    one_parent = F.when(root, F.col("parents").isNull()).otherwise(F.coalesce(F.col("parents") == 1, F.lit(False)))
+    whole = F.when(inner, F.col("normal").isNotNull() & F.col("offset").isNotNull() & (F.col("left") > F.col("node"))).otherwise(F.col("path_length") >= 0)
+    return placed.groupBy("tree").agg(
+        F.max("sample_size").alias("sample_size"), (F.count(F.when(~inner, 1)) - F.count(F.when(inner, 1))).alias("leaves_over_inner"),
+        F.min(one_parent).alias("one_parent_each"), F.min(whole).alias("nodes_whole"), (F.count("*") <= 2 * F.max("sample_size") - 1).alias("within_bound"),
+    )
+
+
+@query
+def forest_draws(spark, sf_dir):
+    """How many rows each tree draws, and that none is drawn twice for one tree."""
+    features = metrics.feature_vectors(metrics.running_metrics(finished(spark, sf_dir)))
+    drawn = forest.draw_samples(forest.training_matrix(features), 40, 64, 7)
+    return drawn.groupBy("tree").agg(F.count("*").alias("drawn"), F.count_distinct("row_key").alias("keys"))
+
+
+@query
+def forest_verdict_rules(spark, sf_dir):
+    """What must hold for every verdict of a forest: its score, threshold, text and name."""
+    features = detect.observed_features(finished(spark, sf_dir))
+    scored = detect.score(features, FOREST, forest.fit_or_none(forest.training_matrix(features)))
+    said = F.format_string("isolation-forest score=%.4f (threshold=%.2f)", F.col("score"), F.lit(0.65))
+    return scored.groupBy("job_type", "detector_name").agg(
+        F.count("*").alias("runs"), F.count(F.when((F.col("score") > 0) & (F.col("score") < 1), 1)).alias("scores_in_range"),
+        F.count(F.when(F.col("anomalous") == (F.col("score") > 0.65), 1)).alias("verdicts_by_threshold"), F.count(F.when(F.col("reason") == said, 1)).alias("reasons"),
+    )
+
+
 # --- incidents -------------------------------------------------------------------------
 
 INCIDENT = (

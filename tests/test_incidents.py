@@ -162,6 +162,23 @@ def test_forest_draws(spark):
     assert all(20_000 < r.m < 30_000 for r in drawn)
 
 
+@pytest.mark.parametrize("rows, trees, sample", [(20, 3, 64), (5000, 7, 16), (60_000, 5, 32)])
+def test_draws_are_the_lowest_numbers_however_rows_are_dealt(spark, rows, trees, sample):
+    frame = spark.range(rows).select(F.concat(F.lit("k"), F.col("id") % (rows - 5)).alias("row_key"), F.array(F.col("id").cast("double")).alias("features"))
+    hashed = frame.select("row_key", F.xxhash64(F.lit("draw 3"), "row_key").alias("h")).collect()
+    keys, hashes = [r.row_key for r in hashed], np.array([r.h for r in hashed])
+    want = {t: sorted(k for _, k in sorted(zip(forest.turns(hashes, t).tolist(), keys))[:sample]) for t in range(trees)}
+    for parts in (1, 6):
+        drawn = forest.draw_samples(frame.repartition(parts), trees, sample, 3).groupBy("tree").agg(F.sort_array(F.collect_list("row_key")).alias("keys"))
+        assert {r.tree: r["keys"] for r in drawn.collect()} == want
+
+
+def test_forests_that_are_too_large_are_refused_before_they_grow(spark):
+    matrix = spark.createDataFrame([("a", [1.0])], "row_key string, features array<double>")
+    with pytest.raises(ValueError):
+        forest.fit_forest(matrix, trees=4000, sample=1024)
+
+
 def test_gate_fallback_and_training(spark, runs, tmp_path):
     rng = random.Random(2)
     rows = [("POLICY_RENEWAL", rng.uniform(9, 11)) for _ in range(20)] + [("POLICY_RENEWAL", 80.0)]
