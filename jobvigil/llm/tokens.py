@@ -15,7 +15,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 #: A worker keeps the ids of so many pieces, and as many that it met before those.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 700_000
 
 _EDGE = chr(0x24F)  # the end of the Latin letters taken here
 _S = r"\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
