@@ -239,6 +239,7 @@ def list_table(texts: DataFrame, like: Likeness, frequent) -> DataFrame:
         import pyarrow as pa
 
         held, exact_held, size = [], [], 0
+        met: set[tuple[int, int]] = set()  # sets that are held; copies have the same entries
 
         def flush():
             nonlocal size
@@ -257,7 +258,7 @@ def list_table(texts: DataFrame, like: Likeness, frequent) -> DataFrame:
                 *((x | odd, o + ~low) for o, x, low in exact_held),
             ]
             numbers, names = (np.concatenate(c) for c in zip(*out, strict=True))
-            held.clear(), exact_held.clear()
+            held.clear(), exact_held.clear(), met.clear()
             size = 0
             for at in range(0, len(numbers), 1 << 17):
                 some = slice(at, at + (1 << 17))
@@ -266,10 +267,11 @@ def list_table(texts: DataFrame, like: Likeness, frequent) -> DataFrame:
         for batch in batches:
             for text in batch.column(1):
                 own = shingles(text.as_py(), like.words)
-                if not len(own):
+                if not len(own) or (names := _names(own)) in met:
                     continue
+                met.add(names)
                 exact, low, lists = entries(own, like, frequent)
-                name = _names(own)[0]
+                name = names[0]
                 held.append((name, lists)), exact_held.append((name, exact, low))
                 size += len(lists) + len(exact)
                 if size > LOCAL_ENTRIES:
@@ -380,8 +382,9 @@ def _verified(texts: DataFrame, members: DataFrame, like: Likeness, parts: int)
         import pyarrow as pa
 
         ids = group["id"].to_pylist()
-        once = {i: np.frombuffer(b.as_py(), dtype=np.uint64) for i, b in zip(ids, group["own"], strict=True)}
-        found = links_within(list(once), list(once.values()), like) if len(once) > 1 else []
+        # an id may have several sets
+        once = dict.fromkeys(zip(ids, (b.as_py() for b in group["own"]), strict=True))
+        found = links_within([i for i, _ in once], [np.frombuffer(b, dtype=np.uint64) for _, b in once], like) if len(once) > 1 else []
         return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
     return grouped.groupBy("cluster", "meet").applyInArrow(compare, "u long, v long")
@@ -413,11 +416,18 @@ def similar_groups(documents: DataFrame, like: Likeness = Likeness(), key: str =
     exact = joined.where("exact").join(reps, "one").select(F.col("rep").alias("u"), F.col("leader").alias("one")).join(reps, "one").select("u", F.col("rep").alias("v"))
     clusters = components(joined.where("not exact").select(F.col("one").alias("u"), F.col("leader").alias("v")))
     members = classes.join(clusters.toDF("one", "cluster"), "one").select(F.col("rep").alias("id"), "n", "one", "two", "cluster").checkpoint()
-    found = exact.unionByName(_verified(texts, members, like, parts))
-    roots = components(found).toDF("rep", "root")
+    # rows that repeat a key with other words connect their sets
+    said = F.struct(*equal)
+    several = sets.where("id is not null").groupBy("id").agg(F.min(said).alias("a"), F.max(said).alias("b")).where("a <> b").select("id").checkpoint()
+    versions = sets.join(small(several), "id").join(classes, equal).select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    found = exact.unionByName(versions).unionByName(_verified(texts, members, like, parts))
+    roots = components(found).toDF("rep", "root").checkpoint()
     named = classes.join(roots, "rep", "left").select(*equal, F.coalesce("root", "rep").alias("component_id"))
     # many rows may have one set, so the sets' names are the side that is split if need be
     out = sets.join(named, equal, "left")
+    # the row without words of a key that has words elsewhere
+    of_key = several.join(roots, several.id == roots.rep).select("id", F.col("root").alias("by_key"))
+    out = out.join(small(of_key), "id", "left").withColumn("component_id", F.coalesce("component_id", "by_key"))
     return out.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),
         F.coalesce("component_id", F.col("id")).alias("component_id"),

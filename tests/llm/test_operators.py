@@ -392,6 +392,23 @@ def test_candidates_are_broadcast_without_the_blocks_they_meet(spark, monkeypatc
     assert all(t in ("bigint", "int", "boolean") for frame in kept for _, t in frame.dtypes)
 
 
+def test_two_texts_under_one_id_each_link_it_in_any_order_of_rows(spark):
+    rng, like = np.random.default_rng(9), ngram_join.Likeness(3, 90, 100)
+    base = [f"w{i}" for i in range(150)]
+
+    def changed(*places):
+        return " ".join(f"z{i}" if i in places else w for i, w in enumerate(base))
+
+    one, other = changed(3, 70), changed(40, 41, 42, 110, 111, 112)
+    rows = [(5, one), (5, other), (9, changed(3, 70, 10)), (8, changed(40, 41, 42, 110, 111, 112, 140)), (7, "nothing like it at all"), (7, None), (4, "nothing like it at all")]
+    want = plain_groups(rows, like)
+    assert len({c for _, _, c in want}) == 2
+    for _ in range(4):
+        rng.shuffle(order := list(range(len(rows))))
+        got = ngram_join.similar_groups(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").coalesce(1), like).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_null_keys_in_the_join(spark):
     rows = [(None, "a b c d e f"), (None, "only me here now then"), (5, "a b c d e f"), (6, "A B C D E F")]
     got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()

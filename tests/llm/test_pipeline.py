@@ -41,6 +41,20 @@ def test_stages(spark, sf_dir, tmp_path):
     assert sum(r["start"] == 0 for r in packed) == len(mixed)
 
 
+def test_unlike_texts_under_one_id_stay_and_like_ones_do_not(spark, sf_dir):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, long), (2, long + " end"), (2, long), (3, long + " fin"), (4, "a b c d e f g"), (5, "x"), (None, "x"), (None, "x")]
+    seen = set()
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        docs = spark.createDataFrame([(*r, "v", 1) for r in order], "doc_id long, text string, Version string, copy int").coalesce(2)
+        out = corpus_pipeline.one_of_each_group(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        seen.add(tuple(sorted(((r["doc_id"] or 0, r["text"]) for r in out.collect()))))
+    assert len(seen) == 1
+    kept = seen.pop()
+    assert [k for k, _ in kept] == [0, 0, 1, 1, 2, 5] and {t for k, t in kept if k == 1} == {"a b c d e f g", "h i j k l m n"}
+
+
 def test_stages_take_odd_rows_and_none(spark, sf_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long, spans int, component_id int, whole string"
     odd = spark.createDataFrame([(*r, 1, 2, "w") for r in ODD], schema)
