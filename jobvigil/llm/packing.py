@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobvigil.llm.common import ready
+from jobvigil.llm.tokens import KEPT_PIECES
 
 #: Bits of ``sequence_id`` below the length's exponent: number of the task, and of the piece within it.
 TASK_BITS, PIECE_BITS = 24, 34
@@ -33,6 +34,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 
 def pack(
     documents: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", end_id: int = 2, longest: int = 4096,
+    kept_pieces: int = KEPT_PIECES,
 ) -> DataFrame:
     """One row per piece: key, start, length, ids, doc_tokens, sequence_id, offset.
 
@@ -40,7 +42,8 @@ def pack(
     whole text and then ``end_id``; a null or empty text is ``end_id`` alone. Each id is
     in exactly one piece, each piece is a sequence and so starts at offset 0. Repeated
     rows are packed each, a null key stays null, an empty table gives none, other
-    columns are ignored. ``longest`` must be a power of two. ``sequence_id`` is unique
+    columns are ignored. ``longest`` must be a power of two. A worker remembers the ids of
+    ``kept_pieces`` pieces: fewer take less memory and more time. ``sequence_id`` is unique
     within one evaluation; store the result before reading it twice.
     """
     if longest < 1 or longest & (longest - 1):
@@ -55,7 +58,7 @@ def pack(
 
         from jobvigil.llm.tokens import encoder
 
-        encode, end = encoder(tokenizer_file), np.asarray([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer_file, kept_pieces), np.asarray([end_id], dtype="<u4").tobytes()
         task, made = TaskContext.get().partitionId(), 0
         schema = pa.schema([
             ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
