@@ -217,6 +217,10 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
     names = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")]
     rest = with_temporary(documents, "rest")
     packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias(rest), F.col(f"`{text}`").alias("text"))
+    # a text that goes along with its row is read there, so that a worker holds it once
+    at_text = [c.lower() for c in names].index(text.lower()) if text.lower() in (c.lower() for c in names) else None
+    if at_text is not None:
+        packed = packed.select(rest)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -224,7 +228,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
 
         for batch in batches:
             said, scores = [], []
-            for value in batch.column(1):
+            for value in batch.column(1) if at_text is None else batch.column(0).field(at_text):
                 words = value.as_py()
                 if not model.languages or words is None or not has_letter(words):
                     said.append(UNKNOWN), scores.append(0.0)
