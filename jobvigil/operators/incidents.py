@@ -160,6 +160,38 @@ def enrich(incidents: DataFrame, summaries: DataFrame) -> DataFrame:
     }).select(*INCIDENTS.names)
 
 
+def newest_answers(answers: DataFrame) -> DataFrame:
+    """The usable answer given last for each incident.
+
+    Unusable answers never count, so none takes the place of a usable one. Of answers
+    given at one time the greater text decides, whatever the order of rows; an answer
+    stored twice is one answer. Each task keeps one per incident before they meet.
+    """
+    last = F.max(F.struct("answered_at", "provider", "summary", "likely_cause", "suggested_actions")).alias("_last")
+    usable = answers.where(F.col("ok") & F.col("incident_id").isNotNull())
+    return usable.groupBy("incident_id").agg(last).select("incident_id", "_last.*", F.lit(True).alias("ok"))
+
+
+def revise(incidents: DataFrame, answers: DataFrame) -> DataFrame:
+    """Stored incidents with the usable answer given last, if there is one; the others as they are.
+
+    The incidents' columns stay as they are, and so does every incident, repeated ones
+    too. Answers to unknown incidents wait until theirs is stored. Nothing goes to the
+    outbox, so a late answer causes no second message.
+    """
+    late = newest_answers(answers).select(F.col("incident_id"), F.struct("provider", "summary", "likely_cause", "suggested_actions").alias("_late"))
+    answered = F.col("_late").isNotNull()
+    given = {
+        "summary": F.col("_late.summary"),
+        "likely_cause": F.col("_late.likely_cause"),
+        "suggested_actions": F.coalesce("_late.suggested_actions", no_actions()),
+        "llm_unavailable": F.lit(False),
+        "llm_provider": F.col("_late.provider"),
+    }
+    joined = incidents.join(late, "incident_id", "left")
+    return joined.withColumns({c: F.when(answered, v).otherwise(F.col(c)) for c, v in given.items()}).select(*incidents.columns)
+
+
 def summarize_static(incidents: DataFrame) -> DataFrame:
     """``enrich`` with the built-in summary, which needs no join."""
     return incidents.withColumns(_static_columns()).withColumns({

@@ -12,9 +12,9 @@ from jobvigil.operators.decode import decode_events, first_delivery, split_valid
 from jobvigil.operators.dedupe import dedupe, dedupe_ttl
 from jobvigil.operators.detect import Detector, anomalies, observed_features, score
 from jobvigil.operators.forest import fit_or_none, last_days, training_matrix
-from jobvigil.operators.incidents import enrich, summarize_static, to_incidents
+from jobvigil.operators.incidents import enrich, revise, summarize_static, to_incidents
 from jobvigil.operators.metrics import metrics_state
-from jobvigil.schema import EVENTS
+from jobvigil.schema import ANSWERS, EVENTS, INCIDENTS
 from jobvigil.sinks.tables import (
     publish_batch,
     dead_letter_rows,
@@ -23,7 +23,7 @@ from jobvigil.sinks.tables import (
     write_incidents,
     write_metrics_state,
 )
-from jobvigil.sources.tables import refuse_other_run
+from jobvigil.sources.tables import read_table, refuse_other_run
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,12 @@ def scored_runs(
     return score(features, detector or settings.detector, model, settings)
 
 
+def revised_incidents(spark: SparkSession, tables: Tables) -> DataFrame:
+    """The incidents of a run, one row per id, with the answers that came for them in any batch since."""
+    stored = read_table(spark, tables.path("incidents"), INCIDENTS, key="incident_id").select(*INCIDENTS.names)
+    return revise(stored, read_table(spark, tables.path("answers"), ANSWERS))
+
+
 def find_incidents(
     events: DataFrame,
     settings: Settings = DEFAULTS,

@@ -316,6 +316,12 @@ FROM answered"""),
   round(score, 6) AS anomaly_score, 'isolation-forest' AS detector_name, fingerprint, severity, likely_cause,
   coalesce(actions, '') AS suggested_actions, NOT ok AS llm_unavailable, {_stamp("ts", "detected_at")},
   CASE WHEN ok THEN 'remote' ELSE 'unavailable' END AS llm_provider, summary FROM answered"""),
+    "late_summaries": _recursive(REPORTS, f"""SELECT incident_id, 'v1' AS schema_version, job_type,
+  round(score, 6) AS anomaly_score, 'isolation-forest' AS detector_name, fingerprint, severity,
+  CASE WHEN h IN (0, 2, 5) THEN 'queue' WHEN h = 1 THEN '' END AS likely_cause,
+  CASE WHEN h IN (0, 2, 5) THEN 'wait' ELSE '' END AS suggested_actions, h IN (3, 4) AS llm_unavailable,
+  {_stamp("ts", "detected_at")}, CASE WHEN h IN (0, 2, 5) THEN 'late' WHEN h = 1 THEN 'remote' ELSE 'unavailable' END AS llm_provider,
+  CASE WHEN h IN (0, 2, 5) THEN 'later ' || event_id WHEN h = 1 THEN 'fenced ' || event_id END AS summary FROM reports"""),
     "custom_summaries": _recursive(REPORTS, """SELECT incident_id, job_type || ' read ' || row_count || ' rows' AS summary,
   'isolation-forest' AS likely_cause, 'look' AS suggested_actions, 'volume' AS provider, true AS ok FROM reports"""),
     "incident_messages": _recursive(_found(2.5), f"""SELECT job_type AS key, '{{"incidentId":"' || incident_id

@@ -74,6 +74,17 @@ INCIDENTS = T.StructType([
     T.StructField("llm_provider", T.StringType()),
 ])
 
+# Answers of a summariser that came after their incident was stored.
+ANSWERS = T.StructType([
+    T.StructField("incident_id", T.StringType()),
+    T.StructField("answered_at", T.TimestampType()),
+    T.StructField("ok", T.BooleanType()),
+    T.StructField("provider", T.StringType()),
+    T.StructField("summary", T.StringType()),
+    T.StructField("likely_cause", T.StringType()),
+    T.StructField("suggested_actions", T.ArrayType(T.StringType())),
+])
+
 DEAD_LETTERS = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("raw_payload", T.StringType()),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from jobvigil.functions.headers import dead_letter_error, retry_count
 from jobvigil.functions.identity import dead_letter_id, own_event_id
 from jobvigil.operators.dedupe import dedupe
-from jobvigil.schema import DEAD_LETTERS, INCIDENTS, METRICS_STATE, OUTBOX
+from jobvigil.schema import ANSWERS, DEAD_LETTERS, INCIDENTS, METRICS_STATE, OUTBOX
 from jobvigil.sinks.topics import incident_records
 
 
@@ -36,6 +36,10 @@ def write_incidents(incidents: DataFrame, path: str, batch_id: int = 0) -> None:
     write_batch(incidents.select(*INCIDENTS.names), path, batch_id)
 
 
+def write_answers(answers: DataFrame, path: str, batch_id: int = 0) -> None:
+    write_batch(answers.select(*ANSWERS.names), path, batch_id)
+
+
 def publish_batch(incidents: DataFrame, path: str, batch_id: int = 0) -> None:
     """The batch's topic records; a retried batch replaces its own, so nothing is published twice."""
     write_batch(incident_records(incidents), path, batch_id)

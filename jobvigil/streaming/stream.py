@@ -20,12 +20,12 @@ from jobvigil.config import DEFAULTS, Settings
 from jobvigil.operators.decode import decode_events, split_valid, usable_runs
 from jobvigil.operators.dedupe import dedupe_stream, only_new
 from jobvigil.operators.detect import Detector, anomalies, score
-from jobvigil.operators.incidents import summarize_static, to_incidents
+from jobvigil.operators.incidents import decode_answers, summarize_static, to_incidents
 from jobvigil.operators.metrics import DELTAS, ORDER, RUN_COLUMNS, feature_vectors, name_running, observe
 from jobvigil.operators.ordered import ScanSpec, arrange, scan
 from jobvigil.plans.flow import Tables
 from jobvigil.schema import EVENTS, INCIDENTS, SCAN_STATE
-from jobvigil.sinks.tables import dead_letter_rows, publish_batch, write_batch, write_dead_letters, write_incidents, write_metrics_state
+from jobvigil.sinks.tables import dead_letter_rows, publish_batch, write_answers, write_batch, write_dead_letters, write_incidents, write_metrics_state
 from jobvigil.sources.tables import refuse_other_run
 from jobvigil.streaming.ledger import Sender, hand_on, notify_batch
 
@@ -222,6 +222,19 @@ def start_events(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def run_answers(answers: DataFrame, tables: Tables, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """A summariser's late answers to the answers table, from which ``revised_incidents`` reads.
+
+    ``answers`` has incident_id, answer (JSON text), provider and answered_at, and ``ok`` if it likes.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        refuse_other_run(batch.sparkSession, tables.path("answers"), batch_id)
+        write_answers(decode_answers(batch), tables.path("answers"), batch_id)
+
+    writer = answers.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def run_dead_letters(
     records: DataFrame, tables: Tables, checkpoint: str, settings: Settings = DEFAULTS, trigger: dict | None = None
 ) -> StreamingQuery:

@@ -2,18 +2,22 @@
 
 import json
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from jobvigil.config import FOREST, Settings
 from jobvigil.functions.scores import ERROR_RATE_BANDS, INCIDENT_BANDS, SCORE_BANDS, severity, status_band
 from jobvigil.operators import forest, incidents, notify
 from jobvigil.operators.detect import observed_features, score
-from jobvigil.plans.flow import find_incidents, load_forest, train_forest
+from jobvigil.plans.flow import Tables, find_incidents, load_forest, revised_incidents, train_forest
 from jobvigil.schema import INCIDENTS
+from jobvigil.sinks.tables import write_answers, write_incidents
+from jobvigil.streaming.stream import run_answers
 
 
 def test_severity_bands(spark):
@@ -196,3 +200,46 @@ def test_gate_fallback_and_training(spark, runs, tmp_path):
         score(features, "other")
     with pytest.raises(ValueError):
         score(features, lambda df: df)
+
+
+def stored(spark, *ids):
+    given = {"llm_unavailable": F.lit(True), "llm_provider": F.lit("unavailable"), "incident_id": F.col("incident_id")}
+    rows = spark.createDataFrame([(i,) for i in ids], "incident_id string")
+    return rows.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INCIDENTS))
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_the_last_usable_answer_counts_in_any_order_of_batches(spark, tmp_path, order):
+    tables, form = Tables(str(tmp_path)), "incident_id string, answered_at timestamp, ok boolean, provider string, summary string, likely_cause string, suggested_actions array<string>"
+    noon = datetime(2024, 6, 3, 12)
+    batches = [
+        [("a", noon, True, "p", "first", "c", ["x"]), ("b", noon, False, "p", "no", "c", None), (None, noon, True, "p", "nobody", "c", None)],
+        [("a", noon + timedelta(hours=1), True, "p", "second", None, None), ("unknown", noon, True, "p", "s", "c", None), ("t", noon, True, "p", "x", "c", None)],
+        [("a", noon + timedelta(hours=2), False, "p", "third", "c", None), ("a", None, True, "p", "undated", "c", None), ("a", noon, None, "p", "zz", "c", None), ("t", noon, True, "p", "y", "c", None)],
+    ]
+    write_incidents(stored(spark, "a", "b", "c", "t"), tables.path("incidents"), 7)
+    untouched = revised_incidents(spark, tables).collect()
+    assert len(untouched) == 4 and all(r.llm_unavailable for r in untouched)  # no answers table yet
+    for batch_id, number in enumerate((*order, order[0])):  # the last is a repeat under a new id
+        write_answers(spark.createDataFrame(batches[number], form), tables.path("answers"), batch_id)
+    got = {r.incident_id: r for r in revised_incidents(spark, tables).collect()}
+    assert sorted(got) == ["a", "b", "c", "t"]
+    assert (got["a"].summary, got["a"].suggested_actions, got["a"].llm_unavailable, got["a"].llm_provider) == ("second", [], False, "p")
+    assert got["t"].summary == "y" and got["b"].llm_unavailable and got["c"].summary is None and got["b"].llm_provider == "unavailable"
+
+
+def test_a_stream_of_answers_revises_and_refuses_another_run(spark, tmp_path):
+    tables, source, form = Tables(str(tmp_path / "t")), str(tmp_path / "in"), "incident_id string, answer string, provider string, answered_at timestamp"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), form).coalesce(1).write.mode("append").parquet(source)
+        run_answers(spark.readStream.schema(form).parquet(source), tables, str(tmp_path / "progress")).awaitTermination()
+
+    noon = datetime(2024, 6, 3, 12)
+    write_incidents(stored(spark, "a", "b"), tables.path("incidents"))
+    arrive(("b", '{"summary":"late","likelyCause":"c"}', "p", noon), ("a", "not json", "p", noon))
+    arrive(("b", "```json\n{}\n```", "p", noon - timedelta(hours=1)))
+    got = {r.incident_id: (r.summary, r.llm_unavailable) for r in revised_incidents(spark, tables).collect()}
+    assert got == {"a": (None, True), "b": ("late", False)}
+    with pytest.raises(StreamingQueryException):
+        run_answers(spark.readStream.schema(form).parquet(source), tables, str(tmp_path / "other")).awaitTermination()
