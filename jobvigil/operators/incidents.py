@@ -202,7 +202,7 @@ def summarize_static(incidents: DataFrame) -> DataFrame:
 
 SUMMARY_SCHEMA = (
     "incident_id string, summary string, likely_cause string, suggested_actions array<string>, "
-    "provider string, ok boolean"
+    "provider string, ok boolean, error string"
 )
 
 
@@ -213,7 +213,8 @@ def summarize_with(
 
     ``summarize`` gets the context columns and ``incident_id`` and returns
     ``summary``, ``likely_cause`` and ``suggested_actions`` for the same rows, in
-    order. A batch whose call fails gives unavailable rows, not a failed job.
+    order. A batch whose call fails gives unavailable rows, not a failed job; ``error``
+    says what was raised.
     """
     ship_package(incidents.sparkSession)
 
@@ -224,11 +225,11 @@ def summarize_with(
                 answer = summarize(batch)
                 for column in ("summary", "likely_cause", "suggested_actions"):
                     out[column] = answer[column].to_numpy()
-                out["ok"] = True
-            except Exception:  # noqa: BLE001 - the caller's code may raise anything
+                out["ok"], out["error"] = True, None
+            except Exception as failure:  # noqa: BLE001 - the caller's code may raise anything
                 out["summary"] = out["likely_cause"] = out["suggested_actions"] = None
-                out["ok"] = False
-            yield out[["incident_id", "summary", "likely_cause", "suggested_actions", "provider", "ok"]]
+                out["ok"], out["error"] = False, f"{type(failure).__name__}: {failure}"
+            yield out[["incident_id", "summary", "likely_cause", "suggested_actions", "provider", "ok", "error"]]
 
     return incidents.select("incident_id", *CONTEXT).mapInPandas(run, SUMMARY_SCHEMA)
 

@@ -368,6 +368,14 @@ FROM readings GROUP BY job_type""",
   WHEN score >= 3.5 THEN 'yellow' ELSE 'green' END AS score_colour,
   CASE WHEN error_rate >= CAST(0.2 AS DOUBLE) THEN 'red' WHEN error_rate >= CAST(0.05 AS DOUBLE)
   THEN 'yellow' ELSE 'green' END AS error_colour, count(*) AS runs FROM scored GROUP BY 1, 2, 3"""),
+    "incident_bands": _recursive(REPORTS, f"""SELECT job_type, {_stamp("date_trunc('hour', ts)", "window_start")}, count(*) AS incidents,
+  CASE WHEN count(*) >= 3 THEN 'red' ELSE 'yellow' END AS colour FROM reports GROUP BY job_type, date_trunc('hour', ts)"""),
+    "latency_bands": f"""WITH {RUNS}, windows AS (
+  SELECT round(avg(duration_seconds / 100), 6) AS mean_latency, round(max(duration_seconds / 100), 6) AS max_latency
+  FROM runs WHERE event_type = 'JOB_COMPLETED' GROUP BY date_trunc('minute', ts))
+SELECT CASE WHEN mean_latency >= 3 THEN 'red' WHEN mean_latency >= 1 THEN 'yellow' ELSE 'green' END AS mean_colour,
+  CASE WHEN max_latency >= 3 THEN 'red' WHEN max_latency >= 1 THEN 'yellow' ELSE 'green' END AS max_colour, count(*) AS windows
+FROM windows GROUP BY 1, 2""",
     "dead_letters_of_every_kind": """SELECT ['not_json', 'not_an_object', 'unknown_job_type', 'missing_payload', 'unknown_event_type',
   'bad_timestamp', 'bad_number', 'missing_event_id'][event_id % 8 + 1] AS error, count(*) AS records, count(*) AS dead_letters
 FROM events WHERE event_type = 'error' GROUP BY 1""",

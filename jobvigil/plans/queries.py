@@ -727,6 +727,25 @@ def status_bands(spark, sf_dir):
     return coloured.groupBy("job_type", "score_colour", "error_colour").agg(F.count(F.lit(1)).alias("runs"))
 
 
+@query
+def incident_bands(spark, sf_dir):
+    """Incidents of each job type and hour, with the colour of their number."""
+    hours = _reports(spark, sf_dir).groupBy("job_type", F.date_trunc("hour", "detected_at").alias("window_start")).agg(F.count(F.lit(1)).alias("incidents"))
+    coloured = hours.withColumn("colour", scores.status_band(F.col("incidents"), scores.INCIDENT_BANDS))
+    return pick(coloured, "job_type", "window_start", "incidents", "colour", stamps=["window_start"])
+
+
+@query
+def latency_bands(spark, sf_dir):
+    """Windows of each colour of the mean and the greatest latency."""
+    windows = summary_latency(spark, sf_dir)
+    coloured = windows.select(
+        scores.status_band(F.col("mean_latency"), scores.LATENCY_BANDS).alias("mean_colour"),
+        scores.status_band(F.col("max_latency"), scores.LATENCY_BANDS).alias("max_colour"),
+    )
+    return coloured.groupBy("mean_colour", "max_colour").agg(F.count(F.lit(1)).alias("windows"))
+
+
 # --- streams ---------------------------------------------------------------------------
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,9 @@ def test_caller_summaries_and_failures(spark, report):
 
     assert incidents.enrich(report, incidents.summarize_with(report, good, "mine")).first().llm_provider == "mine"
     assert incidents.enrich(report, incidents.summarize_with(report, bad, "mine")).first().llm_unavailable
+    assert incidents.summarize_with(report, good, "mine").first().error is None
+    failed = incidents.summarize_with(report, bad, "mine").first()
+    assert (failed.ok, failed.error, failed.suggested_actions) == (False, "RuntimeError: no answer", None)
 
 
 def test_payload_is_json(spark, report):
