@@ -434,6 +434,13 @@ def test_languages(spark, sf_dir, odd):
     rows = both(odd, lambda d: language.identify(d, model))
     by = {r["doc_id"]: r for r in rows}
     assert [by[i]["lang_pred"] for i in (1, 2, 6)] == ["und"] * 3 and by[4]["lang_pred"] in model.languages and by[1]["rest"] == 1
+    # the text may be named like a column of the answer, or in other letters, and goes along only if it can
+    plain = odd.select("doc_id", "text")
+    told = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(plain, model).collect()}
+    for name in ("score", "Body"):
+        renamed = language.identify(plain.withColumnRenamed("text", name), model, text=name.lower())
+        assert renamed.columns == (["doc_id", "lang_pred", "score"] if name == "score" else ["doc_id", "Body", "lang_pred", "score"])
+        assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in renamed.collect()} == told
     nobody = language.train(odd.limit(0))
     assert {r["lang_pred"] for r in language.identify(odd, nobody).collect()} == {"und"}
     alone = language.train(odd.where("lang = 'de'"))
