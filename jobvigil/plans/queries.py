@@ -599,7 +599,8 @@ def _late_answers(reports: DataFrame, version: int) -> DataFrame:
 @query
 def late_summaries(spark, sf_dir):
     """Incidents stored without a summary, revised by answers that arrive in three batches out of order, one of them twice."""
-    reports, tables = _reports(spark, sf_dir), _new_tables(spark)
+    tables = _new_tables(spark)
+    reports = _reports(spark, sf_dir).checkpoint()
     write_incidents(incidents.enrich(reports, incidents.static_summary(reports.limit(0))), tables.path("incidents"))
     for batch_id, version in ((0, 1), (1, 2), (2, 0), (0, 1)):
         write_answers(_late_answers(reports, version), tables.path("answers"), batch_id)
