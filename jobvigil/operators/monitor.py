@@ -2,6 +2,8 @@
 
 Sliding windows are built from panes of one slide: rows are aggregated once per
 pane and only the panes are copied into the windows that cover them, not the rows.
+Panes can also be stored, batch by batch (``event_panes``, ``dead_letter_panes``): a
+panel over a year then reads its panes and no events.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from pyspark.sql import functions as F
 
 from jobvigil.config import SEVERITIES
 from jobvigil.operators.metrics import literal_rows
+from jobvigil.schema import DEAD_LETTER_PANES, EVENT_PANES
 
 # Retained items per quantile sketch: windows of up to this many runs are exact.
 SKETCH_SIZE = 1024
+# Length of a stored pane; windows over stored panes slide by it or by a multiple.
+PANE = "15 seconds"
 
 
 def _seconds(width: str) -> float:
@@ -30,7 +35,10 @@ def _rates(df: DataFrame, ts: str, keys: Sequence[str], width: str, slide: str)
     if _seconds(width) % _seconds(slide):
         raise ValueError("the window width must be a multiple of the slide")
     panes = df.groupBy(*keys, F.window(ts, slide).alias("_pane")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = panes.withColumn("_at", F.window_time("_pane"))
+    return _counted(panes.withColumn("_at", F.window_time("_pane")), keys, width, slide)
+
+
+def _counted(placed: DataFrame, keys: Sequence[str], width: str, slide: str) -> DataFrame:
     spans = placed.groupBy(*keys, F.window("_at", width, slide).alias("_span")).agg(F.sum("_n").alias("events"))
     return spans.select(
         *keys,
@@ -64,17 +72,63 @@ def duration_p95(
         F.kll_sketch_agg_double("duration_seconds", F.lit(SKETCH_SIZE)).alias("_sketch"),
         F.count(F.lit(1)).alias("_n"),
     )
-    placed = panes.withColumn("_at", F.window_time("_pane"))
+    return _quantiles(panes.withColumn("_at", F.window_time("_pane")), width, slide, quantile)
+
+
+def _quantiles(placed: DataFrame, width: str, slide: str, quantile: float) -> DataFrame:
     spans = placed.groupBy("job_type", F.window("_at", width, slide).alias("_span")).agg(
         F.kll_merge_agg_double("_sketch", F.lit(SKETCH_SIZE)).alias("_sketch"), F.sum("_n").alias("runs")
     )
+    # runs without a run time leave an empty sketch, which has no quantile
+    measured = F.kll_sketch_get_n_double("_sketch") > 0
     return spans.select(
         "job_type",
         F.col("_span.start").alias("window_start"),
         F.col("_span.end").alias("window_end"),
         "runs",
-        F.kll_sketch_get_quantile_double("_sketch", F.lit(quantile)).alias("p95_seconds"),
+        F.when(measured, F.kll_sketch_get_quantile_double("_sketch", F.lit(quantile))).alias("p95_seconds"),
+    )
+
+
+def event_panes(events: DataFrame) -> DataFrame:
+    """job_type, event_type, pane_start, events, durations: what the panels need of the events, by pane.
+
+    ``durations`` is a mergeable sketch of the completed runs' times. Panes of several
+    batches may overlap: late events make rows of their own for an old pane.
+    """
+    seconds = F.when(F.col("event_type") == "JOB_COMPLETED", F.col("duration_seconds"))
+    panes = events.groupBy("job_type", "event_type", F.window("ts", PANE).alias("_pane")).agg(
+        F.count(F.lit(1)).alias("events"), F.kll_sketch_agg_double(seconds, F.lit(SKETCH_SIZE)).alias("durations")
     )
+    return panes.withColumn("pane_start", F.col("_pane.start")).select(*EVENT_PANES.names)
+
+
+def dead_letter_panes(dead_letters: DataFrame) -> DataFrame:
+    """pane_start, events: dead letters by pane."""
+    panes = dead_letters.groupBy(F.window("failed_at", PANE).alias("_pane")).agg(F.count(F.lit(1)).alias("events"))
+    return panes.withColumn("pane_start", F.col("_pane.start")).select(*DEAD_LETTER_PANES.names)
+
+
+def _stored(panes: DataFrame, width: str, slide: str) -> DataFrame:
+    if _seconds(slide) % _seconds(PANE) or _seconds(width) % _seconds(slide):
+        raise ValueError(f"the window width must be a multiple of the slide, and the slide one of {PANE}")
+    return panes.withColumns({"_at": F.col("pane_start"), "_n": F.col("events")})
+
+
+def throughput_of_panes(panes: DataFrame, width: str = "1 minute", slide: str = PANE) -> DataFrame:
+    """``throughput`` from stored panes. A condition on ``pane_start`` reaches the scan."""
+    return _counted(_stored(panes, width, slide), ["job_type", "event_type"], width, slide)
+
+
+def dead_letter_rate_of_panes(panes: DataFrame, width: str = "1 minute", slide: str = PANE) -> DataFrame:
+    """``dead_letter_rate`` from stored panes."""
+    return _counted(_stored(panes, width, slide), [], width, slide)
+
+
+def duration_p95_of_panes(panes: DataFrame, width: str = "5 minutes", slide: str = PANE, quantile: float = 0.95) -> DataFrame:
+    """``duration_p95`` from stored panes, by merging their sketches."""
+    completed = _stored(panes, width, slide).filter(F.col("event_type") == "JOB_COMPLETED")
+    return _quantiles(completed.withColumnRenamed("durations", "_sketch"), width, slide, quantile)
 
 
 def incidents_by_severity(incidents: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from jobvigil.config import DEFAULTS, Settings
 from jobvigil.operators.decode import decode_events, first_delivery, split_valid, usable_runs
@@ -14,6 +13,7 @@ from jobvigil.operators.detect import Detector, anomalies, observed_features, sc
 from jobvigil.operators.forest import fit_or_none, last_days, training_matrix
 from jobvigil.operators.incidents import enrich, revise, summarize_static, to_incidents
 from jobvigil.operators.metrics import metrics_state
+from jobvigil.plans.models import load_model, publish_model
 from jobvigil.schema import ANSWERS, EVENTS, INCIDENTS
 from jobvigil.sinks.tables import (
     publish_batch,
@@ -22,6 +22,7 @@ from jobvigil.sinks.tables import (
     write_dead_letters,
     write_incidents,
     write_metrics_state,
+    write_panes,
 )
 from jobvigil.sources.tables import read_table, refuse_other_run
 
@@ -95,6 +96,7 @@ def replay(spark: SparkSession, records: DataFrame, tables: Tables, settings: Se
     write_batch(dedupe(valid, "event_id", first_delivery(valid)).select(*EVENTS.names), tables.path("events"), batch_id)
     events = spark.read.parquet(f"{tables.path('events')}/batch_id={batch_id}")
     write_metrics_state(metrics_state(events), tables.path("metrics_state"), batch_id)
+    write_panes(events, tables.path("panes"), batch_id)
     scored, after = score_batch(events, read_state(spark, tables, 0), settings)
     write_batch(after, tables.path("scan_state"), batch_id)
     write_incidents(summarize_static(to_incidents(anomalies(scored), settings)), tables.path("incidents"), batch_id)
@@ -104,14 +106,18 @@ def replay(spark: SparkSession, records: DataFrame, tables: Tables, settings: Se
 
 
 def train_forest(features: DataFrame, path: str, settings: Settings = DEFAULTS, days: int | None = 7, seed: int = 7) -> bool:
-    """Fit on the last ``days`` of completed runs and store the model; False if there are too few rows."""
+    """Fit on the last ``days`` of completed runs and publish the next version of the model; False if there are too few rows.
+
+    A stream that was started with ``path`` takes the version up with its next micro-batch.
+    """
     history = last_days(features, days) if days else features
     model = fit_or_none(training_matrix(history), settings, seed)
     if model is None:
         return False
-    model.write.mode("overwrite").parquet(path)
+    publish_model(model, path)
     return True
 
 
-def load_forest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(F.col("*"))
+def load_forest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A published model, the newest version unless one is named."""
+    return load_model(spark, path, version)

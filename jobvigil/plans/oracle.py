@@ -412,6 +412,8 @@ FROM events WHERE event_type IN ('purchase', 'signup')""",
 FROM events WHERE event_type IN ('purchase', 'signup')""",
     "forest_verdict_rules": f"""WITH {RUNS} SELECT job_type, 'isolation-forest' AS detector_name, count(*) AS runs, count(*) AS scores_in_range,
   count(*) AS verdicts_by_threshold, count(*) AS reasons FROM runs WHERE event_type = 'JOB_COMPLETED' GROUP BY job_type""",
+    "refitted_stream": """SELECT CAST(event_id % 3 - 1 AS BIGINT) AS version, count(*) AS events, true AS reported, CAST(0 AS BIGINT) AS differing
+FROM events GROUP BY event_id % 3""",
     "metrics_state_streamed": f"WITH {DELTAS} SELECT job_type, {STATE_COLUMNS} FROM deltas GROUP BY job_type",
     "streamed_late_events": """SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(CASE event_id % 10 WHEN 0 THEN ts + INTERVAL 900 YEAR
   WHEN 1 THEN ts - INTERVAL 30 DAY ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events""",
@@ -438,4 +440,7 @@ def _steady(sql: str) -> str:
     return out + sql[start:]
 
 
+# Panels from stored panes are what they are from the rows.
+STATEMENTS |= {f"{name}_of_panes": STATEMENTS[name] for name in ("throughput", "duration_p95", "dead_letter_rate")}
+
 ORACLE: dict[str, str] = {name: _steady(sql) for name, sql in STATEMENTS.items()}

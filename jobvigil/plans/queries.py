@@ -14,10 +14,10 @@ from jobvigil.functions import headers, identity, scores
 from jobvigil.operators import dedupe, detect, forest, incidents, metrics, monitor, notify
 from jobvigil.operators.decode import completed_runs, decode_events, first_delivery, split_valid, unusable_runs
 from jobvigil.operators.ewma import ewma
-from jobvigil.plans.flow import Tables, find_incidents, incidents_from_records, replay, revised_incidents, scored_runs
-from jobvigil.schema import DEAD_LETTERS, DELIVERIES, EVENTS, INCIDENTS, OUTBOX
+from jobvigil.plans.flow import Tables, find_incidents, incidents_from_records, load_forest, replay, revised_incidents, scored_runs, train_forest
+from jobvigil.schema import BATCH_MODELS, DEAD_LETTER_PANES, DEAD_LETTERS, DELIVERIES, EVENT_PANES, EVENTS, INCIDENTS, OUTBOX
 from jobvigil.session import ensure_checkpoint_dir
-from jobvigil.sinks.tables import dead_letter_rows, write_answers, write_incidents, write_metrics_state
+from jobvigil.sinks.tables import dead_letter_rows, write_answers, write_dead_letter_panes, write_incidents, write_metrics_state, write_panes
 from jobvigil.sinks.topics import DEAD_LETTER_TOPIC, event_records, incident_records, publish_events
 from jobvigil.sources.samples import broken_deliveries, contradicting_deliveries, deliveries, runs_from_events
 from jobvigil.sources.tables import metrics_for, read_dead_letters, read_event_array, read_events, read_metrics_state, read_table
@@ -676,6 +676,38 @@ def duration_p95(spark, sf_dir):
                 stamps=["window_start"])
 
 
+def _panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as panes stored in four batches, one of them tried twice; each pane has rows of several batches."""
+    path, events = _folder(spark), all_events(spark, sf_dir)
+    for batch_id in (0, 1, 2, 1, 3):
+        write_panes(events.filter(F.col("event_id").cast("long") % 4 == batch_id), path, batch_id)
+    return read_table(spark, path, EVENT_PANES)
+
+
+@query
+def throughput_of_panes(spark, sf_dir):
+    rates = monitor.throughput_of_panes(_panes(spark, sf_dir))
+    return pick(rates, "job_type", "event_type", "window_start", "events", "per_second",
+                stamps=["window_start"], rounds={"per_second": 6})
+
+
+@query
+def duration_p95_of_panes(spark, sf_dir):
+    return pick(monitor.duration_p95_of_panes(_panes(spark, sf_dir)), "job_type", "window_start", "runs", "p95_seconds",
+                stamps=["window_start"])
+
+
+@query
+def dead_letter_rate_of_panes(spark, sf_dir):
+    """Dead letters stored by pane in three batches, one of them tried twice."""
+    _, rejected = split_valid(decode_events(records(spark, sf_dir)))
+    dead, path = dead_letter_rows(rejected, "reject_reason").checkpoint(), _folder(spark)
+    for batch_id in (2, 0, 1, 0):
+        write_dead_letter_panes(dead.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch_id), path, batch_id)
+    rates = monitor.dead_letter_rate_of_panes(read_table(spark, path, DEAD_LETTER_PANES))
+    return pick(rates, "window_start", "events", "per_second", stamps=["window_start"], rounds={"per_second": 6})
+
+
 @query
 def incidents_by_severity(spark, sf_dir):
     return monitor.incidents_by_severity(_reports(spark, sf_dir))
@@ -861,6 +893,45 @@ def metrics_state_streamed(spark, sf_dir):
     return pick(read_metrics_state(spark, tables.path("metrics_state")), *STATE, stamps=["updated_at"], rounds=SUMS)
 
 
+@query
+def refitted_stream(spark, sf_dir):
+    """A stream whose forest is fitted, and fitted anew, while it runs; one of its batches is tried again later.
+
+    Per version (-1: none yet) how many events it scored, whether it reported any, and how
+    many incidents are not those that this version finds in them.
+    """
+    tables, settings = _new_tables(spark), Settings(detector=FOREST, forest_threshold=0.55, ewma_threshold=2.5)
+    models, events = tables.path("models"), all_events(spark, sf_dir)
+    features = detect.observed_features(finished(spark, sf_dir)).checkpoint()
+    sent = event_records(events).select("event_id", "key", "value", F.col("ts").alias("timestamp"))
+    for part in range(3):
+        sent.filter(F.col("event_id").cast("long") % 3 == part).drop("event_id").coalesce(1).write.parquet(f"{tables.path('sent')}/part{part}")
+        live = read_events(spark, f"{tables.path('sent')}/*", streaming=True)
+        stream.run_stream(live, tables, tables.path("progress"), settings, model=models).awaitTermination()
+        if part < 2:
+            train_forest(features, models, settings, seed=part)
+    stored = read_table(spark, tables.path("events"), EVENTS)
+    again = stored.filter(F.col("event_id").cast("long") % 3 == 1).agg(F.min("batch_id")).first()[0]
+    stream.process_batch(stored.filter(F.col("batch_id") == again).select(*EVENTS.names).checkpoint(), again, tables, settings, model=models)
+
+    chosen = read_table(spark, tables.path("batch_models"), BATCH_MODELS).withColumn("version", F.coalesce("version", F.lit(-1).cast("long")))
+    scored_by = read_table(spark, tables.path("events"), EVENTS).join(F.broadcast(chosen), "batch_id")
+    expected = None
+    for version in (-1, 0, 1):
+        own = scored_by.filter(F.col("version") == version).select(*EVENTS.names)
+        model = None if version < 0 else load_forest(spark, models, version)
+        found = incidents.to_incidents(detect.anomalies(scored_runs(own, settings, model=model)), settings)
+        found = found.select("incident_id", steady("anomaly_score", 6).alias("score"), F.lit(version).cast("long").alias("version"))
+        expected = found if expected is None else expected.unionByName(found)
+    made = read_table(spark, tables.path("incidents"), INCIDENTS).join(F.broadcast(chosen), "batch_id").select("incident_id", steady("anomaly_score", 6).alias("score"), "version")
+    sides = made.withColumn("side", F.lit(1)).unionByName(expected.withColumn("side", F.lit(-1)))
+    apart = sides.groupBy("incident_id", "score", "version").agg(F.sum("side").alias("side")).filter("side <> 0")
+    differing = apart.groupBy("version").agg(F.count("*").alias("differing"))
+    counted = scored_by.groupBy("version").agg(F.count("*").alias("events")).join(differing, "version", "left")
+    reported = counted.join(made.groupBy("version").agg(F.lit(True).alias("reported")), "version", "left")
+    return reported.select("version", "events", F.coalesce("reported", F.lit(False)).alias("reported"), F.coalesce("differing", F.lit(0).cast("long")).alias("differing"))
+
+
 @query
 def streamed_messages(spark, sf_dir):
     """Topic records of a stream's incidents: one for each, by the incident's id."""

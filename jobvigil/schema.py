@@ -117,6 +117,29 @@ NOTIFIED = T.StructType([
     T.StructField("until", T.TimestampType()),
 ])
 
+# What the panels need of events and dead letters, by pane.
+EVENT_PANES = T.StructType([
+    T.StructField("job_type", T.StringType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("pane_start", T.TimestampType()),
+    T.StructField("events", T.LongType()),
+    T.StructField("durations", T.BinaryType()),
+])
+
+DEAD_LETTER_PANES = T.StructType([
+    T.StructField("pane_start", T.TimestampType()),
+    T.StructField("events", T.LongType()),
+])
+
+# The pointer to a model: a version is there as soon as its row is.
+MODEL_VERSIONS = T.StructType([
+    T.StructField("version", T.LongType()),
+    T.StructField("trees", T.LongType()),
+])
+
+# By which version a micro-batch is scored; null where there was none.
+BATCH_MODELS = T.StructType([T.StructField("version", T.LongType())])
+
 FOREST_MODEL = T.StructType([
     T.StructField("tree", T.IntegerType()),
     T.StructField("node", T.IntegerType()),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from jobvigil.functions.headers import dead_letter_error, retry_count
 from jobvigil.functions.identity import dead_letter_id, own_event_id
 from jobvigil.operators.dedupe import dedupe
+from jobvigil.operators.monitor import dead_letter_panes, event_panes
 from jobvigil.schema import ANSWERS, DEAD_LETTERS, INCIDENTS, METRICS_STATE, OUTBOX
 from jobvigil.sinks.topics import incident_records
 
@@ -53,6 +54,15 @@ def write_metrics_state(state: DataFrame, path: str, batch_id: int = 0) -> None:
     write_batch(state.select(*METRICS_STATE.names), path, batch_id)
 
 
+def write_panes(events: DataFrame, path: str, batch_id: int = 0) -> None:
+    """The batch's events by pane, for the panels; a retried batch replaces its own."""
+    write_batch(event_panes(events), path, batch_id)
+
+
+def write_dead_letter_panes(dead: DataFrame, path: str, batch_id: int = 0) -> None:
+    write_batch(dead_letter_panes(dead), path, batch_id)
+
+
 def write_outbox(payloads: DataFrame, path: str, batch_id: int = 0) -> None:
     """Messages to send: fingerprint, incident and payload."""
     write_batch(payloads.select(*OUTBOX.names), path, batch_id)

@@ -24,8 +24,11 @@ from jobvigil.operators.incidents import decode_answers, summarize_static, to_in
 from jobvigil.operators.metrics import DELTAS, ORDER, RUN_COLUMNS, feature_vectors, name_running, observe
 from jobvigil.operators.ordered import ScanSpec, arrange, scan
 from jobvigil.plans.flow import Tables
-from jobvigil.schema import EVENTS, INCIDENTS, SCAN_STATE
-from jobvigil.sinks.tables import dead_letter_rows, publish_batch, write_answers, write_batch, write_dead_letters, write_incidents, write_metrics_state
+from jobvigil.plans.models import model_of_batch
+from jobvigil.schema import DEAD_LETTERS, EVENTS, INCIDENTS, SCAN_STATE
+from jobvigil.sinks.tables import (
+    dead_letter_rows, publish_batch, write_answers, write_batch, write_dead_letter_panes, write_dead_letters, write_incidents, write_metrics_state, write_panes,
+)
 from jobvigil.sources.tables import refuse_other_run
 from jobvigil.streaming.ledger import Sender, hand_on, notify_batch
 
@@ -116,7 +119,7 @@ def process_batch(
     tables: Tables,
     settings: Settings = DEFAULTS,
     detector: str | Detector | None = None,
-    model: DataFrame | None = None,
+    model: DataFrame | str | None = None,
     summarize: Summarizer = summarize_static,
     first_batch: int = 0,
     send: Sender | None = None,
@@ -126,7 +129,8 @@ def process_batch(
 
     The events are stored first and read back, so the stream's own operators run
     once per batch however many tables follow from it. Messages go to the outbox and,
-    with ``send``, out; ``ledger`` says how each is sent once.
+    with ``send``, out; ``ledger`` says how each is sent once. A ``model`` given as a path
+    is the one published there: its newest version when the batch is first tried.
     """
     spark = batch.sparkSession
     if batch_id == first_batch:
@@ -141,6 +145,9 @@ def process_batch(
         write_incidents(spark.createDataFrame([], INCIDENTS), tables.path("incidents"), batch_id)
         hand_on(spark, batch_id, tables)
         return
+    write_panes(events, tables.path("panes"), batch_id)
+    if isinstance(model, str):
+        model = model_of_batch(spark, model, tables.path("batch_models"), batch_id)
     scored, after = score_batch(events, before, settings, detector, model)
     write_batch(after, tables.path("scan_state"), batch_id)
     write_metrics_state(read_state(spark, tables, batch_id + 1), tables.path("metrics_state"), batch_id)
@@ -157,7 +164,7 @@ def run_stream(
     checkpoint: str,
     settings: Settings = DEFAULTS,
     detector: str | Detector | None = None,
-    model: DataFrame | None = None,
+    model: DataFrame | str | None = None,
     summarize: Summarizer = summarize_static,
     trigger: dict | None = None,
     first_batch: int = 0,
@@ -171,7 +178,8 @@ def run_stream(
     time is. ``first_batch`` is the number of the first micro-batch: 1 after a replay into
     the same tables as batch 0, whose state it goes on from and whose events it knows: their
     ids enter the state of the de-duplication with the first micro-batch, and no later
-    one reads them. ``send`` delivers the messages of each batch.
+    one reads them. ``send`` delivers the messages of each batch. ``model`` is a table of
+    nodes or the path of a published model, whose versions are taken up as they come.
     """
     valid, _ = split_valid(decode_events(records, settings))
     if first_batch:
@@ -201,7 +209,7 @@ def start_events(
     checkpoint: str,
     settings: Settings = DEFAULTS,
     detector: str | Detector | None = None,
-    model: DataFrame | None = None,
+    model: DataFrame | str | None = None,
     summarize: Summarizer = summarize_static,
     trigger: dict | None = None,
     first_batch: int = 0,
@@ -255,6 +263,8 @@ def _store_dead_letters(
 ) -> StreamingQuery:
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_dead_letters(dead_letter_rows(batch, reason), tables.path("dead_letters"), batch_id)
+        stored = batch.sparkSession.read.schema(DEAD_LETTERS).parquet(f"{tables.path('dead_letters')}/batch_id={batch_id}")
+        write_dead_letter_panes(stored, tables.path("dead_letter_panes"), batch_id)
 
     writer = records.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

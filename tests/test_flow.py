@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from jobvigil.config import Settings
 from jobvigil.operators.dedupe import dedupe_stream
-from jobvigil.operators.monitor import duration_p95, throughput
+from jobvigil.operators.decode import usable_runs
+from jobvigil.operators.monitor import (
+    dead_letter_rate, dead_letter_rate_of_panes, duration_p95, duration_p95_of_panes, event_panes, throughput, throughput_of_panes,
+)
 from jobvigil.plans.flow import Tables, replay
-from jobvigil.schema import DEAD_LETTERS, EVENTS, INCIDENTS, SCAN_STATE
+from jobvigil.schema import DEAD_LETTER_PANES, DEAD_LETTERS, EVENT_PANES, EVENTS, INCIDENTS, SCAN_STATE
 from jobvigil.sinks.tables import dead_letter_rows
 from jobvigil.sinks.topics import INCIDENTS_TOPIC, event_records, publish_incidents
 from jobvigil.sources.samples import deliveries, runs_from_events
@@ -62,11 +65,16 @@ def test_stream_equals_batch(spark, records, batch, tmp_path):
     sent = spark.read.parquet(tables.path("outbox"))
     assert sent.count() == sent.select("fingerprint").distinct().count()
     assert same(sent.select("fingerprint"), spark.read.parquet(batch.path("outbox")).select("fingerprint"))
+    for tables_of in (tables, batch):
+        panes = read_table(spark, tables_of.path("panes"), EVENT_PANES)
+        assert same(throughput_of_panes(panes), throughput(stored)) and same(duration_p95_of_panes(panes), duration_p95(usable_runs(stored)))
 
     run_dead_letters(read_events(spark, source, True), tables, str(tmp_path / "c2")).awaitTermination()
     columns = DEAD_LETTERS.names
     assert same(read_table(spark, tables.path("dead_letters"), DEAD_LETTERS, "event_id").select(columns),
                 read_table(spark, batch.path("dead_letters"), DEAD_LETTERS).select(columns))
+    panes = read_table(spark, tables.path("dead_letter_panes"), DEAD_LETTER_PANES)
+    assert same(dead_letter_rate_of_panes(panes), dead_letter_rate(read_table(spark, tables.path("dead_letters"), DEAD_LETTERS)))
 
 
 def test_retried_batch_changes_nothing(spark, runs, tmp_path):
@@ -172,3 +180,14 @@ def test_incident_topic(spark, batch, tmp_path):
     assert sent.count() == found.count()
     back = sent.select("key", F.get_json_object("value", "$.incidentId").alias("incident_id"))
     assert same(back, found.select("job_type", "incident_id"))
+
+
+def test_panes_of_nothing_and_of_runs_without_times(spark, runs):
+    events = runs([("CLAIMS_INGEST", None), ("CLAIMS_INGEST", 4.0)])
+    completed = events.withColumn("event_type", F.lit("JOB_COMPLETED"))
+    panels = duration_p95(completed), duration_p95_of_panes(event_panes(completed))
+    assert same(*panels) and panels[0].filter("p95_seconds is null").count() > 0
+    none = event_panes(events.limit(0))
+    assert none.count() == throughput_of_panes(none).count() == duration_p95_of_panes(none).count() == 0
+    with pytest.raises(ValueError, match="multiple"):
+        throughput_of_panes(none, "1 minute", "10 seconds")
