@@ -161,12 +161,23 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def blocks_of_range(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """The blocks that hold ids ``start`` to ``start + n`` of the whole store.
+
+    The index tells the first and the last file. That goes to the scan as bounds of
+    ``part``, so of the other files only the footers are read.
+    """
+    until = F.sum("n_ids").over(Window.orderBy("part"))
+    files = spark.read.schema("part int, n_ids long").parquet(f"{path}/index").withColumn("until", until)
+    held = files.where((F.col("until") > start) & (F.col("until") - F.col("n_ids") < start + n))
+    low, high = held.agg(F.min("part"), F.max("part")).first()
+    here = F.lit(False) if low is None else F.col("part").between(low, high)
+    return read_blocks(spark, path).where(here & (F.col("first") < start + n) & (F.col("first") + F.col("n_ids") > start))
+
+
 def read_range(spark: SparkSession, path: str, start: int, n: int) -> list[int]:
-    """Ids ``start`` to ``start + n`` of the whole store; opens only the blocks they are in. ``n`` has to fit the driver."""
-    rows = (
-        read_blocks(spark, path).where((F.col("first") < start + n) & (F.col("first") + F.col("n_ids") > start))
-        .select("first", "n_ids", "bits", "payload").orderBy("first").toLocalIterator()
-    )
+    """Ids ``start`` to ``start + n`` of the whole store, fewer where it ends before. ``n`` has to fit the driver."""
+    rows = blocks_of_range(spark, path, start, n).select("first", "n_ids", "bits", "payload").orderBy("first").toLocalIterator()
     out: list[int] = []
     for r in rows:
         a, b = max(start, r["first"]), min(start + n, r["first"] + r["n_ids"])

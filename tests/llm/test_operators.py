@@ -135,6 +135,26 @@ def test_token_files(spark, odd, tmp_path):
             assert (r["start"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) == (at, len(own), own)
             ids, at = ids + own, at + len(own)
         assert token_files.read_range(spark, path, 5, 100) == ids[5:105]
+        for first, n in ((0, 1), (len(ids) - 1, 1), (len(ids) - 1, 50), (len(ids), 5), (3, 0), (0, len(ids))):
+            assert token_files.read_range(spark, path, first, n) == ids[first : first + n]
+
+
+def test_a_range_of_ids_is_read_from_its_files(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(i, f"text of document {i} " * 40) for i in range(400)], "doc_id long, text string")
+    token_files.write_token_files(rows, path, queries.vocabulary_file(queries.BYTE_VOCABULARY), 50257)
+    files = spark.read.parquet(f"{path}/index").orderBy("part").collect()
+    assert len(files) > 3
+    first = sum(f["n_ids"] for f in files[:2])
+    ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in token_files.read_documents(spark, path).orderBy("start").collect()), "<u4").tolist()
+    for start, n, parts in ((first, 10, files[2:3]), (first - 1, 2, files[1:3]), (0, 1, files[:1])):
+        found = token_files.blocks_of_range(spark, path, start, n)
+        low, high = parts[0]["part"], parts[-1]["part"]
+        assert {r["part"] for r in found.select("part").collect()} == set(range(low, high + 1))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert f"GreaterThanOrEqual(part,{low})" in plan and f"LessThanOrEqual(part,{high})" in plan
+        assert token_files.read_range(spark, path, start, n) == ids[start : start + n]
+    assert token_files.read_range(spark, path, len(ids), 5) == []
 
 
 # chat
