@@ -1,17 +1 @@
 """Scalar functions: Column in, Column out."""
-
-from jobvigil.functions.headers import (
-    dead_letter_error,
-    last_header,
-    retry_count,
-    set_header,
-    set_retry_count,
-)
-from jobvigil.functions.identity import dead_letter_id, fingerprint, incident_id
-from jobvigil.functions.scores import hour_utc, iso_dow, safe_ratio, severity, status_band
-
-__all__ = [
-    "dead_letter_error", "dead_letter_id", "fingerprint", "hour_utc", "incident_id", "iso_dow",
-    "last_header", "retry_count", "safe_ratio", "set_header", "set_retry_count", "severity",
-    "status_band",
-]
