@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from jobvigil.operators.ordered import arrange, last_seen
 from jobvigil.session import ensure_checkpoint_dir, ship_package
 
+# Rows (id, time) that one task holds while it looks for distinct ones.
+TASK_ROWS = 200_000
+# So many ids go to every task; with more, their rows are dealt out by id.
+BROADCAST_IDS = 100_000
+
 
 def dedupe(df: DataFrame, id_column: str | Sequence[str] = "event_id", order_by: Sequence[str | Column] = ("ts",)) -> DataFrame:
     """The first row per id.
@@ -31,19 +36,24 @@ def dedupe_ttl(
     ttl later, its successor. All successors are found in one ordered walk over
     ranges of (id, time). Then jumps are doubled: from the times accepted so far, jumps over
     1, 2, 4, ... successors reach all others, in log2(span / ttl) rounds. Nothing
-    is gathered per id, whatever the number of its rows. Ids whose rows lie within one
-    ttl need no walk. Rows without an id or a time are left out.
+    is gathered per id, whatever the number of its rows, and a task's share of the distinct
+    times does not grow with the table. Ids whose rows lie within one ttl need no walk.
+    Rows without an id or a time are left out.
     """
     ensure_checkpoint_dir(df.sparkSession)
     reach = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {ttl}"))
     rows = df.select(F.col(id_column).alias("_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).filter("_id is not null and _at is not null")
-    spans = rows.groupBy("_id").agg(F.min("_at").alias("_at"), F.max("_at").alias("_last")).checkpoint()
+    spans = rows.groupBy("_id").agg(F.min("_at").alias("_at"), F.max("_at").alias("_last"), F.count("*").alias("_rows")).checkpoint()
     again = spans.filter(F.col("_last") >= F.col("_at") + reach)
     accepted = spans.select("_id", "_at")
     # an id cannot be accepted again more often than its span has room for
-    most = again.agg(F.max(F.floor((F.col("_last") - F.col("_at")) / reach))).first()[0]
+    most, count, ids = again.agg(F.max(F.floor((F.col("_last") - F.col("_at")) / reach)), F.sum("_rows"), F.count("*")).first()
     if most:
-        times = rows.join(again.select("_id"), "_id", "left_semi").distinct()
+        # the rows of a hot id are neither sorted by id nor aggregated in one task: they only pass the table of ids,
+        # and are dealt out by time before the distinct ones are looked for
+        walked = again.select("_id")
+        walked = F.broadcast(walked) if ids <= BROADCAST_IDS else walked.hint("shuffle_hash")
+        times = rows.join(walked, "_id", "left_semi").repartition(-(-count // TASK_ROWS), "_id", "_at").distinct()
         accepted = accepted.unionByName(_later_accepted(times, again.select("_id", "_at"), reach, int(most).bit_length()))
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     whole = df.withColumns({"_id": F.col(id_column), "_at": at}).join(accepted, ["_id", "_at"], "left_semi")

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from jobvigil.operators import dedupe as module
 from jobvigil.operators.ordered import arrange, last_seen
 from jobvigil.operators.dedupe import dedupe, dedupe_stats, dedupe_ttl, only_new
 
@@ -42,6 +43,20 @@ def test_ttl_takes_as_many_rounds_as_jumps_double(spark, monkeypatch):
     assert sum(columns == ["_id", "_at", "_next"] for columns in stored) == 1 + 5
 
 
+@pytest.mark.parametrize("broadcast_ids, hint", [(10, "broadcast"), (0, "shuffle_hash")])
+def test_ttl_deals_a_hot_id_out_before_it_looks_for_distinct_times(spark, monkeypatch, broadcast_ids, hint):
+    """No task sorts or aggregates all times of an id: at most so many rows a task, whatever the size of the table."""
+    rows = [("hot", h % 400) for h in range(2000)] + [("once", 3)]
+    frame = times(spark, rows)
+    monkeypatch.setattr(module, "TASK_ROWS", 100)
+    monkeypatch.setattr(module, "BROADCAST_IDS", broadcast_ids)
+    dealt, distinct = [], type(frame).distinct
+    monkeypatch.setattr(type(frame), "distinct", lambda self: dealt.append((self.rdd.getNumPartitions(), self._jdf.queryExecution().logical().toString())) or distinct(self))
+    found = dedupe_ttl(frame, ttl="24 hours").collect()
+    assert sorted((r.event_id, r.ts) for r in found) == brute(rows, 24)
+    assert [n for n, _ in dealt] == [20] and f"strategy={hint}" in dealt[0][1]
+
+
 def test_ttl_gives_whole_rows_and_leaves_out_rows_without_id_or_time(spark):
     rows = [("a", 0, "first", 2), ("a", 0, "again", 1), ("a", 30, None, 3), ("b", 5, "b", 4)]
     frame = spark.createDataFrame([(k, BASE + timedelta(hours=h), x, n, n) for k, h, x, n in rows] + [(None, BASE, "x", 5, 5), ("c", None, "x", 6, 6)], "event_id string, ts timestamp, note string, n int, id int")
