@@ -794,6 +794,24 @@ def _record_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deliveries(event_records(runs_from_events(_event_stream(spark, sf_dir))))
 
 
+# Records in one file of a made topic, which one task writes and one reads.
+FILE_ROWS = 50_000
+
+
+def _files(rows: int) -> int:
+    return max(1, -(-rows // FILE_ROWS))
+
+
+def _write_topic(events: DataFrame, path: str, files: int) -> None:
+    """The records of ``events``, a part of the source table, as a folder of exactly so many files; each task makes the text of its own rows."""
+    dealt = events.coalesce(1) if files == 1 else events.repartition(files, "event_id")
+    sent = event_records(runs_from_events(dealt)).select("key", "value", F.col("ts").alias("timestamp"))
+    sent.write.parquet(path)
+    # a task without rows writes no file
+    for _ in range(files - len(events.sparkSession.read.parquet(path).inputFiles())):
+        sent.limit(0).coalesce(1).write.mode("append").parquet(path)
+
+
 @query
 def streamed_incidents(spark, sf_dir):
     tables = _new_tables(spark)
@@ -850,11 +868,15 @@ BATCHES = 6
 
 
 def _run_in_batches(spark: SparkSession, sf_dir: str, tables: Tables, settings: Settings, **options) -> None:
-    """The events as a stream of ``BATCHES`` files, one per micro-batch; each hour's events are in all of them."""
-    sent = event_records(all_events(spark, sf_dir)).select("event_id", "key", "value", F.col("ts").alias("timestamp"))
+    """The events as a stream of ``BATCHES`` parts, one per micro-batch; each hour's events are in all of them.
+
+    The stream takes the files in the order of their times, as many at a time as each part has.
+    """
+    events, part = table(spark, sf_dir, "events"), F.col("event_id") % BATCHES
+    files = _files(max((r["count"] for r in events.groupBy(part).count().collect()), default=0))
     for i in range(BATCHES):
-        sent.filter(F.col("event_id").cast("long") % BATCHES == i).drop("event_id").coalesce(1).write.parquet(f"{tables.path('sent')}/part{i}")
-    live = read_events(spark, f"{tables.path('sent')}/*", streaming=True, files_per_trigger=1)
+        _write_topic(events.filter(part == i), f"{tables.path('sent')}/part{i}", files)
+    live = read_events(spark, f"{tables.path('sent')}/*", streaming=True, files_per_trigger=files)
     stream.run_stream(live, tables, tables.path("progress"), settings, **options).awaitTermination()
 
 
