@@ -923,11 +923,11 @@ def refitted_stream(spark, sf_dir):
     many incidents are not those that this version finds in them.
     """
     tables, settings = _new_tables(spark), Settings(detector=FOREST, forest_threshold=0.55, ewma_threshold=2.5)
-    models, events = tables.path("models"), all_events(spark, sf_dir)
+    models, events = tables.path("models"), table(spark, sf_dir, "events")
     features = detect.observed_features(finished(spark, sf_dir)).checkpoint()
-    sent = event_records(events).select("event_id", "key", "value", F.col("ts").alias("timestamp"))
+    files = _files(events.count() // 3)
     for part in range(3):
-        sent.filter(F.col("event_id").cast("long") % 3 == part).drop("event_id").coalesce(1).write.parquet(f"{tables.path('sent')}/part{part}")
+        _write_topic(events.filter(F.col("event_id") % 3 == part), f"{tables.path('sent')}/part{part}", files)
         live = read_events(spark, f"{tables.path('sent')}/*", streaming=True)
         stream.run_stream(live, tables, tables.path("progress"), settings, model=models).awaitTermination()
         if part < 2:

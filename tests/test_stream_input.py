@@ -38,3 +38,18 @@ def test_a_part_of_many_files_is_one_micro_batch(spark, tmp_path, monkeypatch):
     parts = [files_of(spark, f"{tables.path('sent')}/part{i}") for i in range(6)]
     assert parts == [5] * 6
     assert batches[0] == list(range(0, 600, 6)) and [batches[i] for i in range(1, 6)] == [[1, 7], [], [3, 9, 15], [4], [5]]
+
+
+def test_a_fitted_streams_parts_have_many_files(spark, tmp_path, monkeypatch):
+    write_events(spark, tmp_path, spark.range(300).withColumnRenamed("id", "event_id"))
+    monkeypatch.setattr(queries, "FILE_ROWS", 25)
+    found = []
+
+    def stop(records, tables, *more, **options):
+        found.append(files_of(spark, f"{tables.path('sent')}/part0"))
+        raise Stop
+
+    monkeypatch.setattr(queries.stream, "run_stream", stop)
+    with pytest.raises(Stop):
+        queries.refitted_stream(spark, str(tmp_path))
+    assert found == [4]
