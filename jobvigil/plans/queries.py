@@ -835,9 +835,10 @@ def streamed_late_events(spark, sf_dir):
     last = F.col("event_id").cast("long") % 10
     moved = F.when(last == 0, F.col("ts") + F.expr("INTERVAL 900 YEARS")).when(last == 1, F.col("ts") - F.expr("INTERVAL 30 DAYS")).otherwise(F.col("ts"))
     sent = deliveries(event_records(events.withColumn("ts", moved)))
-    # four files by id, so that every micro-batch has events of all kinds and copies of its own
-    sent.repartition(4, F.pmod(F.xxhash64("value"), F.lit(64))).write.parquet(tables.path("sent"))
-    live = read_events(spark, tables.path("sent"), streaming=True, files_per_trigger=1)
+    # four groups of files by id, so that every micro-batch has events of all kinds and copies of its own
+    files = _files(table(spark, sf_dir, "events").count() // 4)
+    sent.repartition(4 * files, F.pmod(F.xxhash64("value"), F.lit(64 * files))).write.parquet(tables.path("sent"))
+    live = read_events(spark, tables.path("sent"), streaming=True, files_per_trigger=files)
     stream.run_stream(live, tables, tables.path("progress"), SENSITIVE).awaitTermination()
     return pick(read_table(spark, tables.path("events"), EVENTS), "event_id", "ts", stamps=["ts"])
 

@@ -53,3 +53,20 @@ def test_a_fitted_streams_parts_have_many_files(spark, tmp_path, monkeypatch):
     with pytest.raises(Stop):
         queries.refitted_stream(spark, str(tmp_path))
     assert found == [4]
+
+
+def test_late_events_in_many_files_are_four_micro_batches(spark, tmp_path, monkeypatch):
+    write_events(spark, tmp_path, spark.range(400).withColumnRenamed("id", "event_id"))
+    monkeypatch.setattr(queries, "FILE_ROWS", 25)
+    seen, run_stream = [], queries.stream.run_stream
+
+    def spy(records, tables, *more, **options):
+        seen.append(tables)
+        return run_stream(records, tables, *more, **options)
+
+    monkeypatch.setattr(queries.stream, "run_stream", spy)
+    found = queries.streamed_late_events(spark, str(tmp_path))
+    assert found.count() == found.select("event_id").distinct().count() == 400
+    assert files_of(spark, seen[0].path("sent")) == 16
+    stored = read_table(spark, seen[0].path("events"), EVENTS).select("batch_id").distinct().count()
+    assert stored == 4
