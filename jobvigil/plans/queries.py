@@ -857,7 +857,8 @@ def resumed_incidents(spark, sf_dir):
     """The first half of the deliveries as a replay, the second as a stream that goes on from its state."""
     tables, sent, middle = _new_tables(spark), records(spark, sf_dir), F.lit(MIDDLE).cast("timestamp")
     replay(spark, sent.filter(F.col("timestamp") < middle), tables, SENSITIVE)
-    sent.filter(F.col("timestamp") >= middle).coalesce(1).write.parquet(tables.path("sent"))
+    # without a limit of files, the stream takes all of them in one micro-batch
+    sent.filter(F.col("timestamp") >= middle).write.parquet(tables.path("sent"))
     live = read_events(spark, tables.path("sent"), streaming=True)
     stream.run_stream(live, tables, tables.path("progress"), SENSITIVE, first_batch=1).awaitTermination()
     return _incident_view(read_table(spark, tables.path("incidents"), INCIDENTS))

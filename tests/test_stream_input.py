@@ -55,6 +55,21 @@ def test_a_fitted_streams_parts_have_many_files(spark, tmp_path, monkeypatch):
     assert found == [4]
 
 
+def test_a_resumed_streams_input_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    write_events(spark, tmp_path, spark.range(600).withColumnRenamed("id", "event_id"))
+    monkeypatch.setattr(queries, "replay", lambda *more: None)
+    found = []
+
+    def stop(records, tables, *more, **options):
+        found.append(files_of(spark, tables.path("sent")))
+        raise Stop
+
+    monkeypatch.setattr(queries.stream, "run_stream", stop)
+    with pytest.raises(Stop):
+        queries.resumed_incidents(spark, str(tmp_path))
+    assert found[0] > 1
+
+
 def test_late_events_in_many_files_are_four_micro_batches(spark, tmp_path, monkeypatch):
     write_events(spark, tmp_path, spark.range(400).withColumnRenamed("id", "event_id"))
     monkeypatch.setattr(queries, "FILE_ROWS", 25)
