@@ -24,9 +24,8 @@ from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from jobvigil.llm.common import ready, small
+from jobvigil.llm.common import ready, release, small
 from jobvigil.llm.components import components
 
 #: Elements and sets of a block, on average; two blocks at most are compared in one task.
@@ -39,6 +38,10 @@ SPARE = 2
 HEAVY = 48
 #: Entries of lists that a task looks through for its own doubles before it sends them on.
 LOCAL_ENTRIES = 1 << 20
+#: Entries that are looked through for doubles of all tasks at once, on average, at most.
+BUCKET_ENTRIES = 1 << 19
+#: Bits of a list of candidates, and of a set's name in it, that are left out: sets that meet by chance are compared, no more.
+LIST_CUT, NAME_CUT = 8, 24
 #: Candidates up to which they are broadcast to the texts, each in 56 bytes.
 BROADCAST_IDS = 1_000_000
 
@@ -223,11 +226,78 @@ def frequent_elements(texts: DataFrame, like: Likeness):
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
-def list_table(texts: DataFrame, like: Likeness, frequent) -> DataFrame:
-    """list, entry: the entries of all sets.
+def bucket_bits(elements: int, like: Likeness, parts: int) -> int:
+    """Upper bits of a list that say which lists are gone through together; a bucket for each of the ``parts`` at least."""
+    return max(1, (parts - 1).bit_length(), (2 * like.apart(elements) // BUCKET_ENTRIES).bit_length())
 
-    ``entry`` is the set's name, plus one if it is not of the smaller size in a list of
-    exact links; such lists are odd numbers, those of candidates even ones.
+
+def packed(lists, entries, exact: bool, bits: int):
+    """bucket, exact, width, body: one row per bucket of the lists, sorted; a list as its distance from the one before.
+
+    All distances take ``width`` bytes, as many as the largest needs. Lists of candidates
+    and the names in them are cut; exact ones, which nothing verifies, are kept whole.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    cut, name_cut = (0, 0) if exact else (LIST_CUT, NAME_CUT)
+    order = np.argsort(lists, kind="stable")
+    lists, names = lists[order] >> np.uint64(cut), entries[order].view(np.uint64) >> np.uint64(name_cut)
+    inner = np.uint64(64 - cut - bits)
+    bucket = lists >> inner
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    steps = np.diff(lists, prepend=np.uint64(0))
+    steps[starts] = lists[starts] - (bucket[starts] << inner)
+    width, name_bytes = max(1, -(-int(steps.max()).bit_length() // 8)), 8 - name_cut // 8
+    body = np.empty((len(lists), width + name_bytes), dtype=np.uint8)
+    body[:, :width] = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    body[:, width:] = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :name_bytes]
+    bounds = (np.append(starts, len(lists)) * (width + name_bytes)).astype(np.int32)
+    bodies = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(body)])
+    return pa.record_batch([
+        pa.array(bucket[starts].astype(np.int32)), pa.array(np.full(len(starts), exact)), pa.array(np.full(len(starts), width, dtype=np.int32)), bodies,
+    ], names=["bucket", "exact", "width", "body"])
+
+
+def unpacked(rows, exact: bool):
+    """(lists, entries) of rows of one bucket; a list is its distance from where its bucket begins."""
+    import numpy as np
+
+    name_cut = 0 if exact else NAME_CUT
+    widths, name_bytes = rows["width"].to_numpy(), 8 - name_cut // 8
+    lists, entries = [], []
+    for width in np.unique(widths):
+        bodies = [b.as_buffer() for b, w in zip(rows["body"], widths, strict=True) if w == width]
+        wide = int(width) + name_bytes
+        counts = np.array([b.size // wide for b in bodies])
+        body = np.frombuffer(b"".join(bodies), dtype=np.uint8).reshape(-1, wide)
+        numbers = np.zeros((2, len(body), 8), dtype=np.uint8)
+        numbers[0, :, :width], numbers[1, :, :name_bytes] = body[:, :width], body[:, width:]
+        steps, names = numbers.reshape(2, -1).view("<u8").astype(np.uint64)
+        sums, starts = np.cumsum(steps, dtype=np.uint64), np.cumsum(counts) - counts
+        lists.append(sums - np.repeat(sums[starts] - steps[starts], counts))
+        entries.append((names << np.uint64(name_cut)).view(np.int64))
+    return np.concatenate(lists), np.concatenate(entries)
+
+
+def led(lists, entries):
+    """Distinct (one, leader): each set and the smallest name of its lists, of those in the smaller size there, if another."""
+    import numpy as np
+
+    order = np.lexsort((entries, entries & 1, lists))
+    lists, entries = lists[order], entries[order]
+    first = np.append(True, lists[1:] != lists[:-1])
+    leader = entries[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    name = entries & ~np.int64(1)
+    joined = (leader % 2 == 0) & (leader != name)
+    return np.unique(np.stack([name[joined], leader[joined]], axis=1), axis=0)
+
+
+def list_table(texts: DataFrame, like: Likeness, frequent, bits: int) -> DataFrame:
+    """bucket, exact, width, body: the entries of all sets, see ``packed``.
+
+    An entry is the set's name, plus one if it is not of the smaller size in a list of
+    exact links.
 
     A task first looks for lists that its own sets share: of those only one leader's
     entry goes on, and each other set gets one list with its leader. So a list that very
@@ -236,7 +306,6 @@ def list_table(texts: DataFrame, like: Likeness, frequent) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         held, exact_held, size = [], [], 0
         met: set[tuple[int, int]] = set()  # sets that are held; copies have the same entries
@@ -252,17 +321,14 @@ def list_table(texts: DataFrame, like: Likeness, frequent) -> DataFrame:
             apart = owner != leader
             pairs = np.unique(np.stack([owner[apart], leader[apart]], axis=1), axis=0)
             joint = _mix(_mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64))
-            even, odd = ~np.uint64(1), np.uint64(1)
-            out = [
-                (lists[first] & even, owner[first]), *((joint & even, pairs[:, k]) for k in (0, 1)),
-                *((x | odd, o + ~low) for o, x, low in exact_held),
-            ]
-            numbers, names = (np.concatenate(c) for c in zip(*out, strict=True))
+            candidates = np.concatenate([lists[first], joint, joint]), np.concatenate([owner[first], pairs[:, 0], pairs[:, 1]])
+            links = [np.concatenate(c) for c in zip(*((x, o + ~low) for o, x, low in exact_held), strict=True)] or [lists[:0], owner[:0]]
             held.clear(), exact_held.clear(), met.clear()
             size = 0
-            for at in range(0, len(numbers), 1 << 17):
-                some = slice(at, at + (1 << 17))
-                yield pa.record_batch([pa.array(numbers.view(np.int64)[some]), pa.array(names[some])], names=["list", "entry"])
+            for exact, (numbers, names) in ((False, candidates), (True, links)):
+                for at in range(0, len(numbers), 2 * LOCAL_ENTRIES):
+                    some = slice(at, at + 2 * LOCAL_ENTRIES)
+                    yield packed(numbers[some], names[some], exact, bits)
 
         for batch in batches:
             for text in batch.column(1):
@@ -278,7 +344,21 @@ def list_table(texts: DataFrame, like: Likeness, frequent) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "list long, entry long")
+    return texts.mapInArrow(run, "bucket int, exact boolean, width int, body binary")
+
+
+def joined_sets(lists: DataFrame) -> DataFrame:
+    """one, leader, exact: the pairs of ``led`` from all buckets, each once."""
+
+    def run(group):
+        import numpy as np
+        import pyarrow as pa
+
+        exact = group["exact"][0].as_py()
+        pairs = led(*unpacked(group, exact))
+        return pa.table({"one": pa.array(pairs[:, 0]), "leader": pa.array(pairs[:, 1]), "exact": pa.array(np.full(len(pairs), exact))})
+
+    return lists.groupBy("bucket", "exact").applyInArrow(run, "one long, leader long, exact boolean").distinct()
 
 
 def overlaps(sets: list):
@@ -406,16 +486,16 @@ def similar_groups(documents: DataFrame, like: Likeness = Likeness(), key: str =
     equal = ["n", "one", "two"]
     classes = sets.where("n > 0").groupBy(*equal).agg(F.min("id").alias("rep")).where("rep is not null").checkpoint()
     named_texts = texts.where("id is not null")
-    lists = list_table(named_texts, like, frequent_elements(named_texts, like))
-    leader = F.min(F.when(F.col("entry") % 2 == 0, F.col("entry"))).over(Window.partitionBy("list"))
-    name = F.col("entry").bitwiseAND(F.lit(-2).cast("long"))
-    led = lists.withColumn("leader", leader).select(name.alias("one"), "leader", (F.col("list") % 2 != 0).alias("exact"))
-    joined = led.where("leader <> one").distinct().checkpoint()
+    bits = bucket_bits(sets.agg(F.sum("n")).first()[0] or 0, like, parts)
+    joined = joined_sets(list_table(named_texts, like, frequent_elements(named_texts, like), bits)).checkpoint()
+    release(documents.sparkSession)
     # names of sets to their representatives, for the links that need no comparison
     reps = classes.select("one", "rep")
     exact = joined.where("exact").join(reps, "one").select(F.col("rep").alias("u"), F.col("leader").alias("one")).join(reps, "one").select("u", F.col("rep").alias("v"))
     clusters = components(joined.where("not exact").select(F.col("one").alias("u"), F.col("leader").alias("v")))
-    members = classes.join(clusters.toDF("one", "cluster"), "one").select(F.col("rep").alias("id"), "n", "one", "two", "cluster").checkpoint()
+    # candidates go by the upper bits of their names
+    cut = F.col("one").bitwiseAND(F.lit(-1 << NAME_CUT).cast("long"))
+    members = classes.withColumn("cut", cut).join(clusters.toDF("cut", "cluster"), "cut").select(F.col("rep").alias("id"), "n", "one", "two", "cluster").checkpoint()
     # rows that repeat a key with other words connect their sets
     said = F.struct(*equal)
     several = sets.where("id is not null").groupBy("id").agg(F.min(said).alias("a"), F.max(said).alias("b")).where("a <> b").select("id").checkpoint()
