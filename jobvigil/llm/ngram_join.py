@@ -25,7 +25,7 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobvigil.llm.common import ready, release, small
+from jobvigil.llm.common import ready, release, small, trim
 from jobvigil.llm.components import components
 
 #: Elements and sets of a block, on average; two blocks at most are compared in one task.
@@ -37,11 +37,13 @@ SPARE = 2
 #: Lists longer than this are counted by a matrix product.
 HEAVY = 48
 #: Entries of lists that a task looks through for its own doubles before it sends them on.
-LOCAL_ENTRIES = 1 << 20
+LOCAL_ENTRIES = 1 << 19
 #: Entries that are looked through for doubles of all tasks at once, on average, at most.
-BUCKET_ENTRIES = 1 << 19
+BUCKET_ENTRIES = 1 << 18
+#: Bytes of a batch of lists, on average, at most.
+BATCH_BYTES = 1 << 20
 #: Bits of a list of candidates, and of a set's name in it, that are left out: sets that meet by chance are compared, no more.
-LIST_CUT, NAME_CUT = 8, 24
+LIST_CUT, NAME_CUT = 10, 24
 #: Candidates up to which they are broadcast to the texts, each in 56 bytes.
 BROADCAST_IDS = 1_000_000
 
@@ -198,6 +200,7 @@ def set_table(texts: DataFrame, like: Likeness) -> DataFrame:
             rows = [(len(own), *_names(own)) for own in (shingles(t.as_py(), like.words) for t in batch.column(1))]
             n, one, two = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["id", "n", "one", "two"])
+        trim()
 
     return texts.mapInArrow(run, "id long, n long, one long, two long")
 
@@ -328,7 +331,9 @@ def list_table(texts: DataFrame, like: Likeness, frequent, bits: int) -> DataFra
             for exact, (numbers, names) in ((False, candidates), (True, links)):
                 for at in range(0, len(numbers), 2 * LOCAL_ENTRIES):
                     some = slice(at, at + 2 * LOCAL_ENTRIES)
-                    yield packed(numbers[some], names[some], exact, bits)
+                    made = packed(numbers[some], names[some], exact, bits)
+                    step = max(1, made.num_rows * BATCH_BYTES // made.nbytes)
+                    yield from (made.slice(row, step) for row in range(0, made.num_rows, step))
 
         for batch in batches:
             for text in batch.column(1):
@@ -343,6 +348,7 @@ def list_table(texts: DataFrame, like: Likeness, frequent, bits: int) -> DataFra
                 if size > LOCAL_ENTRIES:
                     yield from flush()
         yield from flush()
+        trim()
 
     return texts.mapInArrow(run, "bucket int, exact boolean, width int, body binary")
 
@@ -356,6 +362,7 @@ def joined_sets(lists: DataFrame) -> DataFrame:
 
         exact = group["exact"][0].as_py()
         pairs = led(*unpacked(group, exact))
+        trim()
         return pa.table({"one": pa.array(pairs[:, 0]), "leader": pa.array(pairs[:, 1]), "exact": pa.array(np.full(len(pairs), exact))})
 
     return lists.groupBy("bucket", "exact").applyInArrow(run, "one long, leader long, exact boolean").distinct()
@@ -441,6 +448,7 @@ def _verified(texts: DataFrame, members: DataFrame, like: Likeness, parts: int)
             same = [_names(s) == (a.as_py(), b.as_py()) for s, a, b in zip(own, batch.column(2), batch.column(3), strict=True)]
             made = pa.record_batch([batch.column(0), *(batch.column(i) for i in (4, 5, 6)), pa.array([s.tobytes() for s in own], pa.binary())], names=["id", "cluster", "band", "block", "own"])
             yield made.filter(pa.array(same))
+        trim()
 
     sets = found.select("id", "text", "one", "two", "cluster", "band", "block").mapInArrow(to_sets, "id long, cluster long, band int, block int, own binary")
     # one row per cluster cut into blocks and its band; a block meets those of its band and of the bands beside it

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobvigil.llm.common import ready
+from jobvigil.llm.common import ready, trim
 from jobvigil.llm.tokens import KEPT_PIECES
 
 #: Bits of ``sequence_id`` below the length's exponent: number of the task, and of the piece within it.
@@ -77,6 +77,7 @@ def pack(
                         rows.append((doc, start, size, ids[4 * start : 4 * (start + size)], n, number, 0))
                         start, made = start + size, made + 1
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        trim()
 
     return narrow.mapInArrow(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
