@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import time
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +30,14 @@ def ready(spark: SparkSession) -> int:
 
 def release(spark: SparkSession) -> None:
     """Shuffle files that no DataFrame refers to any more go now, not whenever the driver's JVM happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    context = spark.sparkContext
+    # a query is held until the listeners have heard of its end
+    with contextlib.suppress(Py4JError):
+        context._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    for pause in (0.5, 0):  # what the first collection finds may hold the rest
+        gc.collect()
+        context._jvm.System.gc()
+        time.sleep(pause)
 
 
 def trim() -> None:

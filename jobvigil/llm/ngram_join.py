@@ -496,7 +496,6 @@ def similar_groups(documents: DataFrame, like: Likeness = Likeness(), key: str =
     named_texts = texts.where("id is not null")
     bits = bucket_bits(sets.agg(F.sum("n")).first()[0] or 0, like, parts)
     joined = joined_sets(list_table(named_texts, like, frequent_elements(named_texts, like), bits)).checkpoint()
-    release(documents.sparkSession)
     # names of sets to their representatives, for the links that need no comparison
     reps = classes.select("one", "rep")
     exact = joined.where("exact").join(reps, "one").select(F.col("rep").alias("u"), F.col("leader").alias("one")).join(reps, "one").select("u", F.col("rep").alias("v"))
@@ -504,6 +503,8 @@ def similar_groups(documents: DataFrame, like: Likeness = Likeness(), key: str =
     # candidates go by the upper bits of their names
     cut = F.col("one").bitwiseAND(F.lit(-1 << NAME_CUT).cast("long"))
     members = classes.withColumn("cut", cut).join(clusters.toDF("cut", "cluster"), "cut").select(F.col("rep").alias("id"), "n", "one", "two", "cluster").checkpoint()
+    # the lists' shuffle, some queries after its last reader, before the sets' one
+    release(documents.sparkSession)
     # rows that repeat a key with other words connect their sets
     said = F.struct(*equal)
     several = sets.where("id is not null").groupBy("id").agg(F.min(said).alias("a"), F.max(said).alias("b")).where("a <> b").select("id").checkpoint()
